@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 # The character class of a URL, and the blanks that count as
 # white space (Java's \s is ASCII only, so the wide ones are named).
 URL_PATTERN = r"https?://[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+"
-BLANK = r"[\s\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{001c}-\x{001f}]"
+OTHER_BLANKS = (
+    r"\t\n\x0b\f\r\x{001c}-\x{001f}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+BLANK = f"[ {OTHER_BLANKS}]"
+# A run of blanks that is not already a single space.
+BLANK_RUN = f"{BLANK}*[{OTHER_BLANKS}]{BLANK}*| {{2,}}"
 CJK = r"\x{4e00}-\x{9fff}"
 WORD_PATTERN = rf"^[{CJK}A-Za-z0-9]+$"
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
@@ -22,7 +27,7 @@ def strip_blank(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Drop URLs, turn each run of white space into one space, trim."""
     without_urls = F.regexp_replace(text, URL_PATTERN, "")
-    return F.trim(F.regexp_replace(without_urls, rf"{BLANK}+", " "))
+    return F.trim(F.regexp_replace(without_urls, BLANK_RUN, " "))
 
 
 def blank_digits(text: Column) -> Column:
@@ -44,18 +49,18 @@ def _cjk_grams(run: Column) -> Column:
     return F.flatten(pieces)
 
 
-def _tokens(text: Column, run_pattern: str) -> Column:
-    """Runs of a text; the array work for Chinese runs is done only where there are any."""
+def _tokens(text: Column, run_pattern: str, raw: Column) -> Column:
+    """Runs of a text; the array work for Chinese runs is done only where ``raw`` has any."""
     runs = F.regexp_extract_all(text, F.lit(run_pattern), F.lit(0))
     split = F.flatten(
         F.transform(runs, lambda run: F.when(F.ascii(run) < 128, F.array(run)).otherwise(_cjk_grams(run)))
     )
-    return F.when(text.rlike(f"[{CJK}]"), split).otherwise(runs)
+    return F.when(raw.rlike(f"[{CJK}]"), split).otherwise(runs)
 
 
 def words(text: Column) -> Column:
     """Tokens of a cleaned text: Latin runs whole, Chinese runs as 1-3-grams."""
-    return _tokens(text, rf"[{CJK}]+|[A-Za-z0-9]+")
+    return _tokens(text, rf"[{CJK}]+|[A-Za-z0-9]+", text)
 
 
 def article_words(content: Column) -> Column:
@@ -64,7 +69,7 @@ def article_words(content: Column) -> Column:
     Same as ``words(blank_digits(clean_text(content)))`` in two passes: white
     space never is part of a token, and a digit only ever ends one.
     """
-    return _tokens(F.regexp_replace(content, URL_PATTERN, ""), rf"[{CJK}]+|[A-Za-z]+")
+    return _tokens(F.regexp_replace(content, URL_PATTERN, ""), rf"[{CJK}]+|[A-Za-z]+", content)
 
 
 def word_tokens(tokens: Column) -> Column:

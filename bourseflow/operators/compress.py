@@ -17,7 +17,7 @@ def reconstruct(df: DataFrame, columns: Sequence[str], k: int = 3, test_share: f
     Scaler and components are fitted on the training rows; both are sums over
     the rows, so their size depends on the number of columns only.
     """
-    rows = df.na.drop("any", list(columns))
+    rows = df.na.drop("any", subset=list(columns))
     train, test = rows.randomSplit([1 - test_share, test_share], seed)
     steps = Pipeline(
         stages=[
@@ -35,4 +35,4 @@ def reconstruct(df: DataFrame, columns: Sequence[str], k: int = 3, test_share: f
         for j in range(k):
             rebuilt = rebuilt + F.col("code")[j] * F.lit(float(components[i, j]))
         error = error + (F.col("z")[i] - rebuilt) * (F.col("z")[i] - rebuilt)
-    return scored.withColumn("squared_error", error).drop("_raw", "_z", "_code", "z")
+    return scored.select(*df.columns, "code", error.alias("squared_error"))

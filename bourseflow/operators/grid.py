@@ -65,9 +65,15 @@ def candidate_lists(results: DataFrame, columns: Sequence[str], n: int) -> DataF
     The lists are taken column by column, so the next grid is their product.
     A symbol's rows are one grid (at most a few dozen rows).
     """
-    rows = F.array_sort(F.collect_list(F.struct("rank", "params")))
-    best = top_rows(results, n).groupBy("symbol").agg(rows.alias("_rows"))
     if not columns:
-        return best.select("symbol", F.create_map().cast("map<string,array<string>>").alias("params"))
-    entries = [F.struct(F.lit(c), F.transform("_rows", lambda r, c=c: r["params"][c])) for c in columns]
+        nothing = F.create_map().cast("map<string,array<string>>")
+        return results.select("symbol").distinct().select("symbol", nothing.alias("params"))
+    chosen = [F.col("params")[c].alias(c) for c in columns]
+    rows = F.array_sort(F.collect_list(F.struct("rank", *chosen)))
+    best = top_rows(results, n).groupBy("symbol").agg(rows.alias("_rows"))
+
+    def values(column: str):
+        return F.transform("_rows", lambda row: row[column])
+
+    entries = [F.struct(F.lit(c), values(c)) for c in columns]
     return best.select("symbol", F.map_from_entries(F.array(*entries)).alias("params"))

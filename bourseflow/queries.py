@@ -249,8 +249,8 @@ def daily_digest(spark, sf):
 @query
 def clean_text(spark, sf):
     """Articles and raw pages (which hold URLs), cleaned."""
-    articles = b.read_table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
-    pages = b.read_table(spark, sf, "pages").select(
+    articles = b.read_texts(spark, sf, "documents", "doc_id").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    pages = b.read_texts(spark, sf, "pages", "page_id").select(
         F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.concat("url", F.lit("\n"), "html").alias("text")
     )
     return articles.unionByName(pages).select("kind", "id", text.clean_text(F.col("text")).alias("cleaned"))

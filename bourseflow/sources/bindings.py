@@ -26,10 +26,27 @@ POSITIVE_WORDS = ["the", "and", "les", "und", "con"]
 NEGATIVE_WORDS = ["that", "with", "der", "que", "los"]
 
 
+SPREAD_BELOW_BYTES = 256 * 1024 * 1024
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A text table; one that is too small to fill the cores is spread over them by key.
+
+    A small file has few row groups, so its scan gives few tasks, while the work
+    per text is large. Beyond the size bound the scan has tasks enough, and the
+    texts stay where they are read.
+    """
+    table = read_table(spark, folder, name)
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SPREAD_BELOW_BYTES:
+        return table
+    return table.repartition(spark.sparkContext.defaultParallelism, key)
+
+
 def stock_daily(spark: SparkSession, folder: str) -> DataFrame:
     """Daily prices per symbol out of trades: one scan, one partial + final aggregation.
 
@@ -38,6 +55,7 @@ def stock_daily(spark: SparkSession, folder: str) -> DataFrame:
     only over fixed-width values; a struct would force a sort of all trades.
     """
     trades = read_table(spark, folder, "lineitem")
+    company = F.col("l_suppkey") % N_SYMBOLS + FIRST_SYMBOL
     trade_no = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("decimal(20,0)")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("decimal(18,0)")
     latest = (trade_no * F.lit(10**15).cast("decimal(16,0)") + cents).cast("decimal(38,0)")
@@ -48,10 +66,7 @@ def stock_daily(spark: SparkSession, folder: str) -> DataFrame:
 
     line, flag = F.col("l_linenumber"), F.col("l_returnflag")
     volume = F.sum(quantity)
-    return trades.groupBy(
-        (F.col("l_suppkey") % N_SYMBOLS + FIRST_SYMBOL).cast("string").alias("symbol"),
-        F.col("l_shipdate").cast("date").alias("ds"),
-    ).agg(
+    daily = trades.groupBy(company.alias("company"), F.col("l_shipdate").cast("date").alias("ds")).agg(
         F.max_by("l_extendedprice", latest).alias("y"),
         F.max("l_extendedprice").alias("high_price"),
         F.min("l_extendedprice").alias("low_price"),
@@ -65,6 +80,7 @@ def stock_daily(spark: SparkSession, folder: str) -> DataFrame:
         (part(line == 6) / volume).alias("shareholders_800_to_1000"),
         (part(line >= 7) / volume).alias("ratio_over_1000_shares"),
     )
+    return daily.select(F.col("company").cast("string").alias("symbol"), *[c for c in daily.columns if c != "company"])
 
 
 def _published(doc_id):
@@ -74,7 +90,7 @@ def _published(doc_id):
 
 
 def news(spark: SparkSession, folder: str) -> DataFrame:
-    return as_news(read_table(spark, folder, "documents"))
+    return as_news(read_texts(spark, folder, "documents", "doc_id"))
 
 
 def as_news(documents: DataFrame) -> DataFrame:
