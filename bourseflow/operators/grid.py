@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,14 +13,17 @@ def merge_lists(best: DataFrame, stage: Mapping[str, Sequence]) -> DataFrame:
 
     ``best``: symbol, params map<string, array<string>>.
     """
-    own = [F.struct(F.lit(k), F.array(*[F.lit(_text(v)) for v in values])) for k, values in stage.items()]
-    if not own:
+    if not stage:
         return best
-    added = F.map_from_entries(F.array(*own))
+    added = _as_map(stage, [F.array(*[F.lit(_text(v)) for v in values]) for values in stage.values()])
     kept = F.map_filter("params", lambda k, _: ~k.isin(list(stage)))
     return best.withColumn("params", F.map_concat(kept, added))
 
 
+def _as_map(keys: Iterable[str], values: Sequence[Column]) -> Column:
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*values))
+
+
 def _text(value) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value)
 
@@ -44,8 +47,7 @@ def parameter_grid(lists: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.posexplode(values).alias("_i", f"p_{key}"),
         )
         grid = grid.withColumn("grid_idx", F.col("grid_idx") * F.col("_n") + F.col("_i")).drop("_n", "_i")
-    entries = [F.struct(F.lit(k), F.col(f"p_{k}")) for k in keys]
-    chosen = F.map_from_entries(F.array(*entries)) if keys else F.create_map().cast("map<string,string>")
+    chosen = _as_map(keys, [F.col(f"p_{k}") for k in keys]) if keys else F.create_map().cast("map<string,string>")
     return grid.select("symbol", "grid_idx", chosen.alias("params"))
 
 
@@ -75,5 +77,4 @@ def candidate_lists(results: DataFrame, columns: Sequence[str], n: int) -> DataF
     def values(column: str):
         return F.transform("_rows", lambda row: row[column])
 
-    entries = [F.struct(F.lit(c), values(c)) for c in columns]
-    return best.select("symbol", F.map_from_entries(F.array(*entries)).alias("params"))
+    return best.select("symbol", _as_map(columns, [values(c) for c in columns]).alias("params"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bourseflow.functions.numbers import clip, mape, rmse
@@ -58,20 +58,30 @@ def validation_pairs(forecasts: DataFrame, validation: DataFrame) -> DataFrame:
     return validation.select("symbol", "ds", "y").join(forecasts.select("symbol", "ds", "pred"), ["symbol", "ds"])
 
 
-def directions(rows: DataFrame, mode: str = "reference") -> DataFrame:
-    """Predicted and actual direction per row; a first row has no move and counts as down.
+def directions(rows: DataFrame) -> DataFrame:
+    """``mode, symbol, ds, pred_b, test_b``: predicted and actual direction per row.
 
-    ``reference`` compares the factor with the move of the same row, although the
-    factor speaks of the next day; ``aligned`` takes the factor of the row before.
+    Mode ``reference`` compares the factor with the move of the same row, although
+    the factor speaks of the next day; ``aligned`` takes the factor of the row
+    before. A first row has no move and counts as down.
     """
-    factor = F.col("factor") if mode == "reference" else F.lag("factor").over(by_day())
-    move = F.col("y") - F.lag("y").over(by_day())
-    return rows.withColumns(
-        {"pred_b": F.coalesce(factor >= 0, F.lit(False)), "test_b": F.coalesce(move >= 0, F.lit(False))}
+    moved = rows.select(
+        "symbol",
+        "ds",
+        F.col("factor"),
+        F.lag("factor").over(by_day()).alias("before"),
+        (F.col("y") - F.lag("y").over(by_day())).alias("move"),
     )
+    modes = F.array(
+        *[
+            F.struct(F.lit(mode).alias("mode"), F.coalesce(F.col(factor) >= 0, F.lit(False)).alias("pred_b"))
+            for mode, factor in (("reference", "factor"), ("aligned", "before"))
+        ]
+    )
+    return moved.select("symbol", "ds", F.coalesce(F.col("move") >= 0, F.lit(False)).alias("test_b"), F.inline(modes))
 
 
-def confusion(rows: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+def confusion(rows: DataFrame, keys: Sequence[str] = ("mode", "symbol")) -> DataFrame:
     """True/false positives and negatives, positive = up."""
     actual, predicted = F.col("test_b").cast("int"), F.col("pred_b").cast("int")
     cell = lambda a, p: F.count_if((actual == a) & (predicted == p))
@@ -131,6 +141,27 @@ def compare_variants(errors: DataFrame, variants: Sequence[str]) -> DataFrame:
     return errors.groupBy("symbol").pivot("variant", list(variants)).agg(F.first("mape"))
 
 
+def variant_errors(rows: DataFrame, variants: Mapping[str, Column], start: str = VALIDATION_START) -> DataFrame:
+    """``symbol, variant, mape`` of the percent forecast under several factors.
+
+    ``rows``: symbol, ds, y and what the variants' factor columns need. All
+    variants are judged in one pass over the prices.
+    """
+    factors = F.array(
+        *[
+            F.struct(F.lit(name).alias("variant"), F.coalesce(factor, F.lit(0.0)).alias("factor"))
+            for name, factor in variants.items()
+        ]
+    )
+    long = rows.select("symbol", "ds", "y", F.inline(factors))
+    path = Window.partitionBy("symbol", "variant").orderBy("ds")
+    judged = long.withColumn("pred", F.lag(F.col("y") * (1 + F.col("factor") / 100)).over(path)).where(
+        F.col("pred").isNotNull()
+    )
+    late = judged.where(F.col("ds") >= F.lit(start).cast("date"))
+    return late.groupBy("symbol", "variant").agg(F.round(mape(F.col("y"), F.col("pred")) * 100, 2).alias("mape"))
+
+
 def ranked_rows(results: DataFrame, n: int, by: str = "mape") -> DataFrame:
     """Top-n table of a tuning result, per symbol."""
     return ranked(results, by).where(F.col("rank") <= n)

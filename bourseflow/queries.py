@@ -202,12 +202,8 @@ def percent_score_mape(spark, sf):
 def _directions(spark, sf):
     joined = evaluation.with_factor(prices.with_price_features(b.stock_daily(spark, sf)), b.factors(spark, sf))
     rows = joined.na.fill({"factor": 0.0})
-    marked = [
-        evaluation.directions(rows, mode).select("symbol", "ds", "pred_b", "test_b", F.lit(mode).alias("mode"))
-        for mode in ("reference", "aligned")
-    ]
-    judged = marked[0].unionByName(marked[1]).where(F.col("ds") >= F.lit(EVALUATED_FROM).cast("date"))
-    return evaluation.confusion(judged, ["mode", "symbol"])
+    judged = evaluation.directions(rows).where(F.col("ds") >= F.lit(EVALUATED_FROM).cast("date"))
+    return evaluation.confusion(judged)
 
 
 @query
@@ -569,13 +565,9 @@ def rmse_mape(spark, sf):
 @query
 def variant_comparison(spark, sf):
     """Errors of three factor variants side by side: none, as given, reversed."""
-    daily = b.stock_daily(spark, sf)
-    given = b.factors(spark, sf)
-    variants = {"no_factor": given.withColumn("factor", F.lit(0.0)), "given": given, "reversed": given.withColumn("factor", -F.col("factor"))}
-    errors = None
-    for name, factors in variants.items():
-        part = evaluation.percent_forecast_error(daily, factors, EVALUATED_FROM).withColumn("variant", F.lit(name))
-        errors = part if errors is None else errors.unionByName(part)
+    rows = evaluation.with_factor(_featured(spark, sf), b.factors(spark, sf))
+    variants = {"no_factor": F.lit(0.0), "given": F.col("factor"), "reversed": -F.col("factor")}
+    errors = evaluation.variant_errors(rows, variants, EVALUATED_FROM)
     return evaluation.compare_variants(errors, list(variants))
 
 
