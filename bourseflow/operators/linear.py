@@ -224,7 +224,7 @@ def forecast_ahead(
     time_at = [i for i, n in enumerate(layout.names) if n in columns]
     own_at = [layout.names.index(f"y_lag_{k}") for k in range(1, layout.max_lags.get("y", 0) + 1)]
 
-    def walk(key, steps: pd.DataFrame) -> pd.DataFrame:
+    def walk(steps: pd.DataFrame) -> pd.DataFrame:
         steps = steps.sort_values("step")
         x = np.array(steps["x"].iloc[0], dtype=float)
         weights = np.asarray(steps["coefficients"].iloc[0], dtype=float)
@@ -235,7 +235,7 @@ def forecast_ahead(
                 x[own_at] = np.concatenate([[newest], x[own_at][:-1]])
             newest = float(x @ weights)
             found.append(newest)
-        return pd.DataFrame({"symbol": key[0], "ds": steps["ds"], "yhat": found})
+        return pd.DataFrame({"symbol": steps["symbol"], "ds": steps["ds"], "yhat": found})
 
     return steps.groupBy("symbol").applyInPandas(walk, "symbol string, ds date, yhat double")
 

@@ -120,11 +120,12 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str
     left = wide.select(*keys, "_v", F.posexplode("_v").alias("_i", "_a"))
     pairs = left.where(F.col("_a").isNotNull()).select(*keys, "_i", "_a", F.posexplode("_v").alias("_j", "_b"))
     upper = pairs.where((F.col("_i") <= F.col("_j")) & F.col("_b").isNotNull())
-    measured = upper.groupBy(*keys, "_i", "_j").agg(F.corr("_a", "_b").alias("corr"))
+    spread = F.stddev_pop("_a") * F.stddev_pop("_b")  # 0 for a flat column, where ``corr`` would fail
+    measured = upper.groupBy(*keys, "_i", "_j").agg(F.try_divide(F.covar_pop("_a", "_b"), spread).alias("corr"))
     both_ways = F.when(F.col("_i") == F.col("_j"), F.array(F.struct("_i", "_j"))).otherwise(
         F.array(F.struct("_i", "_j"), F.struct(F.col("_j").alias("_i"), F.col("_i").alias("_j")))
     )
-    cells = measured.where(F.col("corr").isNotNull() & ~F.isnan("corr")).withColumn("_cell", F.explode(both_ways))
+    cells = measured.where(F.col("corr").isNotNull()).withColumn("_cell", F.explode(both_ways))
     return cells.select(
         *keys,
         F.get(names, F.col("_cell._i")).alias("left"),

@@ -15,7 +15,7 @@ from bourseflow.operators.compress import reconstruct
 from bourseflow.operators.nearest import nearest
 from bourseflow.plans import evaluation, tuning
 from bourseflow.plans import scoring as score_plans
-from bourseflow.session import new_table_path
+from bourseflow.session import cut_lineage, new_table_path
 from bourseflow.sources import bindings as b
 from bourseflow.sources.sinks import append_factors
 from bourseflow.streaming import loads
@@ -136,7 +136,8 @@ def next_day_label(spark, sf):
 
 @query
 def densify_ffill(spark, sf):
-    return _plain(prices.on_calendar(b.stock_daily(spark, sf), ["y"]))
+    daily = cut_lineage(b.stock_daily(spark, sf).select("symbol", "ds", "y"))  # used twice; one row per day
+    return _plain(prices.on_calendar(daily, ["y"]))
 
 
 @query
@@ -556,7 +557,7 @@ def residual_acf(spark, sf):
 @query
 def rmse_mape(spark, sf):
     """Errors of the percent forecast, forecasts and closes paired by symbol and day."""
-    daily = b.stock_daily(spark, sf)
+    daily = cut_lineage(b.stock_daily(spark, sf))  # used twice; one row per day
     forecasts = evaluation.percent_forecast_rows(daily, b.factors(spark, sf), EVALUATED_FROM)
     held_out = prices.chronological_split(daily).where("is_validation")
     return _plain(evaluation.forecast_errors(evaluation.validation_pairs(forecasts, held_out)), 3)
@@ -597,7 +598,7 @@ def forecast_ahead(spark, sf):
 @query
 def staged_tuning(spark, sf):
     """All seven stages and the final fit with the factor."""
-    daily = b.stock_daily(spark, sf)
+    daily = cut_lineage(b.stock_daily(spark, sf))  # used twice; one row per day
     with_factors = evaluation.sentiment_training_rows(daily, b.factors(spark, sf))
     results = tuning.tune_with_factor(prices.with_price_features(daily), with_factors, HOLIDAYS)
     best = evaluation.best_per_stage(results)

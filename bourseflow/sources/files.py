@@ -137,17 +137,21 @@ def read_reports(spark: SparkSession, root: str, file_name: str) -> DataFrame:
 def read_best_params(spark: SparkSession, root: str, file_name: str) -> DataFrame:
     """Best-parameter files (an object of lists) as ``symbol, params map<string, array<string>>``."""
     raw = (
-        spark.read.option("wholetext", True)
+        spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", file_name)
-        .text(root)
+        .load(root)
+    )
+    text = F.decode("content", "UTF-8")
+    return raw.select(
+        F.element_at(F.split("path", "/"), -2).alias("symbol"),
+        F.from_json(text, "map<string,array<string>>").alias("params"),
     )
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return raw.select(folder.alias("symbol"), F.from_json("value", "map<string,array<string>>").alias("params"))
 
 
 def read_big5(spark: SparkSession, path: str) -> DataFrame:
-    """Result table in Big5 encoding."""
+    """Result table in Big5 encoding, which Spark reads only with all Java charsets allowed."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return spark.read.option("header", True).option("encoding", "Big5").csv(path)
 
 
