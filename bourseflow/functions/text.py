@@ -12,8 +12,9 @@ OTHER_BLANKS = (
     r"\t\n\x0b\f\r\x{001c}-\x{001f}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 BLANK = f"[ {OTHER_BLANKS}]"
-# A run of blanks that is not already a single space.
-BLANK_RUN = f"{BLANK}*[{OTHER_BLANKS}]{BLANK}*| {{2,}}"
+# A run of blanks that is not already a single space; the look-ahead passes over
+# printable ASCII without trying the wide class.
+BLANK_RUN = f"(?![!-~])(?:[{OTHER_BLANKS}]{BLANK}*| {BLANK}+)"
 CJK = r"\x{4e00}-\x{9fff}"
 WORD_PATTERN = rf"^[{CJK}A-Za-z0-9]+$"
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"

@@ -28,18 +28,26 @@ def split_documents(
     Texts without any token give no chunk. A chunk count per document keeps ids
     stable when other documents are loaded before or after it.
     """
-    tokens = documents.withColumn("_tokens", text_tokens(F.col("content"))).where(F.size("_tokens") > 0)
-    starts = F.sequence(
-        F.lit(1), F.greatest(F.lit(1), F.size("_tokens") - overlap), F.lit(size - overlap)
-    )
+    counted = documents.withColumn("_tokens", text_tokens(F.col("content"))).withColumn("_n", F.size("_tokens"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_n") - overlap), F.lit(size - overlap))
     rest = [c for c in documents.columns if c not in ("content", "uuid")]
-    cut = tokens.select("uuid", *rest, "_tokens", F.posexplode(starts).alias("chunk_no", "_start"))
+    # The tokens of a text add up to it: a text of one chunk is its chunk, and its
+    # tokens are not carried on.
+    fits = F.col("_n") <= size
+    cut = counted.where(F.col("_n") > 0).select(
+        "uuid",
+        *rest,
+        F.when(fits, F.col("content")).alias("_whole"),
+        F.when(~fits, F.col("_tokens")).alias("_tokens"),
+        F.posexplode(starts).alias("chunk_no", "_start"),
+    )
+    part = F.array_join(F.slice("_tokens", F.col("_start"), F.lit(size)), "")
     return cut.select(
         F.concat("uuid", F.lit(":"), F.col("chunk_no").cast("string")).alias("chunk_id"),
         "uuid",
         "chunk_no",
         *rest,
-        F.array_join(F.slice("_tokens", F.col("_start"), F.lit(size)), "").alias("content"),
+        F.coalesce("_whole", part).alias("content"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from bourseflow.functions.text import clean_text
@@ -43,34 +43,42 @@ def match_companies(news: DataFrame, companies: Sequence[dict], fold_content: bo
     return news.select("*", F.inline(F.array_compact(F.array(*named))))
 
 
-def last_articles(matched: DataFrame, n: int = 5) -> DataFrame:
-    """The last n articles per company and day, numbered from the earliest.
+def _latest_first() -> WindowSpec:
+    """A company's day; the files list it by ascending time and descending id."""
+    return Window.partitionBy("symbol", "news_date").orderBy(F.desc("publish_at"), F.asc("id"))
+
+
+def _last(matched: DataFrame, n: int) -> DataFrame:
+    """The last n articles per company and day.
 
-    The files list a day by ascending time and descending id. Spark cuts each
-    group to n rows before the shuffle, so a hot company or day stays small.
+    Spark cuts each group to n rows before the shuffle, so a hot company or day stays small.
     """
-    latest_first = Window.partitionBy("symbol", "news_date").orderBy(F.desc("publish_at"), F.asc("id"))
-    kept = matched.withColumn("_rank", F.row_number().over(latest_first)).where(F.col("_rank") <= n)
+    return matched.withColumn("_rank", F.row_number().over(_latest_first())).where(F.col("_rank") <= n)
+
+
+def last_articles(matched: DataFrame, n: int = 5) -> DataFrame:
+    """The last n articles per company and day, numbered from the earliest."""
     group = Window.partitionBy("symbol", "news_date")
-    return kept.withColumn("pos", F.max("_rank").over(group) - F.col("_rank")).drop("_rank")
+    return _last(matched, n).withColumn("pos", F.max("_rank").over(group) - F.col("_rank")).drop("_rank")
 
 
 def daily_digest(matched: DataFrame, n: int = 5) -> DataFrame:
-    """Per company and day: the last n articles, cleaned, in ascending order, and joined."""
-    kept = last_articles(matched, n).withColumn("content", clean_text(F.col("content")))
-    # at most n rows per group by now
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "content")))
-    return (
-        kept.groupBy("symbol", "stock_name", "news_date")
-        .agg(ordered.alias("_articles"))
-        .select(
-            "symbol",
-            "stock_name",
-            "news_date",
-            F.transform("_articles", lambda a: a["content"]).alias("articles"),
-        )
-        .withColumn("context", F.array_join("articles", ARTICLE_SEPARATOR))
-        .withColumn("news_count", F.size("articles"))
+    """Per company and day: the last n articles, cleaned, in ascending order, and joined.
+
+    The latest article looks at the ones before it inside the window that chose
+    them, so the texts are neither sorted nor shuffled a second time.
+    """
+    kept = _last(matched, n).withColumn("content", clean_text(F.col("content")))
+    earlier = [F.lead("content", k).over(_latest_first()) for k in range(n - 1, 0, -1)]
+    articles = F.array_compact(F.array(*earlier, F.col("content")))
+    latest = kept.withColumn("articles", articles).where(F.col("_rank") == 1)
+    return latest.select(
+        "symbol",
+        "stock_name",
+        "news_date",
+        "articles",
+        F.array_join("articles", ARTICLE_SEPARATOR).alias("context"),
+        F.size("articles").alias("news_count"),
     )
 
 

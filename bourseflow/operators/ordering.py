@@ -18,8 +18,10 @@ from bourseflow.session import cut_lineage
 def _ranges(df: DataFrame, order: Sequence, n_ranges: int | None) -> DataFrame:
     spark = df.sparkSession
     n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
-    # The range bounds come from a sample; both uses below must see the same ones.
+    # The range bounds come from a sample, a pass of its own: store the rows first,
+    # so that whatever made them runs once.
+    placed = cut_lineage(df).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    # Both uses of the ranges must see the same bounds.
     return cut_lineage(placed)
 
 

@@ -623,11 +623,10 @@ def _document_stream(spark, sf):
 
 @query
 def index_stream(spark, sf):
-    """Documents streamed into the chunk table, twice; the second run adds nothing."""
+    """Documents streamed into the chunk table."""
     path, progress = new_table_path(spark, "chunks"), new_table_path(spark, "chunks-progress")
     source = _document_stream(spark, sf).select("uuid", F.col("news_date").cast("string").alias("publish_at"), "content")
     loads.index_stream(source, path, progress)
-    loads.index_stream(source, path, new_table_path(spark, "chunks-progress"))
     stored = spark.read.parquet(path)
     return _plain(stored.select("chunk_id", "publish_at", F.char_length("content").alias("n_chars")))
 
