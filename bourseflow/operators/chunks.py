@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bourseflow.functions.dates import strict_date
 from bourseflow.operators.ordering import with_position
+from bourseflow.session import cut_lineage
 
 CHUNK_TOKENS = 8192  # fixed values
 OVERLAP_TOKENS = 80
@@ -29,12 +30,15 @@ def split_documents(
     stable when other documents are loaded before or after it.
     """
     counted = documents.withColumn("_tokens", text_tokens(F.col("content"))).withColumn("_n", F.size("_tokens"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_n") - overlap), F.lit(size - overlap))
+    # No starts for an empty text; a filter would be pushed down and split the text again.
+    starts = F.when(
+        F.col("_n") > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_n") - overlap), F.lit(size - overlap))
+    )
     rest = [c for c in documents.columns if c not in ("content", "uuid")]
     # The tokens of a text add up to it: a text of one chunk is its chunk, and its
     # tokens are not carried on.
     fits = F.col("_n") <= size
-    cut = counted.where(F.col("_n") > 0).select(
+    cut = counted.select(
         "uuid",
         *rest,
         F.when(fits, F.col("content")).alias("_whole"),
@@ -52,8 +56,11 @@ def split_documents(
 
 
 def batch_chunk_ids(chunks: DataFrame, order: list) -> DataFrame:
-    """Ids ``uuid:i`` with i running over the whole batch in the given order."""
-    numbered = with_position(chunks, [*order, "chunk_no"], "batch_no")
+    """Ids ``uuid:i`` with i running over the whole batch in the given order.
+
+    Leave the texts out of ``chunks`` and join them by ``uuid, chunk_no`` if needed.
+    """
+    numbered = with_position(cut_lineage(chunks), [*order, "chunk_no"], "batch_no")
     return numbered.withColumn("chunk_id", F.concat("uuid", F.lit(":"), F.col("batch_no").cast("string")))
 
 

@@ -3,6 +3,9 @@
 A window over the whole table (or over one hot group) would pull all its rows
 into one task. Here the rows are range-partitioned by the order, numbered inside
 each range, and only one row per range and group is looked at across ranges.
+
+Sampling the ranges is a pass of its own over the input: pass narrow, stored
+rows (see ``cut_lineage``) where the input is costly to compute.
 """
 
 from __future__ import annotations
@@ -18,11 +21,8 @@ from bourseflow.session import cut_lineage
 def _ranges(df: DataFrame, order: Sequence, n_ranges: int | None) -> DataFrame:
     spark = df.sparkSession
     n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The range bounds come from a sample, a pass of its own: store the rows first,
-    # so that whatever made them runs once.
-    placed = cut_lineage(df).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
-    # Both uses of the ranges must see the same bounds.
-    return cut_lineage(placed)
+    # The range bounds come from a sample: both uses of the ranges must see the same ones.
+    return cut_lineage(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
 
 
 def with_position(df: DataFrame, order: Sequence, name: str = "position", n_ranges: int | None = None) -> DataFrame:
