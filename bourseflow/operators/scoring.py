@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as FutureTimeout
@@ -53,10 +54,11 @@ def ask(df: DataFrame, client: Client, timeout: float = 15.0, parallel: int = 8)
                 # a window of `parallel` calls, so no prompt waits in a queue while its time runs
                 for start in range(0, len(prompts), parallel):
                     calls = [pool.submit(client, p) for p in prompts[start : start + parallel]]
+                    deadline = time.monotonic() + timeout
                     stuck = False
                     for call in calls:
                         try:
-                            texts.append(call.result(timeout=timeout))
+                            texts.append(call.result(timeout=max(0.0, deadline - time.monotonic())))
                             late.append(False)
                         except (TimeoutError, FutureTimeout):
                             texts.append(None)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from bourseflow.functions.dates import month_label
@@ -176,3 +176,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def null_rows(df: DataFrame, column: str) -> DataFrame:
     """Rows in which the column is null."""
     return df.where(F.col(column).isNull())
+
+
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The frame, and its row count as a by-product of the job that uses it."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen

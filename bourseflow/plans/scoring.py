@@ -22,6 +22,11 @@ def digests(news: DataFrame, companies: Sequence[dict], max_news: int = 5) -> Da
     return daily_digest(match_companies(news, companies), max_news)
 
 
+def not_yet(days: DataFrame, done: DataFrame | None) -> DataFrame:
+    """Leave out company-days that are scored already (symbol, news_date): the client is the costly part."""
+    return days if done is None else days.join(done, ["symbol", "news_date"], "left_anti")
+
+
 def with_prices(digest: DataFrame, daily: DataFrame, start: str, end: str) -> DataFrame:
     """Add the day's moves: trading days in the range only."""
     moves = with_day_moves(in_range(daily, start, end)).select(
@@ -85,9 +90,10 @@ def percent_days(
     timeout: float = 15.0,
     max_news: int = 5,
     limit: int = prompts.MAX_PROMPT_CHARS,
+    done: DataFrame | None = None,
 ) -> DataFrame:
     """Percent variant: factor or null, with status OK, TLE or REJ, per company and trading day."""
-    days = with_prices(digests(news, companies, max_news), daily, start, end)
+    days = not_yet(with_prices(digests(news, companies, max_news), daily, start, end), done)
     days = without_rules(days) if rules is None else with_retrieved_rules(days, rules)
     asked = ask(with_prompts(days, companies, company_rules, prompts.percent_prompt(), limit), client, timeout)
     return percent_scores(asked)
@@ -104,10 +110,11 @@ def sentiment_days(
     timeout: float = 15.0,
     max_news: int = 5,
     limit: int = prompts.MAX_PROMPT_CHARS,
+    done: DataFrame | None = None,
 ) -> DataFrame:
     """0-1 variant over all calendar days of the range; failed days give no row."""
     wanted = news.where(F.col("news_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    days = digests(wanted, companies, max_news)
+    days = not_yet(digests(wanted, companies, max_news), done)
     days = without_rules(days) if rules is None else with_retrieved_rules(days, rules)
     asked = ask(with_prompts(days, companies, company_rules, prompts.sentiment_prompt(), limit), client, timeout)
     return sentiment_scores(asked)

@@ -77,8 +77,8 @@ def tune(
     """``stage, symbol, grid_idx, params, rmse, mape`` of every grid row of every stage.
 
     ``daily`` holds the price features (and ``factor``). The loop runs over the
-    stages only; each stage is one job over all symbols and grid rows. What a
-    stage hands on is a few lists per symbol, written to the shared folder.
+    stages only; each stage is one job over all symbols and grid rows, whose
+    results (a few dozen rows per symbol) are written to the shared folder.
     ``start``: best lists to begin with (symbol, params), else none.
     """
     layout = layout_for(stages if start is None else [*STAGES, *stages], factor)
@@ -98,7 +98,7 @@ def tune(
         result = cut_lineage(
             scored.select(F.lit(stage.name).alias("stage"), "symbol", "grid_idx", "params", "rmse", "mape")
         )
-        lists = cut_lineage(g.candidate_lists(result, stage.kept, stage.top_n))
+        lists = g.candidate_lists(result, stage.kept, stage.top_n)
         outcome = result if outcome is None else outcome.unionByName(result)
     return outcome
 

@@ -636,9 +636,9 @@ def score_stream(spark, sf):
     """Documents streamed into the factor table (0-1 variant, nothing retrieved)."""
     path, progress = new_table_path(spark, "stream-factors"), new_table_path(spark, "stream-progress")
 
-    def score(batch):
+    def score(batch, done):
         return score_plans.sentiment_days(
-            batch, b.companies(), b.company_rules(), None, _two_line_client(), *RANGE
+            batch, b.companies(), b.company_rules(), None, _two_line_client(), *RANGE, done=done
         )
 
     loads.scoring_stream(_document_stream(spark, sf), score, path, progress)

@@ -37,18 +37,17 @@ def _scored_before(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scoring_stream(
-    news: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+    news: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame], path: str, checkpoint: str
 ) -> None:
     """Stream of day files into the factor table.
 
-    ``score`` turns the news of a batch into scored days (see ``plans.scoring``).
-    A day's file arrives whole, so its last articles are known inside the batch.
-    Company-days that are stored already are not written again.
+    ``score`` turns the news of a batch into scored days and leaves out the stored
+    company-days it is given (see ``plans.scoring``), so that a batch that runs
+    twice neither asks nor writes again. A day's file arrives whole, so its last
+    articles are known inside the batch.
     """
 
     def handle(batch: DataFrame) -> None:
-        done = _scored_before(batch.sparkSession, path)
-        fresh = score(batch).join(done, ["symbol", "news_date"], "left_anti")
-        append_factors(fresh, path)
+        append_factors(score(batch, _scored_before(batch.sparkSession, path)), path)
 
     run_batches(news, handle, checkpoint)

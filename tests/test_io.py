@@ -158,10 +158,18 @@ def test_streams_pick_up_new_files_once(spark, tmp_path):
     folder.mkdir()
     write_news(folder, "2023-01-01", ["台積電 上漲", "none"])
     table, progress = new_table_path(spark, "scored"), new_table_path(spark, "progress")
-    client = lambda prompt: "0.9\nup"
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    log = str(asked)
 
-    def score(batch):
-        return plans.sentiment_days(batch, COMPANIES, RULES, None, client, "2023-01-01", "2023-12-31")
+    def client(prompt):
+        import uuid
+
+        open(f"{log}/{uuid.uuid4().hex}", "w").close()
+        return "0.9\nup"
+
+    def score(batch, done):
+        return plans.sentiment_days(batch, COMPANIES, RULES, None, client, "2023-01-01", "2023-12-31", done=done)
 
     def stored():
         return sorted(str(r["date"]) for r in spark.read.schema("date date, factor double").parquet(table).collect())
@@ -171,9 +179,10 @@ def test_streams_pick_up_new_files_once(spark, tmp_path):
     write_news(folder, "2023-01-02", ["2330 下跌"])
     loads.scoring_stream(files.stream_news(spark, str(folder)), score, table, progress)
     assert stored() == ["2023-01-01", "2023-01-02"]
-    # a lost progress folder replays all files; nothing is written twice
+    # a lost progress folder replays all files; nothing is asked or written twice
     loads.scoring_stream(files.stream_news(spark, str(folder)), score, table, new_table_path(spark, "progress"))
     assert stored() == ["2023-01-01", "2023-01-02"]
+    assert len(list(asked.iterdir())) == 2
 
 
 def test_document_stream_fills_the_chunk_table(spark, tmp_path):

@@ -121,3 +121,9 @@ def test_last_row_is_dropped_per_group(prices):
 def test_row_mean(prices):
     got = {str(r["ds"]): r["mean"] for r in stats.row_mean(prices, "ds", "y").collect()}
     assert got["2024-01-29"] == 7.5
+
+
+def test_row_counts_come_with_the_job(prices):
+    df, seen = stats.observed(prices, "loaded")
+    df.where("symbol = '2'").collect()
+    assert seen.get == {"rows": 10}
