@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from bourseflow.sources import bindings as b
 
 DAILY = """stock_daily AS (
@@ -512,3 +514,8 @@ flags(j, flag) AS (VALUES (0, 'true'), (1, 'false'))
 SELECT symbol, CAST(((i * 2 + h.j) * 2 + w.j) * 2 + y.j AS INTEGER) AS grid_idx, n_lags, h.flag AS use_holidays,
   w.flag AS weekly_seasonality, y.flag AS yearly_seasonality
 FROM lags CROSS JOIN flags h CROSS JOIN flags w CROSS JOIN flags y"""
+
+# Rounding a small negative number gives 0.0 in Spark and -0.0 elsewhere; adding 0.0 drops the sign.
+_ROUND = re.compile(r"\bround\(((?:[^()]|\([^()]*\))*), (\d)\)")
+for _name in list(O):
+    O[_name] = _ROUND.sub(r"(round(\1, \2) + 0.0)", O[_name])
