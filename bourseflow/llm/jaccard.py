@@ -11,16 +11,21 @@ opened by a shared rare shingle and its pivot is a document that has it:
    region unless a text has nothing else.
 2. Texts with equal sets are one class. Classes that share a probe meet in the
    region of the pivot, the class with the smallest document among them.
-3. The distance to the pivot is computed. Those within the radius r = 1 - t are
+3. Thirty-two counts of a set's shingles by hash prefix bound the size of a
+   symmetric difference from below (each is a distance to a fixed part of the
+   universe, and the triangle inequality holds for it). Members far from their
+   pivot, and pairs with such a member, are dropped by these bounds alone; the
+   sets of what remains are read once more from the texts.
+4. The distance to the pivot is computed. Those within the radius r = 1 - t are
    linked. Only a class outside the radius can bring a link that is still
    unknown, so regions without one are done.
-4. Others are cells: a small cell is joined exactly in one task, using the
+5. Others are cells: a small cell is joined exactly in one task, using the
    windows ``|d(x, p) - d(y, p)| <= r``, the sizes, and the links known so far.
    A large cell is split again: further pivots make Voronoi cells, and a class
    is also copied into every cell whose pivot is no more than ``2 r`` further
    than its nearest one, so partners always meet. Cells that pivots cannot
    split are joined in pairs of blocks, one task each.
-5. Components of the links give the smallest document id reachable.
+6. Components of the links give the smallest document id reachable.
 
 Sets hold 64-bit hashes of shingles, classes a 128-bit hash of their set.
 
@@ -48,6 +53,8 @@ COUNT_BUCKETS = 1 << 21
 _SLICES = 64
 #: Largest cell that one task joins; pivots of a split; levels of splitting.
 CELL, PIVOTS, LEVELS = 256, 8, 3
+#: Counts of a set by hash prefix; a count stops at 255, which keeps the bound.
+PARTS = 32
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -108,16 +115,17 @@ def _probes(n: int, percent: int, levels, buckets: int):
     def step(batches):
         level = levels.value
         for batch in batches:
-            sizes, nodes, probes = [], [], []
+            sizes, nodes, probes, parts = [], [], [], []
             for s in shingle_sets(W.as_bytes(batch.column(1)), n):
                 sizes.append(len(s))
                 nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 k = len(s) - (percent * len(s) + 99) // 100 + 1
                 rank = (level[_bucket(s, buckets)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
                 probes.append(s[np.argpartition(rank, k - 1)[:k]].view(np.int64) if len(s) else [])
+                parts.append(np.minimum(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(probes, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "probes"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(probes, pa.list_(pa.int64())), pa.array(parts, pa.binary())],
+                names=["doc_id", "n_shingles", "node", "probes", "parts"],
             )
 
     return step
@@ -174,6 +182,65 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out.select("cell.cell", "cell.pivot", "node", "common", "union")
 
 
+def _may_link(sizes_a, sizes_b, apart, percent: int):
+    """Bounds that every linked pair keeps: sizes, and the symmetric difference."""
+    low, high = np.minimum(sizes_a, sizes_b), np.maximum(sizes_a, sizes_b)
+    return (100 * low >= percent * high) & ((100 + percent) * apart <= (100 - percent) * (low + high))
+
+
+def _parts(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, PARTS).astype(np.int16)
+
+
+def _bounded(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` with ``near``: the bounds do not part the class from its pivot."""
+
+    names = members.columns
+
+    def step(batches):
+        for batch in batches:
+            apart = np.abs(_parts(batch.column("parts")) - _parts(batch.column("pivot_parts"))).sum(axis=1, dtype=np.int64)
+            near = _may_link(batch.column("size").to_numpy(), batch.column("pivot_size").to_numpy(), apart, percent)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], names=[*names, "near"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
+    return members.mapInArrow(step, f"{fields}, near boolean")
+
+
+def _far_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs of a region's members, one of them far from the pivot, that the bounds do not part: ``node, doc, pivot, pivot_doc``.
+
+    Regions are dealt in pairs of blocks of about ``block`` members, one task each.
+    """
+
+    def step(table: pa.Table) -> pa.Table:
+        parts = _parts(table.column("parts").combine_chunks())
+        size, near = table.column("size").to_numpy(), table.column("near").to_numpy(zero_copy_only=False)
+        side = table.column("side").to_numpy()
+        first, second = [], []
+        for i in np.flatnonzero(~near):
+            apart = np.abs(parts - parts[i]).sum(axis=1, dtype=np.int64)
+            fits = _may_link(size, size[i], apart, percent)
+            # both far: once; blocks meet as sides 0 and 1, a block with itself is side -1
+            fits &= near | (np.arange(len(size)) > i) if side[i] < 0 else side != side[i]
+            fits[i] = False
+            found = np.flatnonzero(fits)
+            first += [i] * len(found)
+            second += found.tolist()
+        take = lambda c, rows: table.column(c).take(pa.array(rows, pa.int64()))
+        return pa.table({"node": take("node", first), "doc": take("doc", first), "pivot": take("node", second), "pivot_doc": take("doc", second)})
+
+    rows = members.select(F.col("pivot").alias("cell"), "node", "doc", "size", "parts", "near")
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("all_near")).where("n > 1 and not all_near")
+    blocks = sizes.select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.withColumn("side", side).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    found = dealt.drop("block", "other", "blocks").groupBy("cell", "low", "high").applyInArrow(step, "node binary, doc bigint, pivot binary, pivot_doc bigint")
+    return found.dropDuplicates(["node", "pivot"])
+
+
 def _join_cell(percent: int):
     """Links inside one cell, enough to connect what is linked; ``outer`` classes are compared with all, others are linked with the pivot already."""
     radius = 1 - percent / 100
@@ -269,15 +336,24 @@ def similar_components(
     """
     docs = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     levels_of = docs.sparkSession.sparkContext.broadcast(bucket_levels(docs, n, buckets))
-    prints = cut_lineage(docs.mapInArrow(_probes(n, percent, levels_of, buckets), "doc_id bigint, n_shingles bigint, node binary, probes array<bigint>"))
-    classes = prints.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), F.first("probes").alias("probes"))
-    met = classes.select("node", "doc", "size", F.explode("probes").alias("probe"))
-    entry = F.struct("doc", "node", "size")
-    regions = met.groupBy("probe").agg(F.min(entry).alias("pivot"), F.count("*").alias("n")).where("n > 1").select("probe", "pivot")
-    members = met.join(regions, "probe").where(F.col("node") != F.col("pivot.node"))
-    members = cut_lineage(members.select(F.col("pivot.node").alias("pivot"), F.col("pivot.doc").alias("pivot_doc"), F.col("pivot.size").alias("pivot_size"), "node", "doc", "size").distinct())
-
-    wanted = members.select("node", "doc").union(members.select("pivot", "pivot_doc")).distinct()
+    prints = cut_lineage(docs.mapInArrow(_probes(n, percent, levels_of, buckets), "doc_id bigint, n_shingles bigint, node binary, probes array<bigint>, parts binary"))
+    short = F.xxhash64("node")  # only to meet in; decisions use the node
+    rows = prints.where("node is not null")
+    classes = rows.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), F.first("parts").alias("parts"), F.first("probes").alias("probes"))
+    classes = cut_lineage(classes.withColumn("short", short))
+    met = classes.select("short", F.explode("probes").alias("probe"))
+    regions = met.groupBy("probe").agg(F.min("short").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("probe", "pivot")
+    members = met.join(regions, "probe").where("short != pivot").select("pivot", "short").distinct()
+    known = classes.select("short", "node", "doc", "size", "parts")
+    pivot_of = known.select(*[F.col(c).alias(f"pivot_{c}") for c in known.columns])
+    members = members.join(known, "short").join(pivot_of, F.col("pivot") == F.col("pivot_short"))
+    members = members.select("node", "doc", "size", "parts", F.col("pivot_node").alias("pivot"), "pivot_doc", "pivot_size", "pivot_parts")
+    members = cut_lineage(_bounded(members, percent))
+
+    near = members.where("near").select(F.hex("pivot").alias("cell"), "pivot", "node", "doc", "pivot_doc")
+    pairs = cut_lineage(_far_pairs(members, percent, cell_size))
+    wanted = near.select("node", "doc").union(near.select("pivot", "pivot_doc"))
+    wanted = wanted.union(pairs.select("node", "doc")).union(pairs.select("pivot", "pivot_doc")).distinct()
     # a class is read from the rows of its smallest id; without an id, from the rows that have none
     named = docs.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "node")
     nameless = docs.where("doc_id is null").select("text", F.lit(None).cast("binary").alias("node"))
@@ -285,24 +361,21 @@ def similar_components(
     others = nameless.mapInArrow(_sets(n), schema).join(wanted.select("node"), "node", "left_semi")
     sets = cut_lineage(named.mapInArrow(_sets(n), schema).unionByName(others).dropDuplicates(["node"]))
 
-    fits = 100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")
-    near = members.where(fits).select(F.hex("pivot").alias("cell"), "pivot", "node")
-    measured = cut_lineage(_measured(near, sets))
+    measured = cut_lineage(_measured(near.select("cell", "pivot", "node"), sets))
+    apart = _measured(pairs.select(F.lit("").alias("cell"), "pivot", "node"), sets)
     close = 100 * F.col("common") >= percent * F.col("union")
-    links = [measured.where(close).select(F.col("node").alias("a"), F.col("pivot").alias("b"))]
-    cells = measured.select("cell", "node", (~close).alias("outer"), (1 - F.col("common") / F.col("union")).alias("far")).unionByName(
-        members.where(~fits).select(F.hex("pivot").alias("cell"), "node", F.lit(True).alias("outer"), F.lit(None).cast("double").alias("far"))
-    )
+    links = [m.where(close).select(F.col("node").alias("a"), F.col("pivot").alias("b")) for m in (measured, apart)]
+    cells = measured.select("cell", "node", (~close).alias("outer"), (1 - F.col("common") / F.col("union")).alias("far"))
     links += _link_cells(cells, sets, percent, cell_size, pivots, levels)
     every = links[0]
     for more in links[1:]:
         every = every.union(more)
     labels = connected(every)
-    known = prints.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
+    labelled = prints.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
     group = F.coalesce("label", "node")
-    smallest = known.where("node is not null").groupBy(group.alias("group")).agg(F.min("doc_id").alias("component_id"))
+    smallest = labelled.where("node is not null").groupBy(group.alias("group")).agg(F.min("doc_id").alias("component_id"))
     return (
-        known.withColumn("group", group)
+        labelled.withColumn("group", group)
         .join(smallest, "group", "left")
         .select("doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     )
