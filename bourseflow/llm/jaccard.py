@@ -11,7 +11,7 @@ opened by a shared rare shingle and its pivot is a document that has it:
    region unless a text has nothing else.
 2. Texts with equal sets are one class. Classes that share a probe meet in the
    region of the pivot, the class with the smallest document among them.
-3. Thirty-two counts of a set's shingles by hash prefix bound the size of a
+3. Counts of a set's shingles by hash prefix (first 32, then 256) bound the size of a
    symmetric difference from below (each is a distance to a fixed part of the
    universe, and the triangle inequality holds for it). Members far from their
    pivot, and pairs with such a member, are dropped by these bounds alone; the
@@ -49,12 +49,12 @@ from bourseflow.llm.components import connected
 from bourseflow.session import cut_lineage
 
 #: Buckets of the shingle counts; four bytes each per task, one byte each broadcast.
-COUNT_BUCKETS = 1 << 21
+COUNT_BUCKETS = 1 << 20
 _SLICES = 64
 #: Largest cell that one task joins; pivots of a split; levels of splitting.
 CELL, PIVOTS, LEVELS = 256, 8, 3
-#: Counts of a set by hash prefix; a count stops at 255, which keeps the bound.
-PARTS = 32
+#: Counts of a set by hash prefix, coarse and fine; a count stops at 255, which keeps the bound.
+PARTS, FINE = 32, 256
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -115,17 +115,19 @@ def _probes(n: int, percent: int, levels, buckets: int):
     def step(batches):
         level = levels.value
         for batch in batches:
-            sizes, nodes, probes, parts = [], [], [], []
+            sizes, nodes, probes, parts, fine = [], [], [], [], []
             for s in shingle_sets(W.as_bytes(batch.column(1)), n):
                 sizes.append(len(s))
                 nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 k = len(s) - (percent * len(s) + 99) // 100 + 1
                 rank = (level[_bucket(s, buckets)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
                 probes.append(s[np.argpartition(rank, k - 1)[:k]].view(np.int64) if len(s) else [])
-                parts.append(np.minimum(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
+                count = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=FINE)
+                fine.append(np.minimum(count, 255).astype(np.uint8).tobytes())
+                parts.append(np.minimum(count.reshape(PARTS, -1).sum(axis=1), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(probes, pa.list_(pa.int64())), pa.array(parts, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "probes", "parts"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(probes, pa.list_(pa.int64())), pa.array(parts, pa.binary()), pa.array(fine, pa.binary())],
+                names=["doc_id", "n_shingles", "node", "probes", "parts", "fine"],
             )
 
     return step
@@ -188,18 +190,18 @@ def _may_link(sizes_a, sizes_b, apart, percent: int):
     return (100 * low >= percent * high) & ((100 + percent) * apart <= (100 - percent) * (low + high))
 
 
-def _parts(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, PARTS).astype(np.int16)
+def _parts(column: pa.Array, width: int = PARTS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width).astype(np.int16)
 
 
-def _bounded(members: DataFrame, percent: int) -> DataFrame:
+def _bounded(members: DataFrame, percent: int, parts: str = "parts", width: int = PARTS) -> DataFrame:
     """``members`` with ``near``: the bounds do not part the class from its pivot."""
 
     names = members.columns
 
     def step(batches):
         for batch in batches:
-            apart = np.abs(_parts(batch.column("parts")) - _parts(batch.column("pivot_parts"))).sum(axis=1, dtype=np.int64)
+            apart = np.abs(_parts(batch.column(parts), width) - _parts(batch.column(f"pivot_{parts}"), width)).sum(axis=1, dtype=np.int64)
             near = _may_link(batch.column("size").to_numpy(), batch.column("pivot_size").to_numpy(), apart, percent)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], names=[*names, "near"])
 
@@ -208,7 +210,7 @@ def _bounded(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _far_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of a region's members, one of them far from the pivot, that the bounds do not part: ``node, doc, pivot, pivot_doc``.
+    """Pairs of a region's members, one of them far from the pivot, that the bounds do not part: ``node, pivot``.
 
     Regions are dealt in pairs of blocks of about ``block`` members, one task each.
     """
@@ -228,16 +230,16 @@ def _far_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
             first += [i] * len(found)
             second += found.tolist()
         take = lambda c, rows: table.column(c).take(pa.array(rows, pa.int64()))
-        return pa.table({"node": take("node", first), "doc": take("doc", first), "pivot": take("node", second), "pivot_doc": take("doc", second)})
+        return pa.table({"node": take("node", first), "pivot": take("node", second)})
 
-    rows = members.select(F.col("pivot").alias("cell"), "node", "doc", "size", "parts", "near")
+    rows = members.select(F.col("pivot").alias("cell"), "node", "size", "parts", "near")
     sizes = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("all_near")).where("n > 1 and not all_near")
     blocks = sizes.select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     dealt = rows.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
     dealt = dealt.withColumn("side", side).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    found = dealt.drop("block", "other", "blocks").groupBy("cell", "low", "high").applyInArrow(step, "node binary, doc bigint, pivot binary, pivot_doc bigint")
+    found = dealt.drop("block", "other", "blocks").groupBy("cell", "low", "high").applyInArrow(step, "node binary, pivot binary")
     return found.dropDuplicates(["node", "pivot"])
 
 
@@ -336,13 +338,13 @@ def similar_components(
     """
     docs = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     levels_of = docs.sparkSession.sparkContext.broadcast(bucket_levels(docs, n, buckets))
-    prints = cut_lineage(docs.mapInArrow(_probes(n, percent, levels_of, buckets), "doc_id bigint, n_shingles bigint, node binary, probes array<bigint>, parts binary"))
-    short = F.xxhash64("node")  # only to meet in; decisions use the node
+    prints = cut_lineage(docs.mapInArrow(_probes(n, percent, levels_of, buckets), "doc_id bigint, n_shingles bigint, node binary, probes array<bigint>, parts binary, fine binary"))
+    short = F.xxhash64("node").alias("short")  # only to meet in; decisions use the node
     rows = prints.where("node is not null")
-    classes = rows.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), F.first("parts").alias("parts"), F.first("probes").alias("probes"))
-    classes = cut_lineage(classes.withColumn("short", short))
-    met = classes.select("short", F.explode("probes").alias("probe"))
-    regions = met.groupBy("probe").agg(F.min("short").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("probe", "pivot")
+    firsts = [F.first(c).alias(c) for c in ("parts", "fine")]
+    classes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), *firsts).select(short, "*"))
+    met = rows.select(short, F.explode("probes").alias("probe"))
+    regions = met.groupBy("probe").agg(F.min("short").alias("pivot"), F.max("short").alias("last")).where("pivot < last").select("probe", "pivot")
     members = met.join(regions, "probe").where("short != pivot").select("pivot", "short").distinct()
     known = classes.select("short", "node", "doc", "size", "parts")
     pivot_of = known.select(*[F.col(c).alias(f"pivot_{c}") for c in known.columns])
@@ -350,8 +352,18 @@ def similar_components(
     members = members.select("node", "doc", "size", "parts", F.col("pivot_node").alias("pivot"), "pivot_doc", "pivot_size", "pivot_parts")
     members = cut_lineage(_bounded(members, percent))
 
-    near = members.where("near").select(F.hex("pivot").alias("cell"), "pivot", "node", "doc", "pivot_doc")
-    pairs = cut_lineage(_far_pairs(members, percent, cell_size))
+    def finer(pairs: DataFrame) -> DataFrame:
+        """``pairs(node, pivot)`` that the fine counts do not part, with the smallest ids of both."""
+        fine = classes.select("node", "doc", "size", "fine")
+        other = fine.select(*[F.col(c).alias(f"pivot_{c}") for c in fine.columns]).withColumnRenamed("pivot_node", "pivot")
+        kept = _bounded(pairs.join(fine, "node").join(other, "pivot"), percent, "fine", FINE)
+        return cut_lineage(kept.where("near").select("node", "doc", "pivot", "pivot_doc"))
+
+    near = finer(members.where("near").select("node", "pivot"))
+    sure = near.select("node", "pivot", F.lit(True).alias("near"))
+    members = members.drop("near").join(sure, ["node", "pivot"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    pairs = finer(_far_pairs(members, percent, cell_size))
+    near = near.withColumn("cell", F.hex("pivot"))
     wanted = near.select("node", "doc").union(near.select("pivot", "pivot_doc"))
     wanted = wanted.union(pairs.select("node", "doc")).union(pairs.select("pivot", "pivot_doc")).distinct()
     # a class is read from the rows of its smallest id; without an id, from the rows that have none
