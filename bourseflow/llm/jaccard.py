@@ -14,8 +14,8 @@ opened by a shared rare shingle and its pivot is a document that has it:
 3. Counts of a set's shingles by hash prefix (first 32, then 256) bound the size of a
    symmetric difference from below (each is a distance to a fixed part of the
    universe, and the triangle inequality holds for it). Members far from their
-   pivot, and pairs with such a member, are dropped by these bounds alone; the
-   sets of what remains are read once more from the texts.
+   pivot and from each other are dropped by these bounds alone; the sets of what
+   remains are read once more from the texts.
 4. The distance to the pivot is computed. Those within the radius r = 1 - t are
    linked. Only a class outside the radius can bring a link that is still
    unknown, so regions without one are done.
@@ -209,9 +209,10 @@ def _bounded(members: DataFrame, percent: int, parts: str = "parts", width: int
     return members.mapInArrow(step, f"{fields}, near boolean")
 
 
-def _far_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of a region's members, one of them far from the pivot, that the bounds do not part: ``node, pivot``.
+def _candidates(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """``cell, node``: members of a region that the bounds do not part from some other one, one of the two far from the pivot.
 
+    Names members, not pairs: what comes out is no more than what goes in.
     Regions are dealt in pairs of blocks of about ``block`` members, one task each.
     """
 
@@ -219,18 +220,18 @@ def _far_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
         parts = _parts(table.column("parts").combine_chunks())
         size, near = table.column("size").to_numpy(), table.column("near").to_numpy(zero_copy_only=False)
         side = table.column("side").to_numpy()
-        first, second = [], []
+        taken = np.zeros(len(size), dtype=bool)
         for i in np.flatnonzero(~near):
             apart = np.abs(parts - parts[i]).sum(axis=1, dtype=np.int64)
             fits = _may_link(size, size[i], apart, percent)
-            # both far: once; blocks meet as sides 0 and 1, a block with itself is side -1
-            fits &= near | (np.arange(len(size)) > i) if side[i] < 0 else side != side[i]
+            # blocks meet as sides 0 and 1, a block with itself is side -1
+            if side[i] >= 0:
+                fits &= side != side[i]
             fits[i] = False
-            found = np.flatnonzero(fits)
-            first += [i] * len(found)
-            second += found.tolist()
-        take = lambda c, rows: table.column(c).take(pa.array(rows, pa.int64()))
-        return pa.table({"node": take("node", first), "pivot": take("node", second)})
+            taken |= fits
+            taken[i] |= fits.any()
+        rows = pa.array(np.flatnonzero(taken))
+        return pa.table({"cell": table.column("cell").take(rows), "node": table.column("node").take(rows)})
 
     rows = members.select(F.col("pivot").alias("cell"), "node", "size", "parts", "near")
     sizes = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("all_near")).where("n > 1 and not all_near")
@@ -239,8 +240,8 @@ def _far_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
     dealt = dealt.withColumn("side", side).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    found = dealt.drop("block", "other", "blocks").groupBy("cell", "low", "high").applyInArrow(step, "node binary, pivot binary")
-    return found.dropDuplicates(["node", "pivot"])
+    found = dealt.drop("block", "other", "blocks").groupBy("cell", "low", "high").applyInArrow(step, "cell binary, node binary")
+    return found.distinct().select(F.hex("cell").alias("cell"), "node")
 
 
 def _join_cell(percent: int):
@@ -362,10 +363,11 @@ def similar_components(
     near = finer(members.where("near").select("node", "pivot"))
     sure = near.select("node", "pivot", F.lit(True).alias("near"))
     members = members.drop("near").join(sure, ["node", "pivot"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    pairs = finer(_far_pairs(members, percent, cell_size))
     near = near.withColumn("cell", F.hex("pivot"))
+    far = _candidates(members, percent, cell_size).join(near.select("cell", "node"), ["cell", "node"], "left_anti")
+    far = cut_lineage(far.join(classes.select("node", "doc"), "node"))
     wanted = near.select("node", "doc").union(near.select("pivot", "pivot_doc"))
-    wanted = wanted.union(pairs.select("node", "doc")).union(pairs.select("pivot", "pivot_doc")).distinct()
+    wanted = wanted.union(far.select("node", "doc")).distinct()
     # a class is read from the rows of its smallest id; without an id, from the rows that have none
     named = docs.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "node")
     nameless = docs.where("doc_id is null").select("text", F.lit(None).cast("binary").alias("node"))
@@ -374,10 +376,10 @@ def similar_components(
     sets = cut_lineage(named.mapInArrow(_sets(n), schema).unionByName(others).dropDuplicates(["node"]))
 
     measured = cut_lineage(_measured(near.select("cell", "pivot", "node"), sets))
-    apart = _measured(pairs.select(F.lit("").alias("cell"), "pivot", "node"), sets)
     close = 100 * F.col("common") >= percent * F.col("union")
-    links = [m.where(close).select(F.col("node").alias("a"), F.col("pivot").alias("b")) for m in (measured, apart)]
+    links = [measured.where(close).select(F.col("node").alias("a"), F.col("pivot").alias("b"))]
     cells = measured.select("cell", "node", (~close).alias("outer"), (1 - F.col("common") / F.col("union")).alias("far"))
+    cells = cells.unionByName(far.select("cell", "node", F.lit(True).alias("outer"), F.lit(None).cast("double").alias("far")))
     links += _link_cells(cells, sets, percent, cell_size, pivots, levels)
     every = links[0]
     for more in links[1:]:
