@@ -16,9 +16,11 @@ opened by a shared rare shingle and its pivot is a document that has it:
    universe, and the triangle inequality holds for it). Members far from their
    pivot and from each other are dropped by these bounds alone; the sets of what
    remains are read once more from the texts.
-4. The distance to the pivot is computed. Those within the radius r = 1 - t are
-   linked. Only a class outside the radius can bring a link that is still
-   unknown, so regions without one are done.
+4. The distance to one pivot of each class is computed first, and those within
+   the radius r = 1 - t are linked. Other pivots are measured only for classes
+   that these links do not connect with them. Only a class that is not connected
+   with its pivot can bring a link that joins components, so regions in which all
+   are connected are done.
 5. Others are cells: a small cell is joined exactly in one task, using the
    windows ``|d(x, p) - d(y, p)| <= r``, the sizes, and the links known so far.
    A large cell is split again: further pivots make Voronoi cells, and a class
@@ -184,6 +186,19 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out.select("cell.cell", "cell.pivot", "node", "common", "union")
 
 
+def _close(measured: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` of the measured pairs that are similar enough."""
+    return measured.where(100 * F.col("common") >= percent * F.col("union")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+
+
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pairs(cell, pivot, node)`` with the components of both so far; a class without links is its own."""
+    of = labels.select("node", "label")
+    pivot_of = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
+    found = pairs.join(of, "node", "left").join(pivot_of, "pivot", "left")
+    return found.withColumns({"label": F.coalesce("label", "node"), "pivot_label": F.coalesce("pivot_label", "pivot")})
+
+
 def _may_link(sizes_a, sizes_b, apart, percent: int):
     """Bounds that every linked pair keeps: sizes, and the symmetric difference."""
     low, high = np.minimum(sizes_a, sizes_b), np.maximum(sizes_a, sizes_b)
@@ -245,7 +260,7 @@ def _candidates(members: DataFrame, percent: int, block: int) -> DataFrame:
 
 
 def _join_cell(percent: int):
-    """Links inside one cell, enough to connect what is linked; ``outer`` classes are compared with all, others are linked with the pivot already."""
+    """Links inside one cell, enough to connect what is linked; ``outer`` classes are compared with all, others are connected with the pivot already."""
     radius = 1 - percent / 100
 
     def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -258,7 +273,9 @@ def _join_cell(percent: int):
         nodes, sides = table.column("node").to_pylist(), table.column("side").to_pylist()
         outer, far = table.column("outer").to_pylist(), table.column("far").to_pylist()
         sets = [_as_set(x) for x in table.column("shingles").to_pylist()]
-        parent = list(range(len(nodes)))
+        # members with one label are connected already
+        heads: dict[bytes, int] = {}
+        parent = [heads.setdefault(label, i) for i, label in enumerate(table.column("label").to_pylist())]
 
         def root(i: int) -> int:
             while parent[i] != i:
@@ -266,9 +283,6 @@ def _join_cell(percent: int):
                 i = parent[i]
             return i
 
-        inner = [i for i in range(len(nodes)) if not outer[i]]
-        for i in inner[1:]:
-            parent[root(i)] = root(inner[0])
         out_a, out_b = [], []
         for i in range(len(nodes)):
             if not outer[i]:
@@ -289,12 +303,15 @@ def _join_cell(percent: int):
 
 
 def _link_cells(cells: DataFrame, sets: DataFrame, percent: int, cell_size: int, pivots: int, levels: int) -> list[DataFrame]:
-    """Links inside the cells (cell string, node, outer, far), splitting large cells."""
+    """Links inside the cells (cell string, node, label, outer, far), splitting large cells.
+
+    Cells with one label have nothing left to connect.
+    """
     found = []
     join = _join_cell(percent)
     for level in range(levels + 1):
         cells = cut_lineage(cells)
-        sizes = cut_lineage(cells.groupBy("cell").agg(F.count("*").alias("size"), F.max("outer").alias("any")).where("any").drop("any"))
+        sizes = cut_lineage(cells.groupBy("cell").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").drop("low", "high"))
         small = cells.join(sizes.where(F.col("size") <= cell_size), "cell").withColumn("side", F.lit(-1))
         found.append(small.join(sets, "node").groupBy("cell").applyInArrow(join, "a binary, b binary"))
         large = sizes.where(F.col("size") > cell_size)
@@ -315,8 +332,8 @@ def _link_cells(cells: DataFrame, sets: DataFrame, percent: int, cell_size: int,
         copies = measured.join(nearest, ["cell", "node"]).where(F.col("d") <= F.col("near") + limit)
         # pivots have met every class of the cell
         copies = copies.join(chosen.withColumnRenamed("pivot", "node"), ["cell", "node"], "left_anti")
-        cells = copies.join(rest.select("cell", "node", "outer"), ["cell", "node"]).select(
-            F.concat_ws("/", "cell", F.hex("pivot")).alias("cell"), "node", "outer", F.col("d").alias("far")
+        cells = copies.join(rest.select("cell", "node", "label", "outer"), ["cell", "node"]).select(
+            F.concat_ws("/", "cell", F.hex("pivot")).alias("cell"), "node", "label", "outer", F.col("d").alias("far")
         )
     # blocks of what pivots could not split: every pair of blocks is one task
     blocks = rest.select("cell", "size").distinct().withColumn("blocks", F.ceil(F.col("size") / (cell_size // 2)).cast("int")).drop("size")
@@ -324,7 +341,7 @@ def _link_cells(cells: DataFrame, sets: DataFrame, percent: int, cell_size: int,
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = dealt.withColumn("other", others).withColumn("side", F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1))
     met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    met = met.select("cell", "low", "high", "node", "outer", "far", "side")
+    met = met.select("cell", "low", "high", "node", "label", "outer", "far", "side")
     found.append(met.join(sets, "node").groupBy("cell", "low", "high").applyInArrow(join, "a binary, b binary"))
     return found
 
@@ -375,11 +392,20 @@ def similar_components(
     others = nameless.mapInArrow(_sets(n), schema).join(wanted.select("node"), "node", "left_semi")
     sets = cut_lineage(named.mapInArrow(_sets(n), schema).unionByName(others).dropDuplicates(["node"]))
 
-    measured = cut_lineage(_measured(near.select("cell", "pivot", "node"), sets))
-    close = 100 * F.col("common") >= percent * F.col("union")
-    links = [measured.where(close).select(F.col("node").alias("a"), F.col("pivot").alias("b"))]
-    cells = measured.select("cell", "node", (~close).alias("outer"), (1 - F.col("common") / F.col("union")).alias("far"))
-    cells = cells.unionByName(far.select("cell", "node", F.lit(True).alias("outer"), F.lit(None).cast("double").alias("far")))
+    # one pivot per class connects most of a family; a set is sent again only for pairs still apart
+    pairs = near.select("cell", "pivot", "node")
+    chosen = near.groupBy("node").agg(F.min_by("pivot", F.xxhash64("pivot")).alias("pivot"))
+    measured = cut_lineage(_measured(pairs.join(chosen, ["node", "pivot"], "left_semi"), sets))
+    links = [_close(measured, percent)]
+    labels = connected(links[0])
+    apart = _labelled(pairs.join(chosen, ["node", "pivot"], "left_anti"), labels).where("label != pivot_label")
+    others = cut_lineage(_measured(apart.select("cell", "pivot", "node"), sets))
+    links.append(_close(others, percent))
+    labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links[1]))
+    distances = measured.unionByName(others).select("cell", "node", (1 - F.col("common") / F.col("union")).alias("far"))
+    cells = _labelled(pairs.unionByName(far.select("cell", F.unhex("cell").alias("pivot"), "node")), labels)
+    cells = cells.join(distances, ["cell", "node"], "left")
+    cells = cells.select("cell", "node", "label", (F.col("label") != F.col("pivot_label")).alias("outer"), "far")
     links += _link_cells(cells, sets, percent, cell_size, pivots, levels)
     every = links[0]
     for more in links[1:]:
