@@ -176,6 +176,21 @@ def _measure(batches):
         )
 
 
+def _measure_block(table: pa.Table) -> pa.Table:
+    """Distances of the members of one block to the pivots of its cell."""
+    names, cells = table.column("node").to_pylist(), table.column("cell").to_pylist()
+    sets = [_as_set(x) for x in table.column("shingles").to_pylist()]
+    is_pivot = table.column("is_pivot").to_pylist()
+    out = []
+    for i in (i for i, p in enumerate(is_pivot) if p):
+        for j in (j for j, p in enumerate(is_pivot) if not p):
+            k = _common(sets[i], sets[j])
+            out.append((cells[j], names[i], names[j], k, len(sets[i]) + len(sets[j]) - k))
+    columns = list(zip(*out)) or [()] * 5
+    kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["cell", "pivot", "node", "common", "union"])
+
+
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs(cell, pivot, node)`` with common and union size."""
     left = pairs.join(sets, "node")
@@ -324,8 +339,14 @@ def _link_cells(cells: DataFrame, sets: DataFrame, percent: int, cell_size: int,
         order = F.min_by(F.col("node"), F.xxhash64("cell", "node"))
         spread = rest.where("outer").withColumn("k", F.pmod(F.xxhash64("node"), F.lit(pivots)))
         chosen = spread.groupBy("cell", "k").agg(order.alias("pivot")).drop("k")
-        pairs = rest.join(chosen, "cell").select("cell", "pivot", "node")
-        measured = cut_lineage(_measured(pairs, sets).withColumn("d", 1 - F.col("common") / F.col("union")))
+        # a set is sent once, to a block of its cell, and the few pivots of the cell to every block
+        size = F.ceil(F.col("size") / cell_size).cast("int")
+        dealt = rest.select("cell", "node", F.pmod(F.xxhash64("node"), size).cast("int").alias("block"), F.lit(False).alias("is_pivot"))
+        every = F.explode(F.sequence(F.lit(0), size - 1)).alias("block")
+        sent = chosen.join(large, "cell").select("cell", F.col("pivot").alias("node"), every, F.lit(True).alias("is_pivot"))
+        met = dealt.unionByName(sent).join(sets, "node").groupBy("cell", "block")
+        measured = met.applyInArrow(_measure_block, "cell string, pivot binary, node binary, common bigint, union bigint")
+        measured = cut_lineage(measured.withColumn("d", 1 - F.col("common") / F.col("union")))
         found.append(measured.where((100 * F.col("common") >= percent * F.col("union")) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         nearest = measured.groupBy("cell", "node").agg(F.min("d").alias("near"))
         limit = 2 * (1 - percent / 100) + 1e-9
