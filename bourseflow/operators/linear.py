@@ -89,7 +89,9 @@ def time_columns(day: Column) -> dict[str, Column]:
 
 
 def design(daily: DataFrame, layout: Layout, holidays: Sequence[str] = (), validation_share: float = 0.2) -> DataFrame:
-    """``symbol, ds, y, is_validation, x``: the wide design of every day that has all lags.
+    """``symbol, ds, y, is_validation, x, regressors``: the wide design of every day that has all lags.
+
+    ``regressors`` are the day's own values of the lagged variables other than ``y``.
 
     ``holidays``: month-day texts (``01-01``). The split is made before rows
     without full lags are left out, so validation rows keep their history.
@@ -103,7 +105,9 @@ def design(daily: DataFrame, layout: Layout, holidays: Sequence[str] = (), valid
         for k in range(1, n + 1):
             columns[f"{variable}_lag_{k}"] = previous(variable, k)
     wide = F.array(*[columns[n].cast("double") for n in layout.names])
-    rows = marked.select("symbol", "ds", "y", "is_validation", wide.alias("x"))
+    own = [F.col(v).cast("double") for v in layout.max_lags if v != "y"]
+    regressors = F.array(*own).cast("array<double>").alias("regressors")
+    rows = marked.select("symbol", "ds", "y", "is_validation", wide.alias("x"), regressors)
     return rows.where(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
 
 
@@ -208,10 +212,11 @@ def forecast_ahead(
     """Forecasts for the ``horizon`` calendar days after the last one, one step at a time.
 
     Only the last design row of a symbol is needed: it holds every lag. Own lags
-    move on with the forecasts; lagged regressors and the factor keep their last values.
+    move on with the forecasts. Lagged regressors move on once, to the values of
+    the last day (a null one stays out), and then keep them, as the factor does.
     """
     last = rows.groupBy("symbol").agg(
-        F.max("ds").alias("last_day"), F.max_by("x", "ds").alias("x"), F.max_by("y", "ds").alias("y")
+        F.max("ds").alias("last_day"), F.max_by("x", "ds").alias("x"), F.max_by("y", "ds").alias("y"), F.max_by("regressors", "ds").alias("regressors")
     )
     days = last.join(coefficients, "symbol").withColumn(
         "step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))
@@ -220,15 +225,20 @@ def forecast_ahead(
     columns = time_columns(day)
     columns["holiday"] = F.date_format(day, "MM-dd").isin(list(holidays)).cast("double") if holidays else F.lit(0.0)
     fixed = F.array(*[columns[n].cast("double") for n in layout.names if n in columns])
-    steps = days.select("symbol", "step", day.alias("ds"), "x", "y", "coefficients", fixed.alias("time"))
+    steps = days.select("symbol", "step", day.alias("ds"), "x", "y", "regressors", "coefficients", fixed.alias("time"))
     time_at = [i for i, n in enumerate(layout.names) if n in columns]
     own_at = [layout.names.index(f"y_lag_{k}") for k in range(1, layout.max_lags.get("y", 0) + 1)]
 
+    lags_at = [[layout.names.index(f"{v}_lag_{k}") for k in range(1, n + 1)] for v, n in layout.max_lags.items() if v != "y"]
+
     def walk(steps: pd.DataFrame) -> pd.DataFrame:
         steps = steps.sort_values("step")
         x = np.array(steps["x"].iloc[0], dtype=float)
         weights = np.asarray(steps["coefficients"].iloc[0], dtype=float)
         newest, found = float(steps["y"].iloc[0]), []
+        for at, value in zip(lags_at, np.array(steps["regressors"].iloc[0], dtype=float)):
+            if at and not np.isnan(value):
+                x[at] = np.concatenate([[value], x[at][:-1]])
         for time in steps["time"]:
             x[time_at] = time
             if own_at:

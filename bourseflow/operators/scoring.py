@@ -97,9 +97,11 @@ def keep_first(factors: DataFrame, order: str = "updated_time", date: str = "ds"
     """The first row per symbol and date, in the order the rows were written.
 
     A grouped minimum instead of a window: partial minima leave one row per key
-    and task for the shuffle, however often a day was scored again. ``order``
-    must be unique within a key.
+    and task for the shuffle, however often a day was scored again. All columns
+    come from one row: at equal ``order`` the smallest of the other columns decides.
     """
     rest = [c for c in factors.columns if c not in ("symbol", date)]
-    firsts = [F.min_by(c, order).alias(c) for c in rest if c != order]
-    return factors.groupBy("symbol", date).agg(*firsts, F.min(order).alias(order))
+    rest = [c for c in rest if c != order]
+    first = F.min(F.struct(order, *rest)).alias("_first")
+    found = factors.groupBy("symbol", date).agg(first)
+    return found.select("symbol", date, *[F.col("_first")[c].alias(c) for c in (*rest, order)])

@@ -413,7 +413,7 @@ O["score_stream"] = f"""WITH {SENTIMENT} SELECT symbol, CAST(news_date AS VARCHA
   'word balance' AS explanation FROM scored"""
 
 O["parse_response"] = r"""WITH base AS (SELECT l.doc_id, quality - toxic AS number,
-    regexp_replace(substr(d.text, 1, 40), '\n', ' ', 'g') AS head FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+    regexp_replace(d.text, '\n', ' ', 'g') AS head FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
 bodies AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN head ELSE number || chr(10) || head END AS body FROM base),
 replies AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '<think>' || chr(10) || 'not 9.9' || chr(10) || '</think>' || chr(10) || body
   ELSE body END AS reply FROM bodies),

@@ -44,6 +44,8 @@ def with_retrieved_rules(
     articles per company and day.
     """
     digest = cut_lineage(digest)
+    # a rule listed twice takes one place and is joined once
+    rules = rules.groupBy("uuid").agg(F.min("content").alias("content"))
     model = embedding_model(rules, dimensions)
     day_key = F.concat_ws("|", "symbol", F.col("news_date").cast("string"))
     queries = embed(digest.select(day_key.alias("query_id"), prompts.query_text().alias("content")), model)

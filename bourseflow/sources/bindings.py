@@ -159,7 +159,7 @@ def company_rules() -> dict[str, dict[str, list[str]]]:
 def replies(spark: SparkSession, folder: str) -> DataFrame:
     """Model replies of every shape: plain, with a thinking block, without a number."""
     labels = read_table(spark, folder, "labels")
-    documents = read_table(spark, folder, "documents").select("doc_id", F.substring("text", 1, 40).alias("head"))
+    documents = read_table(spark, folder, "documents").select("doc_id", F.col("text").alias("head"))
     number = (F.col("quality") - F.col("toxic")).cast("string")
     head = F.regexp_replace("head", r"\n", " ")
     body = F.when(F.col("doc_id") % 11 == 0, head).otherwise(F.concat(number, F.lit("\n"), head))

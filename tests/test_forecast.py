@@ -85,7 +85,7 @@ def test_forecast_ahead_steps_on_its_own_values(spark, series):
     got = linear.forecast_ahead(rows, fitted, LAYOUT).where("symbol = 'a'").orderBy("ds").toPandas()
     weights = dict(zip(LAYOUT.names, fitted.where("symbol = 'a'").first()["coefficients"]))
     past = series.where("symbol = 'a'").orderBy("ds").toPandas()
-    y, volume = list(past["y"]), past["volume"].iloc[-2]
+    y, volume = list(past["y"]), past["volume"].iloc[-1]
     expected = []
     for step in range(1, 8):
         day = past["ds"].iloc[-1] + timedelta(days=step)
