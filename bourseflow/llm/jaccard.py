@@ -13,16 +13,18 @@ opened by a shared rare shingle and its pivot is a document that has it:
    region of the pivot, the class with the smallest document among them.
 3. Counts of a set's shingles by hash prefix (first 32, then 256) bound the size of a
    symmetric difference from below (each is a distance to a fixed part of the
-   universe, and the triangle inequality holds for it). Members far from their
-   pivot and from each other are dropped by these bounds alone; the sets of what
-   remains are read once more from the texts.
+   universe, and the triangle inequality holds for it). Only members that these
+   bounds do not part from their pivot are near; their sets are read once more
+   from the texts.
 4. The distance to one pivot of each class is computed first, and those within
    the radius r = 1 - t are linked. Other pivots are measured only for classes
    that these links do not connect with them. Only a class that is not connected
    with its pivot can bring a link that joins components, so regions in which all
    are connected are done.
-5. Others are cells: a small cell is joined exactly in one task, using the
-   windows ``|d(x, p) - d(y, p)| <= r``, the sizes, and the links known so far.
+5. In the others the same bounds name the members that may link with a member of
+   another component. These are the cells: a small cell is joined exactly in one
+   task, using the windows ``|d(x, p) - d(y, p)| <= r``, the sizes, and the links
+   known so far.
    A large cell is split again: further pivots make Voronoi cells, and a class
    is also copied into every cell whose pivot is no more than ``2 r`` further
    than its nearest one, so partners always meet. Cells that pivots cannot
@@ -55,6 +57,8 @@ COUNT_BUCKETS = 1 << 20
 _SLICES = 64
 #: Largest cell that one task joins; pivots of a split; levels of splitting.
 CELL, PIVOTS, LEVELS = 256, 8, 3
+#: Members of a region whose counts meet those of another such block in one task.
+BLOCK = 1024
 #: Counts of a set by hash prefix, coarse and fine; a count stops at 255, which keeps the bound.
 PARTS, FINE = 32, 256
 
@@ -240,38 +244,45 @@ def _bounded(members: DataFrame, percent: int, parts: str = "parts", width: int
 
 
 def _candidates(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """``cell, node``: members of a region that the bounds do not part from some other one, one of the two far from the pivot.
+    """``cell, node, label, outer``: members that may link with one of another component, one of the two not connected with the pivot.
 
     Names members, not pairs: what comes out is no more than what goes in.
-    Regions are dealt in pairs of blocks of about ``block`` members, one task each.
+    Regions (cell, node, size, fine, label, outer) are dealt in pairs of blocks
+    of about ``block`` members, one task each.
     """
 
     def step(table: pa.Table) -> pa.Table:
-        parts = _parts(table.column("parts").combine_chunks())
-        size, near = table.column("size").to_numpy(), table.column("near").to_numpy(zero_copy_only=False)
+        table = table.sort_by("size")
+        fine = _parts(table.column("fine").combine_chunks(), FINE)
+        coarse = fine.reshape(len(fine), PARTS, -1).sum(axis=2)
+        size, outer = table.column("size").to_numpy(), table.column("outer").to_numpy(zero_copy_only=False)
+        label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
         side = table.column("side").to_numpy()
+        begin = np.searchsorted(size, (percent * size + 99) // 100)
+        end = np.searchsorted(size, 100 * size // percent, side="right")
         taken = np.zeros(len(size), dtype=bool)
-        for i in np.flatnonzero(~near):
-            apart = np.abs(parts - parts[i]).sum(axis=1, dtype=np.int64)
-            fits = _may_link(size, size[i], apart, percent)
+        for i in np.flatnonzero(outer):
+            a, b = begin[i], end[i]
             # blocks meet as sides 0 and 1, a block with itself is side -1
+            fits = label[a:b] != label[i]
             if side[i] >= 0:
-                fits &= side != side[i]
-            fits[i] = False
-            taken |= fits
-            taken[i] |= fits.any()
-        rows = pa.array(np.flatnonzero(taken))
-        return pa.table({"cell": table.column("cell").take(rows), "node": table.column("node").take(rows)})
-
-    rows = members.select(F.col("pivot").alias("cell"), "node", "size", "parts", "near")
-    sizes = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("all_near")).where("n > 1 and not all_near")
-    blocks = sizes.select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+                fits &= side[a:b] != side[i]
+            rows = a + np.flatnonzero(fits)
+            for part in (coarse, fine):
+                apart = np.abs(part[rows] - part[i]).sum(axis=1, dtype=np.int64)
+                rows = rows[_may_link(size[rows], size[i], apart, percent)]
+            taken[rows] = True
+            taken[i] |= len(rows) > 0
+        return table.select(["cell", "node", "label", "outer"]).take(pa.array(np.flatnonzero(taken)))
+
+    sizes = members.groupBy("cell").agg(F.count("*").alias("n"), F.max("outer").alias("any"), F.min("label").alias("low"), F.max("label").alias("high"))
+    blocks = sizes.where("any and low < high").select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
     dealt = dealt.withColumn("side", side).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    found = dealt.drop("block", "other", "blocks").groupBy("cell", "low", "high").applyInArrow(step, "cell binary, node binary")
-    return found.distinct().select(F.hex("cell").alias("cell"), "node")
+    found = dealt.drop("block", "other", "blocks").groupBy("cell", "low", "high").applyInArrow(step, "cell binary, node binary, label binary, outer boolean")
+    return found.distinct().select(F.hex("cell").alias("cell"), "node", "label", "outer")
 
 
 def _join_cell(percent: int):
@@ -389,32 +400,25 @@ def similar_components(
     pivot_of = known.select(*[F.col(c).alias(f"pivot_{c}") for c in known.columns])
     members = members.join(known, "short").join(pivot_of, F.col("pivot") == F.col("pivot_short"))
     members = members.select("node", "doc", "size", "parts", F.col("pivot_node").alias("pivot"), "pivot_doc", "pivot_size", "pivot_parts")
-    members = cut_lineage(_bounded(members, percent))
-
-    def finer(pairs: DataFrame) -> DataFrame:
-        """``pairs(node, pivot)`` that the fine counts do not part, with the smallest ids of both."""
-        fine = classes.select("node", "doc", "size", "fine")
-        other = fine.select(*[F.col(c).alias(f"pivot_{c}") for c in fine.columns]).withColumnRenamed("pivot_node", "pivot")
-        kept = _bounded(pairs.join(fine, "node").join(other, "pivot"), percent, "fine", FINE)
-        return cut_lineage(kept.where("near").select("node", "doc", "pivot", "pivot_doc"))
-
-    near = finer(members.where("near").select("node", "pivot"))
-    sure = near.select("node", "pivot", F.lit(True).alias("near"))
-    members = members.drop("near").join(sure, ["node", "pivot"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    near = near.withColumn("cell", F.hex("pivot"))
-    far = _candidates(members, percent, cell_size).join(near.select("cell", "node"), ["cell", "node"], "left_anti")
-    far = cut_lineage(far.join(classes.select("node", "doc"), "node"))
-    wanted = near.select("node", "doc").union(near.select("pivot", "pivot_doc"))
-    wanted = wanted.union(far.select("node", "doc")).distinct()
-    # a class is read from the rows of its smallest id; without an id, from the rows that have none
-    named = docs.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "node")
-    nameless = docs.where("doc_id is null").select("text", F.lit(None).cast("binary").alias("node"))
-    schema = "node binary, shingles binary"
-    others = nameless.mapInArrow(_sets(n), schema).join(wanted.select("node"), "node", "left_semi")
-    sets = cut_lineage(named.mapInArrow(_sets(n), schema).unionByName(others).dropDuplicates(["node"]))
+    members = cut_lineage(_bounded(members, percent).select("node", "size", "pivot", "near"))
+
+    fine = classes.select("node", "doc", "size", "fine")
+    other = fine.select(*[F.col(c).alias(f"pivot_{c}") for c in fine.columns]).withColumnRenamed("pivot_node", "pivot")
+    near = members.where("near").select("node", "pivot").join(fine, "node").join(other, "pivot")
+    near = cut_lineage(_bounded(near, percent, "fine", FINE).where("near").select("node", "doc", "pivot", "pivot_doc"))
+
+    def read_sets(wanted: DataFrame) -> DataFrame:
+        """Sets of the classes ``wanted(node, doc)``, read from the rows of the smallest id; without an id, from the rows that have none."""
+        named = docs.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "node")
+        nameless = docs.where("doc_id is null").select("text", F.lit(None).cast("binary").alias("node"))
+        schema = "node binary, shingles binary"
+        others = nameless.mapInArrow(_sets(n), schema).join(wanted.select("node"), "node", "left_semi")
+        return cut_lineage(named.mapInArrow(_sets(n), schema).unionByName(others).dropDuplicates(["node"]))
+
+    sets = read_sets(near.select("node", "doc").union(near.select("pivot", "pivot_doc")).distinct())
 
     # one pivot per class connects most of a family; a set is sent again only for pairs still apart
-    pairs = near.select("cell", "pivot", "node")
+    pairs = near.select(F.hex("pivot").alias("cell"), "pivot", "node")
     chosen = near.groupBy("node").agg(F.min_by("pivot", F.xxhash64("pivot")).alias("pivot"))
     measured = cut_lineage(_measured(pairs.join(chosen, ["node", "pivot"], "left_semi"), sets))
     links = [_close(measured, percent)]
@@ -424,9 +428,12 @@ def similar_components(
     links.append(_close(others, percent))
     labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links[1]))
     distances = measured.unionByName(others).select("cell", "node", (1 - F.col("common") / F.col("union")).alias("far"))
-    cells = _labelled(pairs.unionByName(far.select("cell", F.unhex("cell").alias("pivot"), "node")), labels)
+    regions = _labelled(members.select("pivot", "node", "size"), labels).join(classes.select("node", "fine"), "node")
+    regions = regions.select(F.col("pivot").alias("cell"), "node", "size", "fine", "label", (F.col("label") != F.col("pivot_label")).alias("outer"))
+    cells = cut_lineage(_candidates(regions, percent, BLOCK))
+    fresh = cells.select("node").distinct().join(sets.select("node"), "node", "left_anti")
+    sets = sets.unionByName(read_sets(fresh.join(classes.select("node", "doc"), "node")))
     cells = cells.join(distances, ["cell", "node"], "left")
-    cells = cells.select("cell", "node", "label", (F.col("label") != F.col("pivot_label")).alias("outer"), "far")
     links += _link_cells(cells, sets, percent, cell_size, pivots, levels)
     every = links[0]
     for more in links[1:]:
