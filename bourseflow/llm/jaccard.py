@@ -247,17 +247,20 @@ def _candidates(members: DataFrame, percent: int, block: int) -> DataFrame:
     """``cell, node, label, outer``: members that may link with one of another component, one of the two not connected with the pivot.
 
     Names members, not pairs: what comes out is no more than what goes in.
-    Regions (cell, node, size, fine, label, outer) are dealt in pairs of blocks
-    of about ``block`` members, one task each.
+    Regions (cell, node, size, fine, label, outer) are parted by classes of
+    size. Partners are in one class or in neighbouring ones, so a member is also
+    a guest in the class above. Large classes are dealt in pairs of blocks of
+    about ``block`` members, one task each.
     """
+    ratio = max(np.log(100 / percent), 0.01) * (1 + 1e-6)
 
     def step(table: pa.Table) -> pa.Table:
         table = table.sort_by("size")
         fine = _parts(table.column("fine").combine_chunks(), FINE)
-        coarse = fine.reshape(len(fine), PARTS, -1).sum(axis=2)
+        coarse = fine.reshape(len(fine), PARTS, -1).sum(axis=2, dtype=np.int16)
         size, outer = table.column("size").to_numpy(), table.column("outer").to_numpy(zero_copy_only=False)
         label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-        side = table.column("side").to_numpy()
+        side, guest = table.column("side").to_numpy(), table.column("guest").to_numpy(zero_copy_only=False)
         begin = np.searchsorted(size, (percent * size + 99) // 100)
         end = np.searchsorted(size, 100 * size // percent, side="right")
         taken = np.zeros(len(size), dtype=bool)
@@ -267,21 +270,28 @@ def _candidates(members: DataFrame, percent: int, block: int) -> DataFrame:
             fits = label[a:b] != label[i]
             if side[i] >= 0:
                 fits &= side[a:b] != side[i]
-            rows = a + np.flatnonzero(fits)
-            for part in (coarse, fine):
-                apart = np.abs(part[rows] - part[i]).sum(axis=1, dtype=np.int64)
-                rows = rows[_may_link(size[rows], size[i], apart, percent)]
+            if guest[i]:
+                fits &= ~guest[a:b]
+            if not fits.any():
+                continue
+            apart = np.abs(coarse[a:b] - coarse[i]).sum(axis=1, dtype=np.int32)
+            rows = a + np.flatnonzero(fits & _may_link(size[a:b], size[i], apart, percent))
+            apart = np.abs(fine[rows] - fine[i]).sum(axis=1, dtype=np.int32)
+            rows = rows[_may_link(size[rows], size[i], apart, percent)]
             taken[rows] = True
             taken[i] |= len(rows) > 0
         return table.select(["cell", "node", "label", "outer"]).take(pa.array(np.flatnonzero(taken)))
 
-    sizes = members.groupBy("cell").agg(F.count("*").alias("n"), F.max("outer").alias("any"), F.min("label").alias("low"), F.max("label").alias("high"))
-    blocks = sizes.where("any and low < high").select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = F.floor(F.log("size") / F.lit(float(ratio))).cast("int")
+    members = members.withColumn("class", own).withColumn("rank", F.explode(F.array("class", F.col("class") + 1)))
+    members = members.withColumn("guest", F.col("class") != F.col("rank")).drop("class")
+    sizes = members.groupBy("cell", "rank").agg(F.count("*").alias("n"), F.max("outer").alias("any"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("guest").alias("guests"))
+    blocks = sizes.where("any and low < high and not guests").select("cell", "rank", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = members.join(blocks, ["cell", "rank"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
     dealt = dealt.withColumn("side", side).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    found = dealt.drop("block", "other", "blocks").groupBy("cell", "low", "high").applyInArrow(step, "cell binary, node binary, label binary, outer boolean")
+    found = dealt.drop("block", "other", "blocks").groupBy("cell", "rank", "low", "high").applyInArrow(step, "cell binary, node binary, label binary, outer boolean")
     return found.distinct().select(F.hex("cell").alias("cell"), "node", "label", "outer")
 
 
