@@ -96,10 +96,10 @@ class SuffixAutomaton:
             yield size
 
 
-def covered(automaton: SuffixAutomaton, words: list[bytes], min_words: int) -> list[tuple[int, int]]:
-    """Maximal spans of words inside matches of ``min_words`` words or more."""
+def covered(sizes: list[int], min_words: int) -> list[tuple[int, int]]:
+    """Maximal spans of words inside matches of ``min_words`` words or more, from the matching statistic."""
     spans: list[tuple[int, int]] = []
-    for end, size in enumerate(automaton.matches(words), start=1):
+    for end, size in enumerate(sizes, start=1):
         if size >= min_words:
             begin = end - size
             if spans and begin <= spans[-1][1]:
@@ -193,13 +193,10 @@ def _stream(min_words: int):
         ids, wholes, starts, texts = (passages.column(c).to_pylist() for c in ("doc_id", "whole", "start", "words"))
         for i, text in enumerate(texts):
             split = text.split()
-            spans = covered(automaton, split, min_words)
-            # windows outside all matches stay open: their starts are the gaps
-            free, at, n = [], 0, len(split) - min_words + 1
-            for s, e in spans:
-                free += range(at, min(s, n))
-                at = max(at, e - min_words + 1)
-            free += range(at, n)
+            sizes = list(automaton.matches(split))
+            spans = covered(sizes, min_words)
+            # windows in no single match stay open, also those that straddle two matches of one span
+            free = [s for s, size in enumerate(sizes[min_words - 1 :]) if size < min_words]
             hashed = W.Words([text]) if free else None
             h1 = hashed.runs(min_words, 1).view(np.int64)[free].tolist() if free else []
             h2 = hashed.runs(min_words, 2).view(np.int64)[free].tolist() if free else []

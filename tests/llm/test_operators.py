@@ -53,6 +53,19 @@ def test_substrings(docs, rows):
     assert any(r[2] for r in got)
 
 
+def test_substrings_at_seams(spark):
+    rng, rows = random.Random(11), []
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for g in range(0, 80, 4):
+        a, b = words(60), words(60)
+        edited = [*b[:30], "edited", *b[31:]]
+        # a deletion at the same place in two copies, and one more edit within a window of the seam
+        rows += [(g, " ".join([*a, "x", *b])), (g + 1, " ".join(a + b)), (g + 2, " ".join(a + b)), (g + 3, " ".join(a + edited))]
+    got = sorted(map(tuple, substrings.report(frame(spark, rows)).collect()))
+    assert got == sorted(substrings.brute_force(rows))
+    assert {r[2] for r in got if r[0] % 4 == 3} == {90}
+
+
 @pytest.mark.parametrize("options", [{}, {"n": 5, "percent": 80}, {"percent": 80, "cell_size": 4, "pivots": 2, "levels": 1, "buckets": 1 << 10}])
 def test_jaccard(docs, rows, options):
     found = jaccard.similar_components(docs, **options).select("doc_id", "n_shingles", "component_id").collect()
