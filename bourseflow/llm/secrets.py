@@ -6,14 +6,14 @@ character classes with visit counts; states whose outgoing and ending
 frequencies do not differ by more than a Hoeffding bound allows, along all
 their common continuations, are merged. Loops come out of merging, so formats
 of other lengths are covered. A candidate is any longer run of key characters
-that is not all letters; its score is the mean log-likelihood ratio per
-character of the best automaton against an automaton of ordinary long words. It
-becomes a span of kind ``format`` where that is positive, a format finds it as
-likely per character as all but the least likely fiftieth of its own labelled
-values, and it overlaps no fixed span.
+that no single fixed span covers wholly; its score is the mean log-likelihood
+ratio per character of the best automaton against an automaton of ordinary long
+words (runs of letters outside fixed spans). It becomes a span of kind
+``format`` where that is positive, and a format finds it as likely per
+character as all but the least likely fiftieth of its own labelled values.
 
-Sample: the ``SAMPLE_DOCS`` documents with the smallest hash of their id, and
-of their values the ``SAMPLE_VALUES`` with the smallest hash per kind.
+Sample: of all documents, the ``SAMPLE_VALUES`` distinct labelled values with
+the smallest hash per kind. Every task hands on its own smallest ones only.
 
 Defined cases: null text is empty; a corpus without labelled values has no
 automata and fixed spans only; repeated rows each get a row; texts are scanned
@@ -23,15 +23,20 @@ whole; further columns are kept by the scan and not read.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
+from hashlib import blake2b
+from heapq import heappush, heappushpop
+from itertools import accumulate
 from math import log, log2, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 20_000
+from bourseflow.session import cut_lineage
+
 SAMPLE_VALUES = 1_000
 ALPHA = 0.01
 KINDS = ("assign", "access", "hex", "format")
@@ -55,6 +60,15 @@ def fixed_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
+def _uncovered(text: str, fixed: list[tuple]) -> Iterator[re.Match]:
+    """Candidates that no single fixed span (sorted by start) covers wholly."""
+    starts = [x[0] for x in fixed]
+    reach = list(accumulate((x[1] for x in fixed), max, initial=0))
+    for m in _CANDIDATE.finditer(text):
+        if reach[bisect_right(starts, m.start())] < m.end():
+            yield m
+
+
 def _classes() -> dict[str, str]:
     table = {c: "d" for c in "0123456789"}
     table |= {c: "h" for c in "abcdef"} | {c: "l" for c in "ghijklmnopqrstuvwxyz"}
@@ -151,7 +165,7 @@ class Formats:
     """Automata of the kinds, the automaton of ordinary words, and the score a candidate needs."""
 
     def __init__(self, values: dict[str, list[str]], words: list[str]):
-        classed = {k: [v.translate(_TRANSLATE) for v in vs] for k, vs in values.items() if len(vs) >= 20}
+        classed = {k: [v.translate(_TRANSLATE) for v in vs] for k, vs in values.items() if vs}
         self.kinds = {k: Automaton(vs) for k, vs in classed.items()}
         self.words = Automaton([w.translate(_TRANSLATE) for w in words] or ["l"])
         # a candidate must be as likely as all but the least likely fiftieth of the labelled values
@@ -172,44 +186,60 @@ class Formats:
         fixed = [(a, b, k, None) for a, b, k, _ in fixed_spans(text)]
         if not self.kinds:
             return fixed
-        ends = [b for _, b, _, _ in sorted(fixed, key=lambda x: x[1])]
-        starts = [a for a, _, _, _ in fixed]
         more = []
-        for m in _CANDIDATE.finditer(text):
-            value = m.group()
-            if value.isalpha():
-                continue
-            # spans that start before the end, less those that end before the start
-            if bisect_left(starts, m.end()) - bisect_left(ends, m.start() + 1) > 0:
-                continue
-            if (score := self.fit(value.translate(_TRANSLATE))) is not None:
+        for m in _uncovered(text, fixed):
+            if (score := self.fit(m.group().translate(_TRANSLATE))) is not None:
                 more.append((m.start(), m.end(), 3, score))
         return sorted([*fixed, *more], key=lambda x: x[:3]) if more else fixed
 
 
-def _values(batches):
-    """Labelled values, and long runs of letters as ordinary words."""
-    for batch in batches:
-        kinds, values = [], []
-        for text in batch.column(0).to_pylist():
-            for _, _, k, value in fixed_spans(text or ""):
-                kinds.append(KINDS[k])
-                values.append(value)
-            for m in _CANDIDATE.finditer(text or ""):
-                if m.group().isalpha():
-                    kinds.append("word")
-                    values.append(m.group())
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
-
-
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_values: int = SAMPLE_VALUES) -> Formats:
-    """Infer the formats; at most ``4 * sample_values`` values reach the driver."""
-    chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(_values, "kind string, value string")
-    found = found.distinct().withColumn("order", F.xxhash64("value"))
+class _Smallest:
+    """The distinct values with the smallest hash, of those that were offered."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.heap: list[tuple[int, str]] = []
+        self.kept: set[str] = set()
+
+    def offer(self, value: str) -> None:
+        if value in self.kept:
+            return
+        item = (-int.from_bytes(blake2b(value.encode(), digest_size=7).digest()), value)
+        if len(self.heap) < self.size:
+            heappush(self.heap, item)
+        elif item > self.heap[0]:
+            self.kept.discard(heappushpop(self.heap, item)[1])
+        else:
+            return
+        self.kept.add(value)
+
+
+def _values(sample_values: int):
+    """Labelled values, and long runs of letters as ordinary words: the smallest by hash of a task."""
+
+    def step(batches):
+        found = {kind: _Smallest(sample_values) for kind in (*KINDS[:3], "word")}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                fixed = fixed_spans(text or "")
+                for _, _, k, value in fixed:
+                    found[KINDS[k]].offer(value)
+                for m in _uncovered(text or "", fixed):
+                    if m.group().isalpha():
+                        found["word"].offer(m.group())
+        rows = [(kind, value, -h) for kind, best in found.items() for h, value in best.heap]
+        kinds, values, orders = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(orders, pa.int64())], names=["kind", "value", "order"])
+
+    return step
+
+
+def learn(docs: DataFrame, sample_values: int = SAMPLE_VALUES) -> Formats:
+    """Infer the formats from all documents, in one scan; at most ``4 * sample_values`` values reach the driver."""
+    found = cut_lineage(docs.select("text").mapInArrow(_values(sample_values), "kind string, value string, order bigint"))
     values: dict[str, list[str]] = {}
     for kind in (*KINDS[:3], "word"):
-        rows = found.where(F.col("kind") == kind).orderBy("order", "value").limit(sample_values).collect()
+        rows = found.where(F.col("kind") == kind).distinct().orderBy("order", "value").limit(sample_values).collect()
         values[kind] = [r["value"] for r in rows]
     words = values.pop("word")
     return Formats(values, words)

@@ -180,6 +180,27 @@ def test_secrets(spark):
     assert secrets.report(frame(spark, [(1, "x")])).count() == 1
 
 
+def test_secrets_learn_from_all_documents(spark):
+    rng = random.Random(6)
+    key = lambda n=24: "".join(rng.choice("ABCDEFGHJKMNPQRSTUVWXYZ0123456789") for _ in range(n))
+    plain = [(i, f"plain words internationalization misunderstandings {i}") for i in range(40)]
+    rare = [(100 + i, f"token: {key()} internationalization") for i in range(5)]  # fewer than 20 values of the kind
+    other = [(None, f"secret={key()}"), (200, f"see {key()} there"), (201, "see internationalization there"), (202, "see QRSTUVWXYZQRST0123456789012345 there")]
+    docs = frame(spark, plain + rare + other)
+    found = {r["doc_id"]: r["spans"] for r in secrets.report(docs).collect()}
+    assert found[200] == "format:4:28" and found[201] == found[0] == ""
+    assert found[202] == "format:4:34,hex:18:34"  # a fixed span inside does not hide the run around it
+    formats = secrets.learn(docs)
+    # one scan keeps the same bounded sample, however the rows are dealt
+    assert [(k, a.count) for k, a in formats.kinds.items()] == [(k, a.count) for k, a in secrets.learn(docs.repartition(3)).kinds.items()]
+    best, again = secrets._Smallest(4), secrets._Smallest(4)
+    for value in "abcdefgh" * 2:
+        best.offer(value)
+    for value in "hgfedcba":
+        again.offer(value)
+    assert sorted(best.heap) == sorted(again.heap) and len(best.kept) == len(best.heap) == 4
+
+
 def test_html():
     page = """<!DOCTYPE html><html><head><title>t</title><script>var a="</p><p>x";</script></head><body><header>Site</header><nav><a href=x>menu</a></nav>
     <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; line</h1><p>First <b>bo</b>ld<br>and
