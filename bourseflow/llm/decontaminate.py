@@ -2,8 +2,10 @@
 
 Each task takes whole documents in shards of about a megabyte, sorts the word
 suffixes of a shard into a suffix array, and binary-searches every suffix of
-every benchmark item in it, a word at a time. That gives the longest verbatim
-match of each item suffix, and all places of the windows that decide.
+every benchmark item in it, a word at a time. That gives all places of the
+windows that decide. The longest verbatim match of a document is found the
+other way round: every place of the text is followed through the sorted
+suffixes of the items, so it depends on that document only.
 
 Only suffixes that can reach a window are sorted: a word that no item holds
 ends every match, so stretches of known words shorter than the shortest window
@@ -33,6 +35,8 @@ from bourseflow.llm import words as W
 
 SHARD_BYTES = 1 << 20
 BLOCK_WORDS = 2_000_000
+#: Words of an item's runs that are kept as tables; longer matches are searched in its sorted suffixes.
+LEVELS = 4
 
 
 class Queries:
@@ -58,6 +62,56 @@ class Queries:
         self.flat = np.array(flat + [0], dtype=np.int64)
         self.item_of, self.starts, self.needs = (np.array(x, dtype=np.int64) for x in (self.item_of, self.starts, self.needs))
         self.shortest = int(self.needs[self.needs > 0].min()) if len(self.names) else 0
+        self.sorted = self.starts
+        self.levels: list[np.ndarray] = []
+        self.first = np.zeros(1, dtype=np.int64)
+        if len(self.names):
+            self._sort()
+
+    def _sort(self) -> None:
+        """Item suffixes in order, the distinct runs of 2 to ``LEVELS`` words (run before, next word), and where the longest begin."""
+        self.sorted = suffix_array(self.flat, self.starts, int(np.bincount(self.item_of).max()))
+        self.base = len(self.vocabulary) + 1
+        rank = self.flat[self.sorted]
+        for depth in range(1, LEVELS):
+            word = self.flat[np.minimum(self.sorted + depth, len(self.flat) - 1)]
+            # 0 ends an item: such a run goes on nowhere, and no text has the word 0
+            found, self.first, rank = np.unique(rank * self.base + word, return_index=True, return_inverse=True)
+            self.levels.append(found)
+            if depth == LEVELS - 1:
+                self.first = np.append(self.first, len(self.sorted))
+
+    def longest(self, ids: np.ndarray) -> np.ndarray:
+        """Words that match some item from each place on; ``ids`` has 0 where no item's word is, and at its end."""
+        size = (ids > 0).astype(np.int64)
+        alive = np.flatnonzero(size)
+        rank = ids[alive]
+        for depth, found in enumerate(self.levels, start=1):
+            word = ids[alive + depth]  # a 0 ends every text, and a run that reached it is no longer alive
+            key = rank * self.base + word
+            at = np.minimum(np.searchsorted(found, key), len(found) - 1)
+            keep = (word > 0) & (found[at] == key)
+            alive, rank = alive[keep], at[keep]
+            size[alive] = depth + 1
+        lo, hi = self.first[rank], self.first[rank + 1]
+        depth = LEVELS
+        while len(alive):
+            word = ids[alive + depth]
+            ends = []
+            for side in (0, 1):
+                a, b = lo.copy(), hi.copy()
+                while (open_ := a < b).any():
+                    mid = (a + b) // 2
+                    there = self.flat[np.minimum(self.sorted[np.minimum(mid, len(self.sorted) - 1)] + depth, len(self.flat) - 1)]
+                    right = (there < word) if side == 0 else (there <= word)
+                    a = np.where(open_ & right, mid + 1, a)
+                    b = np.where(open_ & ~right, mid, b)
+                ends.append(a)
+            keep = (ends[0] < ends[1]) & (word > 0)
+            alive, lo, hi = alive[keep], ends[0][keep], ends[1][keep]
+            depth += 1
+            size[alive] = depth
+        return size
 
 
 def suffix_array(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -77,13 +131,12 @@ def suffix_array(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return at[np.argsort(rank[at], kind="stable")]
 
 
-def search(ids: np.ndarray, sa: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each item suffix: the range of the suffix array that matches its needed words, its longest match, and one place of it."""
+def search(ids: np.ndarray, sa: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
+    """For each item suffix: the range of the suffix array that matches its needed words."""
     m = len(q.starts)
     lo, hi = np.zeros(m, dtype=np.int64), np.full(m, len(sa), dtype=np.int64)
     low_at, high_at = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
-    longest, place = np.zeros(m, dtype=np.int64), np.full(m, -1, dtype=np.int64)
-    alive = np.arange(m)
+    alive = np.flatnonzero(q.needs)
     depth = 0
     while len(alive) and len(sa):
         word = q.flat[q.starts[alive] + depth]
@@ -104,11 +157,10 @@ def search(ids: np.ndarray, sa: np.ndarray, q: Queries) -> tuple[np.ndarray, np.
         alive = alive[keep]
         lo[alive], hi[alive] = ends[0][keep], ends[1][keep]
         depth += 1
-        longest[alive] = depth
-        place[alive] = sa[lo[alive]]
         here = alive[q.needs[alive] == depth]
         low_at[here], high_at[here] = lo[here], hi[here]
-    return low_at, high_at, longest, place
+        alive = alive[q.needs[alive] > depth]
+    return low_at, high_at
 
 
 def _scan(texts: list[bytes], q: Queries) -> Iterator[tuple[int, list[tuple[int, int]], list[str], int, int]]:
@@ -124,6 +176,11 @@ def _scan(texts: list[bytes], q: Queries) -> Iterator[tuple[int, list[tuple[int,
     found: dict[int, set[int]] = {}
     best, best_at = np.zeros(len(texts), dtype=np.int64), np.full(len(texts), -1, dtype=np.int64)
     if q.shortest:
+        matched = q.longest(ids)
+        for i in np.flatnonzero(np.maximum.reduceat(matched, offsets[:-1])) if len(texts) else ():
+            mine = matched[offsets[i] : offsets[i + 1]]
+            best_at[i] = mine.argmax()  # the first of equals
+            best[i] = mine[best_at[i]]
         known = np.concatenate(([0], (ids > 0).astype(np.int8), [0]))
         step = np.diff(known)
         begins, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
@@ -139,9 +196,8 @@ def _scan(texts: list[bytes], q: Queries) -> Iterator[tuple[int, list[tuple[int,
             offset = np.arange(len(back)) - np.repeat(at_packed[:-1], sizes + 1)
             left = np.repeat(sizes, sizes + 1) - offset
             at = np.flatnonzero(left >= q.shortest)
-            depth = int(max(q.needs.max(), min(sizes.max(), np.bincount(q.item_of).max())))
-            sa = suffix_array(packed, at, depth)
-            lo, hi, longest, place = search(packed, sa, q)
+            sa = suffix_array(packed, at, int(q.needs.max()))
+            lo, hi = search(packed, sa, q)
             text_of = np.searchsorted(offsets, back, side="right") - 1
             for j in np.flatnonzero(hi > lo):
                 where = sa[lo[j] : hi[j]]
@@ -149,10 +205,6 @@ def _scan(texts: list[bytes], q: Queries) -> Iterator[tuple[int, list[tuple[int,
                 np.add.at(hit, back[where] + q.needs[j], -1)
                 for t in np.unique(text_of[where]):
                     found.setdefault(int(t), set()).add(int(q.item_of[j]))
-            for j in np.flatnonzero(longest > 0):
-                t = text_of[place[j]]
-                if longest[j] > best[t]:
-                    best[t], best_at[t] = longest[j], back[place[j]] - offsets[t]
     inside = np.concatenate(([0], (np.cumsum(hit)[:-1] > 0).astype(np.int8), [0]))
     step = np.diff(inside)
     span_a, span_b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
@@ -206,8 +258,8 @@ def find_matches(
 
     Adds ``_n_words``, ``_spans`` (merged word spans inside a window), ``_items``
     (ids as text of items with such a window), ``_longest`` and ``_longest_at``
-    (longest verbatim match with any item suffix, of those that the shard's best
-    places fall into this text).
+    (words of the longest verbatim match with any item, and the first place where
+    one starts; 0 and -1 without one).
     """
     session = docs.sparkSession
     out, have = docs, False
@@ -228,7 +280,7 @@ def find_matches(
                     old = {c: batch.column(len(names) + k).to_pylist() for k, c in enumerate(("spans", "items", "n", "longest", "at"))}
                     spans = [merged([*a, *((s["start"], s["end"]) for s in b)]) for a, b in zip(spans, old["spans"])]
                     found = [[*a, *b] for a, b in zip(found, old["items"])]
-                    place = [p if l > o else q for p, l, o, q in zip(place, longest, old["longest"], old["at"])]
+                    place = [p if l > o or (l == o and p < q) else q for p, l, o, q in zip(place, longest, old["longest"], old["at"])]
                     longest = [max(a, b) for a, b in zip(longest, old["longest"])]
                 new = [
                     pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], type=_SPANS),

@@ -94,6 +94,37 @@ def test_decontamination(spark, docs, rows):
     assert len(empty) == len(rows) and not any(r["contaminated"] for r in empty)
 
 
+def longest_by_hand(text, items):
+    from bourseflow.llm import words as W
+
+    low = lambda t: (t or "").encode().translate(W.LOWER_ALNUM).split()
+    ws, best = low(text), (0, -1)
+    for _, item in items:
+        row = [0] * (len(ws) + 1)
+        for word in reversed(low(item)):  # longest common prefixes with the item's suffixes
+            row = [row[i + 1] + 1 if ws[i] == word else 0 for i in range(len(ws))] + [0]
+            best = max(best, max(((n, -i) for i, n in enumerate(row) if n), default=best))
+    return best[0], abs(best[1]) if best[0] else -1
+
+
+def test_longest_match(spark):
+    rng = random.Random(9)
+    word = lambda: rng.choice("abcdefgh")
+    items = [(k, " ".join(word() for _ in range(rng.randint(1, 60)))) for k in range(8)] + [(8, None), (9, "rare " * 5)]
+    rows = []
+    for i in range(40):
+        a = rng.randint(0, 20)
+        rows.append((i, " ".join([*(word() for _ in range(a)), "x", *items[i % 8][1].split()[: 50 - a], "y", *(word() for _ in range(a))])))
+    rows += [(i + 100, rows[i // 5][1]) for i in range(40)]  # copies of one document, in one shard
+    rows += [(200, None), (201, "x y"), (202, "rare"), (203, items[0][1]), (204, "x A, b")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    wanted = [longest_by_hand(t, items) for _, t in rows]
+    for options in ({}, {"shard_bytes": 300}, {"block_words": 40}):
+        found = decontaminate.find_matches(frame(spark, rows), bench, **options)
+        got = {r["doc_id"]: (r["_longest"], r["_longest_at"]) for r in found.collect()}
+        assert [got[i] for i, _ in rows] == wanted
+
+
 def test_bpe_is_exact(docs, rows):
     library = Tokenizer.from_file(PATH)
     library.no_padding()
