@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bourseflow.llm import bpe, decontaminate, html, jaccard, licenses, secrets, substrings, toxicity, vptree, warc
+from bourseflow.llm import alignment, bpe, byte_bpe, convtrie, decontaminate, html, jaccard, licenses, secrets, substrings, toxicity, vptree, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(table(spark, folder, "documents"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return convtrie.report(table(spark, folder, "conversations"))
+
+
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe.report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 LLM_QUERIES = {
     f.__name__: f
     for f in (
@@ -65,6 +77,9 @@ LLM_QUERIES = {
         op8_warc,
         op9_decontamination,
         op10_secret_scan,
+        op11_alignment,
+        op12_conversation_trie,
+        op13_byte_bpe,
     )
 }
 
