@@ -198,8 +198,8 @@ def _stream(min_words: int):
             # windows in no single match stay open, also those that straddle two matches of one span
             free = [s for s, size in enumerate(sizes[min_words - 1 :]) if size < min_words]
             hashed = W.Words([text]) if free else None
-            h1 = hashed.runs(min_words, 1).view(np.int64)[free].tolist() if free else []
-            h2 = hashed.runs(min_words, 2).view(np.int64)[free].tolist() if free else []
+            h1 = hashed.runs(min_words, 0).view(np.int64)[free].tolist() if free else []
+            h2 = hashed.runs(min_words, 1).view(np.int64)[free].tolist() if free else []
             k = len(spans) + len(free)
             cols[0] += [ids[i]] * k
             cols[1] += [wholes[i]] * k

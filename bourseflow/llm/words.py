@@ -1,15 +1,18 @@
 """Words of many texts at once, and 64-bit hashes of words and of runs of words.
 
-A hash of a byte run is ``sum(table[byte] * base ** place)`` modulo 2**64, taken
-from one running sum over the whole chunk and shifted back to place 0, so no
-Python loop runs over words. Everything works on chunks of whole texts of about
-``CHUNK_BYTES``; a longer text is a chunk of its own (about 40 bytes of memory
-per byte of it).
+A word's hash is the BLAKE2b digest of its bytes, computed once per distinct word
+and chunk (digests of ``KEPT_WORDS`` words are remembered), in two independent
+lanes of 64 bits. Hashes of runs are put together by doubling, with a mix that is
+not linear in the words, so no arrangement of words makes runs collide by
+construction. Everything works on chunks of whole texts of about ``CHUNK_BYTES``;
+a longer text is a chunk of its own (about 40 bytes of memory per byte of it).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,26 +26,18 @@ LOWER_ALNUM = bytes(
     32 if b < 48 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 127 else LOWER[b] for b in range(256)
 )
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_RNG = np.random.default_rng(20240229)
-_TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
+#: Distinct words whose digests a process remembers.
+KEPT_WORDS = 500_000
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """``base ** 0 .. base ** (n - 1)`` modulo 2**64; kept for chunks of the usual size only."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        if size == 2 * CHUNK_BYTES:
-            _powers[base] = have
-    return have[:n]
+class _Digests(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = hashlib.blake2b(word, digest_size=16).digest()
+        return found
+
+
+_digests = _Digests()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -79,36 +74,43 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield begin, len(texts)
 
 
+def _follow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a run followed by a run."""
+    return mix(a * _ODD[0] + mix(b ^ _ODD[1]))
+
+
 class Words:
     """Words (runs of bytes other than ASCII white space) of a few whole texts.
 
-    ``bounds[i]:bounds[i + 1]`` are the words of text i; ``hashes`` has one
-    64-bit hash per word.
+    ``bounds[i]:bounds[i + 1]`` are the words of text i; ``lanes`` has two
+    64-bit hashes per word.
     """
 
     def __init__(self, texts: list[bytes]):
-        data = b"\n".join(texts) + b"\n"
-        codes = np.frombuffer(data, dtype=np.uint8)
-        inside = np.zeros(len(codes) + 1, dtype=np.int8)
-        inside[1:] = ~_SPACE[codes]
-        step = np.diff(inside)
-        starts = np.flatnonzero(step == 1)
-        ends = np.flatnonzero(step == -1)
-        text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-        self.bounds = np.concatenate(([0], np.searchsorted(starts, text_ends)))
-        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum(_TABLE[codes] * _power(_BASE, len(codes)), out=sums[1:])
-        h = (sums[ends] - sums[starts]) * _power(_INVERSE, len(codes))[starts]
-        self.hashes = mix(h + (ends - starts).astype(np.uint64))
-
-    def runs(self, k: int, seed: int = 0) -> np.ndarray:
+        split = [t.split() for t in texts]
+        self.bounds = np.cumsum([0, *map(len, split)])
+        if len(_digests) > KEPT_WORDS:
+            _digests.clear()
+        data = b"".join(map(_digests.__getitem__, chain.from_iterable(split)))
+        self.lanes = np.ascontiguousarray(np.frombuffer(data, dtype="<u8").astype(np.uint64).reshape(-1, 2).T)
+        self.hashes = self.lanes[0]
+
+    def runs(self, k: int, lane: int = 0) -> np.ndarray:
         """Hash of the ``k`` words from each word on (texts are not told apart here; see ``starts``)."""
-        n = len(self.hashes)
-        if n < k:
+        block, size = self.lanes[lane], 1
+        n = len(block) - k + 1
+        if n < 1:
             return np.zeros(0, dtype=np.uint64)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(mix(self.hashes + np.uint64(seed)) * _power(_BASE, n), out=sums[1:])
-        return mix((sums[k:] - sums[:-k]) * _power(_INVERSE, n)[: n - k + 1])
+        found, done = None, 0
+        while True:  # blocks of 1, 2, 4, ... words; those that k is the sum of follow each other
+            if k & size:
+                part = block[done : done + n]
+                found = mix(part) if found is None else _follow(found, part)
+                done += size
+            if done == k:
+                return found
+            block = _follow(block[:-size], block[size:])
+            size *= 2
 
     def starts(self, i: int, k: int) -> tuple[int, int]:
         """Range of words of text i from which ``k`` words of the same text follow."""
