@@ -2,36 +2,35 @@
 
 The Jaccard distance is a metric, but almost all texts are at distance 1 from
 each other, and pivots drawn at random would tell nothing. So a region is
-opened by a shared rare shingle and its pivot is a document that has it:
-
-1. A set of n shingles needs ``n - ceil(t * n) + 1`` of them (its probes) for
-   any partner of similarity t to share one, whatever the order, if the order
-   is the same for all. Probes are the rarest shingles by a table of bucket
-   counts over all documents, of fixed size, so frequent shingles open no
-   region unless a text has nothing else.
-2. Texts with equal sets are one class. Classes that share a probe meet in the
-   region of the pivot, the class with the smallest document among them.
-3. Counts of a set's shingles by hash prefix (first 32, then 256) bound the size of a
-   symmetric difference from below (each is a distance to a fixed part of the
-   universe, and the triangle inequality holds for it). Only members that these
-   bounds do not part from their pivot are near; their sets are read once more
-   from the texts.
-4. The distance to one pivot of each class is computed first, and those within
-   the radius r = 1 - t are linked. Other pivots are measured only for classes
-   that these links do not connect with them. Only a class that is not connected
-   with its pivot can bring a link that joins components, so regions in which all
-   are connected are done.
-5. In the others the same bounds name the members that may link with a member of
-   another component. These are the cells: a small cell is joined exactly in one
-   task, using the windows ``|d(x, p) - d(y, p)| <= r``, the sizes, and the links
-   known so far.
-   A large cell is split again: further pivots make Voronoi cells, and a class
-   is also copied into every cell whose pivot is no more than ``2 r`` further
-   than its nearest one, so partners always meet. Cells that pivots cannot
-   split are joined in pairs of blocks, one task each.
+opened by a value that its members share, and its pivot is one of them.
+
+1. Texts with equal sets are one class. Of a class's shingles the smallest hashes
+   are its sample, long enough that the samples of linked classes share ``m``
+   values. Values that no other class has can't be among them: they are dropped,
+   and with them the classes that keep fewer than ``m``, twice. So texts that have
+   only passages in common with others leave before any pair is looked at.
+2. The rarest values left, all but ``m - 1``, are a class's probes: linked classes
+   share one. Classes that share a probe meet in the region of the pivot, the
+   smallest class among them.
+3. The distance of each class to one of its pivots is computed, and to others only
+   where the links so far do not connect them. Regions in which all are connected
+   are done.
+4. A region of bounded size is joined exactly in one task: numbers of common
+   shingles for all members that are not connected with the pivot, as products of
+   0/1 matrices.
+5. A larger one is split again. From a pivot p a class x is seen as its difference
+   ``x ^ p``, which is short, and ``|x ^ y|`` is at least ``||x ^ p| - |y ^ p||``.
+   By this triangle inequality a partner must share a certain number of values
+   of the difference, or is so near that it is linked with the nearest class
+   of the region (``_differences``). With these values and numbers, steps 1 to 3
+   give the regions of the next level, around new pivots, and the links found
+   there close regions. A region that would be copied more than ``COPIES`` times,
+   or is still large at the last level, is joined in pairs of blocks, one task
+   each.
 6. Components of the links give the smallest document id reachable.
 
-Sets hold 64-bit hashes of shingles, classes a 128-bit hash of their set.
+Shingles are 64-bit hashes built from BLAKE2b digests of their words, classes a
+128-bit hash of their set.
 
 Defined cases: null text, and text without words, have the empty set and are
 linked with nothing, equal ones neither; a text with fewer words than a shingle
@@ -42,6 +41,7 @@ without id take part and get the smallest id of their component, or null.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,15 +52,10 @@ from bourseflow.llm import words as W
 from bourseflow.llm.components import connected
 from bourseflow.session import cut_lineage
 
-#: Buckets of the shingle counts; four bytes each per task, one byte each broadcast.
-COUNT_BUCKETS = 1 << 20
-_SLICES = 64
-#: Largest cell that one task joins; pivots of a split; levels of splitting.
-CELL, PIVOTS, LEVELS = 256, 8, 3
-#: Members of a region whose counts meet those of another such block in one task.
-BLOCK = 1024
-#: Counts of a set by hash prefix, coarse and fine; a count stops at 255, which keeps the bound.
-PARTS, FINE = 32, 256
+#: Shingles (over all members) of a region that one task joins; levels of splitting; copies of a member that a split may make.
+CELL_VALUES, LEVELS, COPIES = 2_000_000, 3, 4
+#: Entries of a matrix that a task holds.
+_ENTRIES = 4_000_000
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -81,59 +76,36 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (h & np.uint64(buckets - 1)).astype(np.int64)
+def sample_size(size: int, percent: int) -> tuple[int, int]:
+    """How many values a set's sample has, and how many of them it shares with that of any linked set.
 
+    A linked set has at least ``least`` of the values in common. If both sides take
+    their ``size - least + m`` smallest, the first m common values are among them,
+    for the smaller m of both; m grows with the size, and the smallest linked set
+    has ``least`` values.
+    """
 
-def _count(n: int, buckets: int):
-    def step(batches):
-        total = np.zeros(buckets, dtype=np.int64)
-        for batch in batches:
-            for s in shingle_sets(W.as_bytes(batch.column(0)), n):
-                np.add.at(total, _bucket(s, buckets), 1)
-        total = np.minimum(total, 2**32 - 1).astype("<u4")
-        size = buckets // _SLICES
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(_SLICES), pa.int32()), pa.array([total[i * size : (i + 1) * size].tobytes() for i in range(_SLICES)], pa.binary())],
-            names=["slice", "counts"],
-        )
-
-    return step
-
-
-def _add_up(table: pa.Table) -> pa.Table:
-    """Counts of one slice, over tasks, as a power of two in one byte."""
-    total = sum(np.frombuffer(x, dtype="<u4").astype(np.int64) for x in table.column("counts").to_pylist())
-    level = np.ceil(np.log2(np.maximum(total, 1) + 1)).astype(np.uint8)
-    return pa.table({"slice": table.column("slice")[:1], "level": pa.array([level.tobytes()], pa.binary())})
-
+    def spare_and_m(k: int) -> tuple[int, int]:
+        spare = k - (percent * k + 99) // 100
+        return spare, min(spare // 2 + 1, k - spare)
 
-def bucket_levels(docs: DataFrame, n: int, buckets: int) -> np.ndarray:
-    """Rarity level of every bucket of shingles, from all documents. The result has ``buckets`` bytes, whatever the input."""
-    counted = docs.select("text").mapInArrow(_count(n, buckets), "slice int, counts binary")
-    levels = counted.groupBy("slice").applyInArrow(_add_up, "slice int, level binary").collect()
-    found = {r["slice"]: r["level"] for r in levels}
-    size = buckets // _SLICES
-    return np.frombuffer(b"".join(bytes(found.get(i, bytes(size))) for i in range(_SLICES)), dtype=np.uint8)
+    spare, m = spare_and_m(size)
+    return spare + m, spare_and_m(size - spare)[1]
 
 
-def _probes(n: int, percent: int, levels, buckets: int):
+def _sampled(n: int, percent: int):
     def step(batches):
-        level = levels.value
         for batch in batches:
-            sizes, nodes, probes, parts, fine = [], [], [], [], []
+            sizes, nodes, samples, shared = [], [], [], []
             for s in shingle_sets(W.as_bytes(batch.column(1)), n):
                 sizes.append(len(s))
                 nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                k = len(s) - (percent * len(s) + 99) // 100 + 1
-                rank = (level[_bucket(s, buckets)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
-                probes.append(s[np.argpartition(rank, k - 1)[:k]].view(np.int64) if len(s) else [])
-                count = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=FINE)
-                fine.append(np.minimum(count, 255).astype(np.uint8).tobytes())
-                parts.append(np.minimum(count.reshape(PARTS, -1).sum(axis=1), 255).astype(np.uint8).tobytes())
+                k, m = sample_size(len(s), percent) if len(s) else (0, 0)
+                samples.append(s[:k].view(np.int64))  # sets are sorted by hash
+                shared.append(m)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(probes, pa.list_(pa.int64())), pa.array(parts, pa.binary()), pa.array(fine, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "probes", "parts", "fine"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(samples, pa.list_(pa.int64())), pa.array(shared, pa.int64())],
+                names=["doc_id", "n_shingles", "node", "sample", "need"],
             )
 
     return step
@@ -167,296 +139,218 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[place] == a).sum())
 
 
+def _peeled(rows: DataFrame, needs: DataFrame) -> DataFrame:
+    """``cell, node, need, values``: the shared ones of ``rows(cell, node, value)`` as (count, value), for classes that keep as many as they need."""
+    counts = rows.groupBy("cell", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lists = rows.join(counts, ["cell", "value"]).groupBy("cell", "node").agg(F.collect_list(F.struct("n", "value")).alias("values"))
+    return lists.join(needs, ["cell", "node"]).where(F.size("values") >= F.col("need"))
+
+
+def regions(items: DataFrame) -> DataFrame:
+    """``cell, pivot, node`` of ``items(cell, node, need, values)``, in which linked classes of a cell share at least as many values as either needs."""
+    needs = items.select("cell", "node", "need")
+    left = cut_lineage(_peeled(items.select("cell", "node", F.explode("values").alias("value")), needs))
+    # without the classes that left, more values are alone
+    left = cut_lineage(_peeled(left.select("cell", "node", F.explode("values.value").alias("value")), needs))
+    probes = left.select("cell", "node", F.explode(F.slice(F.sort_array("values"), F.lit(1), F.size("values") - F.col("need") + 1)).alias("probe"))
+    probes = probes.select("cell", "node", F.col("probe.value").alias("probe"))
+    met = probes.groupBy("cell", "probe").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").drop("last")
+    return probes.join(met, ["cell", "probe"]).where("node != pivot").select("cell", "pivot", "node").distinct()
+
+
 def _measure(batches):
-    """Distance of each class to the pivot: |common| and |union| instead of a rounded quotient."""
+    """|common| and |union| of each class and its pivot, instead of a rounded quotient."""
     for batch in batches:
         common, union = [], []
         for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             a, b = _as_set(a), _as_set(b)
             common.append(k := _common(a, b))
             union.append(len(a) + len(b) - k)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["cell", "node", "common", "union"]
-        )
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "union"])
 
 
-def _measure_block(table: pa.Table) -> pa.Table:
-    """Distances of the members of one block to the pivots of its cell."""
-    names, cells = table.column("node").to_pylist(), table.column("cell").to_pylist()
-    sets = [_as_set(x) for x in table.column("shingles").to_pylist()]
-    is_pivot = table.column("is_pivot").to_pylist()
-    out = []
-    for i in (i for i, p in enumerate(is_pivot) if p):
-        for j in (j for j, p in enumerate(is_pivot) if not p):
-            k = _common(sets[i], sets[j])
-            out.append((cells[j], names[i], names[j], k, len(sets[i]) + len(sets[j]) - k))
-    columns = list(zip(*out)) or [()] * 5
-    kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["cell", "pivot", "node", "common", "union"])
-
-
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs(cell, pivot, node)`` with common and union size."""
-    left = pairs.join(sets, "node")
+def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` among the ``pairs(pivot, node)``."""
+    sizes = sets.select("node", "size")
+    fits = pairs.join(sizes, "node").join(sizes.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size")), "pivot")
+    fits = fits.where(100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")).select("pivot", "node")
+    left = fits.join(sets.select("node", "shingles"), "node")
     right = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
-    joined = left.join(right, "pivot").select(F.struct("cell", "pivot").alias("cell"), "node", "shingles", "pivot_shingles")
-    kind = pairs.schema["cell"].dataType.simpleString()
-    out = joined.mapInArrow(_measure, f"cell struct<cell:{kind},pivot:binary>, node binary, common bigint, union bigint")
-    return out.select("cell.cell", "cell.pivot", "node", "common", "union")
-
+    joined = left.join(right, "pivot").select("node", "pivot", "shingles", "pivot_shingles")
+    measured = joined.mapInArrow(_measure, "a binary, b binary, common bigint, union bigint")
+    return cut_lineage(measured.where(100 * F.col("common") >= percent * F.col("union")).select("a", "b"))
 
-def _close(measured: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` of the measured pairs that are similar enough."""
-    return measured.where(100 * F.col("common") >= percent * F.col("union")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
 
+def _differences(percent: int):
+    """Each class x of a region as ``x ^ p``, with the weight that decides.
 
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``pairs(cell, pivot, node)`` with the components of both so far; a class without links is its own."""
-    of = labels.select("node", "label")
-    pivot_of = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
-    found = pairs.join(of, "node", "left").join(pivot_of, "pivot", "left")
-    return found.withColumns({"label": F.coalesce("label", "node"), "pivot_label": F.coalesce("pivot_label", "pivot")})
-
-
-def _may_link(sizes_a, sizes_b, apart, percent: int):
-    """Bounds that every linked pair keeps: sizes, and the symmetric difference."""
-    low, high = np.minimum(sizes_a, sizes_b), np.maximum(sizes_a, sizes_b)
-    return (100 * low >= percent * high) & ((100 + percent) * apart <= (100 - percent) * (low + high))
-
-
-def _parts(column: pa.Array, width: int = PARTS) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width).astype(np.int16)
-
-
-def _bounded(members: DataFrame, percent: int, parts: str = "parts", width: int = PARTS) -> DataFrame:
-    """``members`` with ``near``: the bounds do not part the class from its pivot."""
-
-    names = members.columns
+    With w(x) = (100 + percent) |x ^ p| - (100 - percent) |x|, classes x and y are
+    linked where twice (100 + percent) times the values that their differences
+    share is at least w(x) + w(y).
+    """
 
     def step(batches):
         for batch in batches:
-            apart = np.abs(_parts(batch.column(parts), width) - _parts(batch.column(f"pivot_{parts}"), width)).sum(axis=1, dtype=np.int64)
-            near = _may_link(batch.column("size").to_numpy(), batch.column("pivot_size").to_numpy(), apart, percent)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], names=[*names, "near"])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
-    return members.mapInArrow(step, f"{fields}, near boolean")
+            values, weights = [], []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                a, b = _as_set(a), _as_set(b)
+                values.append(np.setxor1d(a, b, assume_unique=True).view(np.int64))
+                weights.append((100 + percent) * len(values[-1]) - (100 - percent) * len(a))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.list_(pa.int64())), pa.array(weights, pa.int64())], names=["cell", "node", "values", "weight"])
 
+    return step
 
-def _candidates(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """``cell, node, label, outer``: members that may link with one of another component, one of the two not connected with the pivot.
-
-    Names members, not pairs: what comes out is no more than what goes in.
-    Regions (cell, node, size, fine, label, outer) are parted by classes of
-    size. Partners are in one class or in neighbouring ones, so a member is also
-    a guest in the class above. Large classes are dealt in pairs of blocks of
-    about ``block`` members, one task each.
-    """
-    ratio = max(np.log(100 / percent), 0.01) * (1 + 1e-6)
 
-    def step(table: pa.Table) -> pa.Table:
-        table = table.sort_by("size")
-        fine = _parts(table.column("fine").combine_chunks(), FINE)
-        coarse = fine.reshape(len(fine), PARTS, -1).sum(axis=2, dtype=np.int16)
-        size, outer = table.column("size").to_numpy(), table.column("outer").to_numpy(zero_copy_only=False)
-        label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-        side, guest = table.column("side").to_numpy(), table.column("guest").to_numpy(zero_copy_only=False)
-        begin = np.searchsorted(size, (percent * size + 99) // 100)
-        end = np.searchsorted(size, 100 * size // percent, side="right")
-        taken = np.zeros(len(size), dtype=bool)
-        for i in np.flatnonzero(outer):
-            a, b = begin[i], end[i]
-            # blocks meet as sides 0 and 1, a block with itself is side -1
-            fits = label[a:b] != label[i]
-            if side[i] >= 0:
-                fits &= side[a:b] != side[i]
-            if guest[i]:
-                fits &= ~guest[a:b]
-            if not fits.any():
-                continue
-            apart = np.abs(coarse[a:b] - coarse[i]).sum(axis=1, dtype=np.int32)
-            rows = a + np.flatnonzero(fits & _may_link(size[a:b], size[i], apart, percent))
-            apart = np.abs(fine[rows] - fine[i]).sum(axis=1, dtype=np.int32)
-            rows = rows[_may_link(size[rows], size[i], apart, percent)]
-            taken[rows] = True
-            taken[i] |= len(rows) > 0
-        return table.select(["cell", "node", "label", "outer"]).take(pa.array(np.flatnonzero(taken)))
-
-    own = F.floor(F.log("size") / F.lit(float(ratio))).cast("int")
-    members = members.withColumn("class", own).withColumn("rank", F.explode(F.array("class", F.col("class") + 1)))
-    members = members.withColumn("guest", F.col("class") != F.col("rank")).drop("class")
-    sizes = members.groupBy("cell", "rank").agg(F.count("*").alias("n"), F.max("outer").alias("any"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("guest").alias("guests"))
-    blocks = sizes.where("any and low < high and not guests").select("cell", "rank", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = members.join(blocks, ["cell", "rank"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.withColumn("side", side).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    found = dealt.drop("block", "other", "blocks").groupBy("cell", "rank", "low", "high").applyInArrow(step, "cell binary, node binary, label binary, outer boolean")
-    return found.distinct().select(F.hex("cell").alias("cell"), "node", "label", "outer")
+def _split(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Items for the regions of the next level, and links with the nearest class, of ``cells(cell, pivot, node)``."""
+    right = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
+    joined = cells.join(sets.select("node", "shingles"), "node").join(right, "pivot").select("cell", "node", "shingles", "pivot_shingles")
+    seen = cut_lineage(joined.mapInArrow(_differences(percent), "cell binary, node binary, values array<bigint>, weight bigint"))
+    nearest = seen.groupBy("cell").agg(F.min(F.struct("weight", "node")).alias("nearest")).select("cell", "nearest.*").withColumnsRenamed({"weight": "least", "node": "nearest"})
+    weighed = seen.join(nearest, "cell")
+    # two whose weights are no more than 0 together are linked whatever they share; both are linked with the nearest then
+    links = weighed.where("weight + least <= 0 and node != nearest").select(F.col("node").alias("a"), F.col("nearest").alias("b"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("weight") + F.col("least")) / (2 * (100 + percent))))
+    return weighed.select("cell", "node", "values", need.cast("bigint").alias("need")), links
 
 
 def _join_cell(percent: int):
     """Links inside one cell, enough to connect what is linked; ``outer`` classes are compared with all, others are connected with the pivot already."""
-    radius = 1 - percent / 100
-
-    def linked(a: np.ndarray, b: np.ndarray) -> bool:
-        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-            return False
-        k = _common(a, b)
-        return 100 * k >= percent * (len(a) + len(b) - k)
 
     def step(table: pa.Table) -> pa.Table:
-        nodes, sides = table.column("node").to_pylist(), table.column("side").to_pylist()
-        outer, far = table.column("outer").to_pylist(), table.column("far").to_pylist()
+        nodes = table.column("node").to_pylist()
+        root = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        side, outer = table.column("side").to_numpy(), table.column("outer").to_numpy(zero_copy_only=False)
         sets = [_as_set(x) for x in table.column("shingles").to_pylist()]
-        # members with one label are connected already
-        heads: dict[bytes, int] = {}
-        parent = [heads.setdefault(label, i) for i, label in enumerate(table.column("label").to_pylist())]
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        n = len(sets)
+        value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        everywhere = int((count == n).sum())
+        owner = np.repeat(np.arange(n), size)
+        telling = (count > 1) & (count < n)
+        number = np.cumsum(telling) - 1
+        inside = telling[column]
+        owner, column = owner[inside], number[column[inside]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        width, height = max(1, _ENTRIES // n), max(1, _ENTRIES // n)
+        cuts = np.arange(0, int(telling.sum()) + width, width)
+        places = np.searchsorted(column, cuts)
+        rows = np.flatnonzero(outer)
         out_a, out_b = [], []
-        for i in range(len(nodes)):
-            if not outer[i]:
-                continue
-            for j in range(len(nodes)):
-                # blocks meet as sides 0 and 1; -1 is a cell on its own
-                if j == i or (outer[j] and j < i and sides[i] < 0) or (sides[i] >= 0 and sides[i] == sides[j]):
-                    continue
-                if far[i] is not None and far[j] is not None and abs(far[i] - far[j]) > radius + 1e-9:
-                    continue
-                if root(i) != root(j) and linked(sets[i], sets[j]):
-                    parent[root(i)] = root(j)
-                    out_a.append(nodes[i])
-                    out_b.append(nodes[j])
+        for first in range(0, len(rows), height):
+            strip = rows[first : first + height]
+            shared = np.full((len(strip), n), everywhere, dtype=np.float32)
+            for begin, a, b in zip(cuts, places, places[1:]):
+                if b > a:
+                    has = np.zeros((n, min(width, int(column[b - 1]) - begin + 1)), dtype=np.float32)
+                    has[owner[a:b], column[a:b] - begin] = 1
+                    shared += has[strip] @ has.T
+            k = shared.astype(np.int64)
+            close = 100 * k >= percent * (size[strip, None] + size[None, :] - k)
+            # blocks meet as sides 0 and 1; -1 is a cell on its own
+            close &= (side[strip, None] < 0) | (side[strip, None] != side[None, :])
+            for i, hits in zip(strip, close):
+                for j in np.flatnonzero(hits):
+                    if root[i] != root[j]:
+                        root[root == root[j]] = root[i]
+                        out_a.append(nodes[i])
+                        out_b.append(nodes[j])
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
     return step
 
 
-def _link_cells(cells: DataFrame, sets: DataFrame, percent: int, cell_size: int, pivots: int, levels: int) -> list[DataFrame]:
-    """Links inside the cells (cell string, node, label, outer, far), splitting large cells.
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members(cell, pivot, node)`` with the components of both so far; a class without links is its own."""
+    pivot_of = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
+    found = members.join(labels, "node", "left").join(pivot_of, "pivot", "left")
+    return found.withColumns({"label": F.coalesce("label", "node"), "pivot_label": F.coalesce("pivot_label", "pivot")})
 
-    Cells with one label have nothing left to connect.
-    """
-    found = []
-    join = _join_cell(percent)
-    for level in range(levels + 1):
-        cells = cut_lineage(cells)
-        sizes = cut_lineage(cells.groupBy("cell").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").drop("low", "high"))
-        small = cells.join(sizes.where(F.col("size") <= cell_size), "cell").withColumn("side", F.lit(-1))
-        found.append(small.join(sets, "node").groupBy("cell").applyInArrow(join, "a binary, b binary"))
-        large = sizes.where(F.col("size") > cell_size)
-        if large.limit(1).count() == 0:
-            return found
-        rest = cut_lineage(cells.join(large, "cell"))
-        if level == levels:
-            break
-        # pivots: the outer classes with the smallest mixed hash in their cell
-        order = F.min_by(F.col("node"), F.xxhash64("cell", "node"))
-        spread = rest.where("outer").withColumn("k", F.pmod(F.xxhash64("node"), F.lit(pivots)))
-        chosen = spread.groupBy("cell", "k").agg(order.alias("pivot")).drop("k")
-        # a set is sent once, to a block of its cell, and the few pivots of the cell to every block
-        size = F.ceil(F.col("size") / cell_size).cast("int")
-        dealt = rest.select("cell", "node", F.pmod(F.xxhash64("node"), size).cast("int").alias("block"), F.lit(False).alias("is_pivot"))
-        every = F.explode(F.sequence(F.lit(0), size - 1)).alias("block")
-        sent = chosen.join(large, "cell").select("cell", F.col("pivot").alias("node"), every, F.lit(True).alias("is_pivot"))
-        met = dealt.unionByName(sent).join(sets, "node").groupBy("cell", "block")
-        measured = met.applyInArrow(_measure_block, "cell string, pivot binary, node binary, common bigint, union bigint")
-        measured = cut_lineage(measured.withColumn("d", 1 - F.col("common") / F.col("union")))
-        found.append(measured.where((100 * F.col("common") >= percent * F.col("union")) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        nearest = measured.groupBy("cell", "node").agg(F.min("d").alias("near"))
-        limit = 2 * (1 - percent / 100) + 1e-9
-        copies = measured.join(nearest, ["cell", "node"]).where(F.col("d") <= F.col("near") + limit)
-        # pivots have met every class of the cell
-        copies = copies.join(chosen.withColumnRenamed("pivot", "node"), ["cell", "node"], "left_anti")
-        cells = copies.join(rest.select("cell", "node", "label", "outer"), ["cell", "node"]).select(
-            F.concat_ws("/", "cell", F.hex("pivot")).alias("cell"), "node", "label", "outer", F.col("d").alias("far")
-        )
-    # blocks of what pivots could not split: every pair of blocks is one task
-    blocks = rest.select("cell", "size").distinct().withColumn("blocks", F.ceil(F.col("size") / (cell_size // 2)).cast("int")).drop("size")
-    dealt = rest.drop("size").join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = dealt.withColumn("other", others).withColumn("side", F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1))
-    met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    met = met.select("cell", "low", "high", "node", "label", "outer", "far", "side")
-    found.append(met.join(sets, "node").groupBy("cell", "low", "high").applyInArrow(join, "a binary, b binary"))
-    return found
+
+def _open_cells(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """``cell, pivot, node, label, outer, size, total`` of the cells in which something is left to connect; ``total`` counts the cell's shingles."""
+    found = _labelled(members, labels).withColumn("outer", F.col("label") != F.col("pivot_label")).drop("pivot_label").join(sets.select("node", "size"), "node")
+    cells = found.groupBy("cell").agg(F.sum("size").alias("total"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("outer").alias("any"))
+    return found.join(cells.where("any and low < high").select("cell", "total"), "cell")
+
+
+def _in_blocks(cells: DataFrame, cell_values: int) -> DataFrame:
+    """Members of large cells, dealt in pairs of blocks of half a cell each."""
+    blocks = F.ceil(F.col("total") / max(1, cell_values // 2)).cast("int")
+    dealt = cells.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    return dealt.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "outer", side.alias("side"))
 
 
 def similar_components(
-    docs: DataFrame, n: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text", buckets: int = COUNT_BUCKETS, cell_size: int = CELL, pivots: int = PIVOTS, levels: int = LEVELS
+    docs: DataFrame, n: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text", cell_values: int = CELL_VALUES, levels: int = LEVELS, copies: int = COPIES
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, node (class), component_id``.
+    """One row per document: ``doc_id, n_shingles, node (class), label (of its component), component_id``.
 
     Classes link at a Jaccard similarity of ``percent`` hundredths or more
-    (50 to 100). Ids must be integers.
+    (50 to 100). Ids must be integers. The last three arguments bound the work
+    of a task; rows are the same for all values.
     """
     docs = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    levels_of = docs.sparkSession.sparkContext.broadcast(bucket_levels(docs, n, buckets))
-    prints = cut_lineage(docs.mapInArrow(_probes(n, percent, levels_of, buckets), "doc_id bigint, n_shingles bigint, node binary, probes array<bigint>, parts binary, fine binary"))
-    short = F.xxhash64("node").alias("short")  # only to meet in; decisions use the node
+    prints = cut_lineage(docs.mapInArrow(_sampled(n, percent), "doc_id bigint, n_shingles bigint, node binary, sample array<bigint>, need bigint"))
     rows = prints.where("node is not null")
-    firsts = [F.first(c).alias(c) for c in ("parts", "fine")]
-    classes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), *firsts).select(short, "*"))
-    met = rows.select(short, F.explode("probes").alias("probe"))
-    regions = met.groupBy("probe").agg(F.min("short").alias("pivot"), F.max("short").alias("last")).where("pivot < last").select("probe", "pivot")
-    members = met.join(regions, "probe").where("short != pivot").select("pivot", "short").distinct()
-    known = classes.select("short", "node", "doc", "size", "parts")
-    pivot_of = known.select(*[F.col(c).alias(f"pivot_{c}") for c in known.columns])
-    members = members.join(known, "short").join(pivot_of, F.col("pivot") == F.col("pivot_short"))
-    members = members.select("node", "doc", "size", "parts", F.col("pivot_node").alias("pivot"), "pivot_doc", "pivot_size", "pivot_parts")
-    members = cut_lineage(_bounded(members, percent).select("node", "size", "pivot", "near"))
-
-    fine = classes.select("node", "doc", "size", "fine")
-    other = fine.select(*[F.col(c).alias(f"pivot_{c}") for c in fine.columns]).withColumnRenamed("pivot_node", "pivot")
-    near = members.where("near").select("node", "pivot").join(fine, "node").join(other, "pivot")
-    near = cut_lineage(_bounded(near, percent, "fine", FINE).where("near").select("node", "doc", "pivot", "pivot_doc"))
-
-    def read_sets(wanted: DataFrame) -> DataFrame:
-        """Sets of the classes ``wanted(node, doc)``, read from the rows of the smallest id; without an id, from the rows that have none."""
-        named = docs.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "node")
-        nameless = docs.where("doc_id is null").select("text", F.lit(None).cast("binary").alias("node"))
-        schema = "node binary, shingles binary"
-        others = nameless.mapInArrow(_sets(n), schema).join(wanted.select("node"), "node", "left_semi")
-        return cut_lineage(named.mapInArrow(_sets(n), schema).unionByName(others).dropDuplicates(["node"]))
-
-    sets = read_sets(near.select("node", "doc").union(near.select("pivot", "pivot_doc")).distinct())
-
-    # one pivot per class connects most of a family; a set is sent again only for pairs still apart
-    pairs = near.select(F.hex("pivot").alias("cell"), "pivot", "node")
-    chosen = near.groupBy("node").agg(F.min_by("pivot", F.xxhash64("pivot")).alias("pivot"))
-    measured = cut_lineage(_measured(pairs.join(chosen, ["node", "pivot"], "left_semi"), sets))
-    links = [_close(measured, percent)]
-    labels = connected(links[0])
-    apart = _labelled(pairs.join(chosen, ["node", "pivot"], "left_anti"), labels).where("label != pivot_label")
-    others = cut_lineage(_measured(apart.select("cell", "pivot", "node"), sets))
-    links.append(_close(others, percent))
-    labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links[1]))
-    distances = measured.unionByName(others).select("cell", "node", (1 - F.col("common") / F.col("union")).alias("far"))
-    regions = _labelled(members.select("pivot", "node", "size"), labels).join(classes.select("node", "fine"), "node")
-    regions = regions.select(F.col("pivot").alias("cell"), "node", "size", "fine", "label", (F.col("label") != F.col("pivot_label")).alias("outer"))
-    cells = cut_lineage(_candidates(regions, percent, BLOCK))
-    fresh = cells.select("node").distinct().join(sets.select("node"), "node", "left_anti")
-    sets = sets.unionByName(read_sets(fresh.join(classes.select("node", "doc"), "node")))
-    cells = cells.join(distances, ["cell", "node"], "left")
-    links += _link_cells(cells, sets, percent, cell_size, pivots, levels)
-    every = links[0]
-    for more in links[1:]:
-        every = every.union(more)
-    labels = connected(every)
-    labelled = prints.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
-    group = F.coalesce("label", "node")
-    smallest = labelled.where("node is not null").groupBy(group.alias("group")).agg(F.min("doc_id").alias("component_id"))
-    return (
-        labelled.withColumn("group", group)
-        .join(smallest, "group", "left")
-        .select("doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    )
+    # of equal sets one sample counts
+    firsts = [F.any_value(F.col(c)).alias(name) for c, name in (("need", "need"), ("sample", "values"))]
+    items = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("doc"), *firsts).withColumn("cell", F.lit(b"")))
+    classes = items.select("node", "doc")
+    members = cut_lineage(regions(items).select(F.col("pivot").alias("cell"), "pivot", "node"))
+
+    wanted = members.select("node").union(members.select("pivot")).distinct().join(classes, "node")
+    named = docs.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "node")
+    nameless = docs.where("doc_id is null").select("text", F.lit(None).cast("binary").alias("node"))
+    schema = "node binary, shingles binary"
+    others = nameless.mapInArrow(_sets(n), schema).join(wanted.where("doc is null").select("node"), "node", "left_semi")
+    sets = named.mapInArrow(_sets(n), schema).unionByName(others).dropDuplicates(["node"])
+    sets = cut_lineage(sets.withColumn("size", (F.octet_length("shingles") / 8).cast("bigint")))
+
+    labels, join = None, _join_cell(percent)
+
+    def connect(*links: DataFrame) -> DataFrame:
+        known = [] if labels is None else [labels.select(F.col("node").alias("a"), F.col("label").alias("b"))]
+        return cut_lineage(connected(reduce(DataFrame.union, [*known, *links])))
+
+    for level in range(levels + 1):
+        # one pivot per class connects most of a family; a set is sent again only for pairs still apart
+        pairs = members.select("pivot", "node").distinct()
+        if labels is None:
+            chosen = pairs.groupBy("node").agg(F.min("pivot").alias("pivot"))
+            labels = connect(_close(chosen.select("pivot", "node"), sets, percent))
+            pairs = pairs.join(chosen, ["node", "pivot"], "left_anti")
+        apart = _labelled(pairs, labels).where("label != pivot_label").select("pivot", "node")
+        labels = connect(_close(apart, sets, percent))
+        cells = cut_lineage(_open_cells(members, labels, sets))
+        small = cells.where(F.col("total") <= cell_values).select("cell", "node", "label", "outer", F.lit(-1).alias("side"))
+        found = [small.join(sets.select("node", "shingles"), "node").groupBy("cell").applyInArrow(join, "a binary, b binary")]
+        large = cells.where(F.col("total") > cell_values)
+        rest = large.limit(1).count() > 0
+        blocks = large
+        if rest and level < levels:
+            # the pivot is a member like others, at distance 0 from itself
+            whole = large.select("cell", "pivot", "node").unionByName(large.select("cell", "pivot", F.col("pivot").alias("node")).distinct())
+            items, near = _split(whole, sets, percent)
+            found.append(near)
+            inner = cut_lineage(regions(items))
+            much = inner.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(large.groupBy("cell").agg(F.count(F.lit(1)).alias("had")), "cell")
+            much = much.where(F.col("n") > copies * F.col("had")).select("cell")
+            blocks = large.join(much, "cell", "left_semi")
+            members = inner.join(much, "cell", "left_anti").select(F.concat("cell", "pivot").alias("cell"), "pivot", "node")
+        if rest:
+            met = _in_blocks(blocks, cell_values).join(sets.select("node", "shingles"), "node")
+            found.append(met.groupBy("cell", "low", "high").applyInArrow(join, "a binary, b binary"))
+        labels = connect(*found)
+        if not rest:
+            break
+    labelled = prints.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = labelled.where("node is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return labelled.join(smallest, "label", "left").select("doc_id", "n_shingles", "node", "label", component)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -464,16 +358,40 @@ def report(docs: DataFrame) -> DataFrame:
     return similar_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def _nodes(n: int, text: int):
+    """The class of each row's text, behind the row's columns; null without words."""
+
+    def step(batches):
+        for batch in batches:
+            found = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets(W.as_bytes(batch.column(text)), n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "node"])
+
+    return step
+
+
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> DataFrame:
-    """Documents with one of each component: that with the smallest id (of repeated rows of it, one).
+    """Documents with one row of each component, that with the smallest id.
 
-    Rows without id, and texts without words, stay.
+    Of different texts with that id the one with the smallest class stays, of
+    equal ones any; a component without ids keeps its smallest class. Rows whose
+    texts have no words all stay. Other columns may have any names.
     """
-    found = similar_components(docs, n, percent, **options)
-    firsts = found.where("doc_id = component_id and node is not null").select("doc_id").distinct()
-    empty = found.where("node is null and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.join(empty, "doc_id", "left_semi")).unionByName(docs.where("doc_id is null")).select(*[f"`{c}`" for c in docs.columns])
+    names = docs.columns
+    id_place, text_place = names.index("doc_id"), names.index("text")
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    id_column = F.col(f"c{id_place}").cast("bigint")
+    found = cut_lineage(similar_components(rows, n, percent, f"c{id_place}", f"c{text_place}", **options).select("doc_id", "node", "label"))
+    heads = found.where("node is not null").groupBy("label").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "node")).alias("x")).select("x.doc_id", "x.node")
+    # an id names its row, unless several rows have it: those are told apart by their class
+    many = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select("doc_id")
+    kept = heads.select("doc_id").union(found.where("node is null").select("doc_id")).join(many, "doc_id", "left_anti").where("doc_id is not null")
+    single = rows.join(kept, id_column == F.col("doc_id"), "left_semi")
+    several = rows.join(many, id_column.eqNullSafe(F.col("doc_id")), "left_semi")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    several = cut_lineage(several.mapInArrow(_nodes(n, text_place), f"{fields}, node binary"))
+    first = several.join(heads.withColumnRenamed("node", "head"), id_column.eqNullSafe(F.col("doc_id")) & (F.col("node") == F.col("head")), "left_semi")
+    first = first.dropDuplicates([f"c{id_place}", "node"])
+    return single.unionByName(first.unionByName(several.where("node is null")).drop("node")).toDF(*names)
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], n: int = 3, percent: int = 90) -> list[tuple]:

@@ -66,13 +66,51 @@ def test_substrings_at_seams(spark):
     assert {r[2] for r in got if r[0] % 4 == 3} == {90}
 
 
-@pytest.mark.parametrize("options", [{}, {"n": 5, "percent": 80}, {"percent": 80, "cell_size": 4, "pivots": 2, "levels": 1, "buckets": 1 << 10}])
+@pytest.mark.parametrize("options", [{}, {"n": 5, "percent": 80}, {"percent": 80, "cell_values": 2000, "levels": 2}, {"percent": 80, "cell_values": 1000, "levels": 0}])
 def test_jaccard(docs, rows, options):
     found = jaccard.similar_components(docs, **options).select("doc_id", "n_shingles", "component_id").collect()
     wanted = jaccard.brute_force(rows, options.get("n", 3), options.get("percent", 90))
     assert sorted(map(tuple, found), key=repr) == sorted(wanted, key=repr)
 
 
+@pytest.mark.parametrize("options", [{}, {"cell_values": 20_000}, {"cell_values": 20_000, "copies": 0}])
+def test_jaccard_in_a_family(spark, options):
+    """Copies of one text with a few changed words: hardly any are linked, and all are near every pivot."""
+    rng = random.Random(5)
+    base, family = [f"w{i}" for i in range(300)], []
+    for i in range(400):
+        copy = list(base)
+        for _ in range(rng.randint(2, 9)):
+            copy[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        family.append((i, " ".join(copy)))
+    found = jaccard.similar_components(frame(spark, family), **options).select("doc_id", "n_shingles", "component_id").collect()
+    wanted = jaccard.brute_force(family)
+    assert sorted(map(tuple, found)) == sorted(wanted)
+    assert 20 < len({c for _, _, c in wanted}) < 400
+
+
+def thue_morse(k):
+    """Complementary words of ``2 ** k`` letters, which hashes linear in the letters take for equal."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_collide_by_construction(spark):
+    a, b = thue_morse(11)
+    rows = [(1, f"x {a} y"), (2, f"x {b} y")]
+    found = jaccard.similar_components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found)) == sorted(jaccard.brute_force(rows)) == [(1, 1, 1), (2, 1, 2)]
+    side = " ".join(f"w{i}" for i in range(45))
+    rows = [(1, f"{side} zz {side}"), (2, f"{side} {a} {side}"), (3, f"{side} {b} {side}")]
+    assert sorted(map(tuple, substrings.report(frame(spark, rows)).collect())) == sorted(substrings.brute_force(rows))
+    # runs of words in that order
+    first, second = (" ".join("one" if c == "a" else "two" for c in x[:64]) for x in thue_morse(6))
+    rows = [(1, first), (2, second)]
+    assert sorted(map(tuple, substrings.report(frame(spark, rows)).collect())) == sorted(substrings.brute_force(rows))
+
+
 def test_jaccard_keeps_one_of_each(docs, rows):
     kept = [r["doc_id"] for r in jaccard.keep_first(docs).collect()]
     firsts = {c for _, n, c in jaccard.brute_force(rows, 5, 80) if n and c is not None}
@@ -80,6 +118,16 @@ def test_jaccard_keeps_one_of_each(docs, rows):
     assert set(kept) <= firsts | {3, 4, 5, None}
 
 
+def test_jaccard_keeps_clean_texts_of_a_shared_id(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, one), (1, two), (1, one), (2, one), (None, two), (None, three), (None, three), (7, ""), (7, three), (8, None), (8, None)]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_first(frame(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, one), (1, two), (7, ""), (7, three), (8, None), (8, None)], key=repr)
+    named = frame(spark, rows).toDF("doc_id", "text", "node", "label", "cell", "pivot", "value")
+    assert jaccard.keep_first(named).columns == named.columns and jaccard.keep_first(named).count() == 6
+    assert jaccard.keep_first(named.limit(0)).count() == 0
+
+
 def test_decontamination(spark, docs, rows):
     items = [(1, " ".join(rows[15][1].split()[40:80])), (2, "zwei wörter"), (3, None), (4, ""), (5, rows[45][1]), (5, "ONE")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
