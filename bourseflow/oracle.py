@@ -279,35 +279,38 @@ def _token_list(expr: str) -> str:
 
 
 LABELLED = f"""{DAILY}, {LABELS}, {NEWS}, articles AS (
-  SELECT n.id, n.publish_at, l.increase, {_token_list("n.content")} AS a
-  FROM news n JOIN day_labels l ON l.ds = n.news_date AND l.symbol = '2300' WHERE l.increase IS NOT NULL)"""
+  SELECT l.symbol, n.id, n.publish_at, l.increase, {_token_list("n.content")} AS a
+  FROM news n JOIN day_labels l ON l.ds = n.news_date WHERE l.increase IS NOT NULL)"""
 
-WORDS = "terms AS (SELECT increase, unnest(a) AS word FROM articles)"
-PAIRS = """terms AS (SELECT increase, unnest(list_transform(range(1, len(a)), lambda i: a[i] || a[i + 1])) AS word
+WORDS = "terms AS (SELECT symbol, increase, unnest(a) AS word FROM articles)"
+PAIRS = """terms AS (SELECT symbol, increase, unnest(list_transform(range(1, len(a)), lambda i: a[i] || a[i + 1])) AS word
   FROM articles WHERE len(a) > 1)"""
-FLAT = """flat AS (SELECT increase, publish_at, id, unnest(a) AS w, unnest(range(1, len(a) + 1)) AS i FROM articles),
-terms AS (SELECT increase, w || lead(w) OVER (PARTITION BY increase ORDER BY publish_at, id DESC, i) AS word FROM flat
-  QUALIFY word IS NOT NULL)"""
-SHARES = """counts AS (SELECT increase, word, count(*) AS n FROM terms GROUP BY 1, 2),
-shared AS (SELECT increase, word, n, n / sum(n) OVER (PARTITION BY increase) * 100 AS share FROM counts)"""
-DIFFS = """diffs AS (SELECT coalesce(u.word, d.word) AS word, coalesce(u.share, 0) - coalesce(d.share, 0) AS diff
-  FROM (SELECT * FROM shared WHERE increase) u FULL JOIN (SELECT * FROM shared WHERE NOT increase) d ON u.word = d.word
-  WHERE length(coalesce(u.word, d.word)) > 1)"""
-
-for _name, _terms in (("word_share", WORDS), ("bigram_share", PAIRS), ("bigram_share_flat", FLAT)):
-    O[_name] = f"WITH {LABELLED}, {_terms}, {SHARES} SELECT increase, word, n, round(share, 8) AS share FROM shared"
+FLAT = """flat AS (SELECT symbol, increase, publish_at, id, unnest(a) AS w, unnest(range(1, len(a) + 1)) AS i FROM articles),
+terms AS (SELECT symbol, increase, w || lead(w) OVER (PARTITION BY symbol, increase ORDER BY publish_at, id DESC, i) AS word
+  FROM flat QUALIFY word IS NOT NULL)"""
+SHARES = """counts AS (SELECT symbol, increase, word, count(*) AS n FROM terms GROUP BY 1, 2, 3),
+shared AS (SELECT symbol, increase, word, n, n / sum(n) OVER (PARTITION BY symbol, increase) * 100 AS share FROM counts)"""
+DIFFS = """diffs AS (SELECT symbol, word, sum(CASE WHEN increase THEN share ELSE -share END) AS diff FROM shared
+  WHERE length(word) > 1 GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY diff DESC, word) AS up,
+  row_number() OVER (PARTITION BY symbol ORDER BY diff, word) AS down FROM diffs)"""
+
+O["word_share"] = f"WITH {LABELLED}, {WORDS}, {SHARES} SELECT symbol, increase, word, n, round(share, 8) AS share FROM shared"
+for _name, _terms in (("bigram_share", PAIRS), ("bigram_share_flat", FLAT)):
+    O[_name] = f"""WITH {LABELLED}, {_terms}, {SHARES},
+rounded AS (SELECT symbol, increase, word, n, round(share, 8) AS share FROM shared)
+SELECT symbol, increase, n, share, count(*) AS n_words, min(word) AS first_word, max(word) AS last_word
+FROM rounded GROUP BY 1, 2, 3, 4"""
 
 O["share_diff_topk"] = f"""WITH {LABELLED}, {PAIRS}, {SHARES}, {DIFFS}
-SELECT word, round(diff, 8) AS diff FROM (SELECT * FROM diffs ORDER BY diff DESC, word LIMIT 100)"""
+SELECT symbol, word, round(diff, 8) AS diff FROM ranked WHERE up <= 100"""
 
 O["rule_table"] = f"""WITH {LABELLED}, {WORDS}, {SHARES}, {DIFFS}, contents AS (
-  SELECT '如果新聞出現 ' || regexp_replace(text, '\\s+', ' ', 'g') || ' 的情況，則股票隔日的收盤價可能 '
+  SELECT NULL AS symbol, '如果新聞出現 ' || regexp_replace(text, '\\s+', ' ', 'g') || ' 的情況，則股票隔日的收盤價可能 '
     || CASE WHEN item_id % 2 = 0 THEN '上漲' ELSE '下跌' END AS content FROM benchmark
-  UNION ALL SELECT '如果關鍵字 ' || word || ' 出現，則股票隔日的收盤價可能 上漲'
-    FROM (SELECT * FROM diffs ORDER BY diff DESC, word LIMIT 80)
-  UNION ALL SELECT '如果關鍵字 ' || word || ' 出現，則股票隔日的收盤價可能 下跌'
-    FROM (SELECT * FROM diffs ORDER BY diff, word LIMIT 20))
-SELECT '1996-06-01' AS publish_at, content, {_uuid5("content")} AS uuid FROM contents"""
+  UNION ALL SELECT symbol, '如果關鍵字 ' || word || ' 出現，則股票隔日的收盤價可能 上漲' FROM ranked WHERE up <= 80
+  UNION ALL SELECT symbol, '如果關鍵字 ' || word || ' 出現，則股票隔日的收盤價可能 下跌' FROM ranked WHERE down <= 20)
+SELECT symbol, '1996-06-01' AS publish_at, content, {_uuid5("content")} AS uuid FROM contents"""
 
 O["uuid5"] = f"SELECT doc_id, {_uuid5('text')} AS uuid FROM documents"
 

@@ -27,7 +27,6 @@ RANGE = ("1995-01-01", "1996-12-31")
 EVALUATED_FROM = "1995-06-01"
 HOLIDAYS = ["01-01", "02-28", "04-04", "05-01", "10-10"]
 RULE_DAY = "1996-06-01"
-LABEL_SYMBOL = b.SYMBOLS[0]
 
 
 def query(fn: Query) -> Query:
@@ -253,34 +252,44 @@ def clean_text(spark, sf):
     return articles.unionByName(pages).select("kind", "id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
-def _labelled(spark, sf):
-    daily = b.stock_daily(spark, sf).select("symbol", "ds", "y").where(F.col("symbol") == LABEL_SYMBOL)
-    return words.label_news(b.news(spark, sf), prices.next_day_label(daily))
+def _labels(spark, sf):
+    """Next-day labels of all symbols."""
+    return prices.next_day_label(b.stock_daily(spark, sf).select("symbol", "ds", "y"))
 
 
 def _news_order():
     return [F.col("publish_at").asc(), F.col("id").desc()]
 
 
+def _word_counts(spark, sf):
+    return words.labelled_counts(words.day_words(b.news(spark, sf)), _labels(spark, sf))
+
+
+def _bigram_counts(spark, sf):
+    return words.labelled_counts(words.day_bigrams(b.news(spark, sf)), _labels(spark, sf))
+
+
 @query
 def word_share(spark, sf):
-    return _plain(words.shares(words.word_counts(_labelled(spark, sf))), 8)
+    return _plain(words.shares(_word_counts(spark, sf)), 8)
 
 
 @query
 def bigram_share(spark, sf):
-    return _plain(words.shares(words.bigram_counts(_labelled(spark, sf))), 8)
+    """Shares of all pairs, as a profile per symbol and label."""
+    return words.share_profile(_plain(words.shares(_bigram_counts(spark, sf)), 8))
 
 
 @query
 def bigram_share_flat(spark, sf):
-    return _plain(words.shares(words.bigram_counts_flat(_labelled(spark, sf), _news_order())), 8)
+    counts = words.flat_bigrams(b.news(spark, sf), _labels(spark, sf), _news_order())
+    return words.share_profile(_plain(words.shares(counts), 8))
 
 
 @query
 def share_diff_topk(spark, sf):
-    differences = words.share_difference(words.bigram_counts(_labelled(spark, sf)))
-    return _plain(words.top_words(differences, 100), 8)
+    """The top 100 pairs of every symbol."""
+    return _plain(words.top_words(words.share_difference(_bigram_counts(spark, sf)), 100), 8)
 
 
 @query
@@ -288,8 +297,7 @@ def rule_table(spark, sf):
     phrases = b.read_table(spark, sf, "benchmark").select(
         F.regexp_replace("text", r"\s+", " ").alias("phrase"), (F.col("item_id") % 2 == 0).alias("rising")
     )
-    differences = words.share_difference(words.word_counts(_labelled(spark, sf)))
-    return words.rule_table(phrases, differences, RULE_DAY)
+    return words.rule_table(phrases, words.share_difference(_word_counts(spark, sf)), RULE_DAY)
 
 
 @query

@@ -73,30 +73,59 @@ LABELLED = [
     (True, "2024-01-02 08:00:00", 1, "12 !"),
     (True, "2024-01-03 08:00:00", 2, "dd a"),
     (False, "2024-01-04 08:00:00", 3, "aa zz"),
+    (None, "2024-01-05 08:00:00", 4, "no label"),
 ]
 
 
 def labelled(spark):
-    df = spark.createDataFrame(LABELLED, "increase boolean, publish_at string, id long, content string")
-    return df.withColumn("publish_at", F.to_timestamp_ntz("publish_at"))
+    """News, and labels of two symbols: as listed, and all rising."""
+    rows = [(moment, id_, text) for _, moment, id_, text in LABELLED]
+    df = spark.createDataFrame(rows, "publish_at string, id long, content string")
+    df = df.withColumns({"publish_at": F.to_timestamp_ntz("publish_at"), "news_date": F.to_date("publish_at")})
+    days = {(symbol, moment[:10], up if symbol == "1" else True) for up, moment, _, _ in LABELLED for symbol in "12" if up is not None}
+    labels = spark.createDataFrame(sorted(days), "symbol string, ds string, increase boolean")
+    return df, labels.withColumn("ds", F.to_date("ds"))
 
 
 def test_word_shares_and_difference(spark):
-    got = {(r["increase"], r["word"]): r["share"] for r in words.shares(words.word_counts(labelled(spark))).collect()}
-    assert got[(True, "aa")] == pytest.approx(200 / 6) and got[(False, "zz")] == 50.0
-    diff = {r["word"]: r["diff"] for r in words.share_difference(words.word_counts(labelled(spark))).collect()}
-    assert "a" not in diff and diff["zz"] == -50.0
-    assert diff["aa"] == pytest.approx(200 / 6 - 50) and diff["cc"] == pytest.approx(100 / 6)
-    top = words.top_words(words.share_difference(words.word_counts(labelled(spark))), 2, rising=False).collect()
-    assert [r["word"] for r in top] == ["zz", "aa"]
+    news_rows, labels = labelled(spark)
+    counts = words.labelled_counts(words.day_words(news_rows), labels)
+    got = {(r["symbol"], r["increase"], r["word"]): r["share"] for r in words.shares(counts).collect()}
+    assert got[("1", True, "aa")] == pytest.approx(200 / 6) and got[("1", False, "zz")] == 50.0
+    assert got[("2", True, "aa")] == pytest.approx(300 / 8) and ("2", False, "zz") not in got
+    diff = {(r["symbol"], r["word"]): r["diff"] for r in words.share_difference(counts).collect()}
+    assert ("1", "a") not in diff and diff[("1", "zz")] == -50.0 and diff[("2", "zz")] == pytest.approx(100 / 8)
+    assert diff[("1", "aa")] == pytest.approx(200 / 6 - 50) and diff[("1", "cc")] == pytest.approx(100 / 6)
+    top = words.top_words(words.share_difference(counts), 2, rising=False).orderBy("symbol", F.desc("diff"), "word").collect()
+    assert [(r["symbol"], r["word"]) for r in top] == [("1", "zz"), ("1", "aa"), ("2", "bb"), ("2", "cc")]
+    profile = words.share_profile(words.shares(counts).where("symbol = '1' and increase")).orderBy("n").collect()
+    assert [(r["n"], r["n_words"], r["first_word"], r["last_word"]) for r in profile] == [(1, 4, "a", "dd"), (2, 1, "aa", "aa")]
+
+
+def test_another_segmenter(spark):
+    news_rows, labels = labelled(spark)
+    letters = words.day_words(news_rows, lambda c: F.regexp_extract_all(c, F.lit("[a-z]"), F.lit(0)))
+    got = {r["word"]: r["n"] for r in words.labelled_counts(letters, labels.where("symbol = '1' and not increase")).collect()}
+    assert got == {"a": 2, "z": 2}
 
 
 def test_flat_pairs_cross_article_borders(spark):
     order = [F.col("publish_at").asc(), F.col("id").desc()]
-    got = {(r["increase"], r["word"]): r["n"] for r in words.bigram_counts_flat(labelled(spark), order).collect()}
+    news_rows, labels = labelled(spark)
+    found = words.flat_bigrams(news_rows, labels, order).collect()
     flat = ["cc", "aa", "bb", "aa", "dd", "a"]
-    expected = Counter((True, x + y) for x, y in zip(flat, flat[1:])) + Counter({(False, "aazz"): 1})
-    assert got == dict(expected)
+    for symbol, texts in (("1", {True: flat, False: ["aa", "zz"]}), ("2", {True: [*flat, "aa", "zz"]})):
+        expected = Counter((up, x + y) for up, tokens in texts.items() for x, y in zip(tokens, tokens[1:]))
+        assert {(r["increase"], r["word"]): r["n"] for r in found if r["symbol"] == symbol} == dict(expected)
+
+
+def test_flat_pairs_read_the_texts_once(spark, tmp_path, capsys):
+    news_rows, labels = labelled(spark)
+    news_rows.write.parquet(str(tmp_path / "news"))
+    stored = spark.read.parquet(str(tmp_path / "news"))
+    order = [F.col("publish_at").asc(), F.col("id").desc()]
+    words.flat_bigrams(stored, labels, order).explain("formatted")
+    assert str(tmp_path) not in capsys.readouterr().out  # what is left of the plan reads the stored counts and ends only
 
 
 @pytest.mark.parametrize("n_ranges", [1, 3, 7])
@@ -116,8 +145,11 @@ def test_position_and_successor_with_a_hot_group(spark, n_ranges):
 
 def test_rule_table(spark):
     phrases = spark.createDataFrame([("營收增加", True), ("營收下降", False)], "phrase string, rising boolean")
-    table = words.rule_table(phrases, words.share_difference(words.word_counts(labelled(spark))), "2025-07-28", 1, 1)
-    contents = {r["content"] for r in table.collect()}
+    news_rows, labels = labelled(spark)
+    counts = words.labelled_counts(words.day_words(news_rows), labels.where("symbol = '1'"))
+    table = words.rule_table(phrases, words.share_difference(counts), "2025-07-28", 1, 1).collect()
+    contents = {r["content"] for r in table}
+    assert {r["symbol"] for r in table if "新聞" in r["content"]} == {None}
     assert contents == {
         "如果新聞出現 營收增加 的情況，則股票隔日的收盤價可能 上漲",
         "如果新聞出現 營收下降 的情況，則股票隔日的收盤價可能 下跌",
