@@ -35,17 +35,19 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
+from collections import deque
 from itertools import chain
 
-import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_PIECES = 200_000
+CACHE_PIECES = 300_000
 CACHED_LETTERS = 40
 PAIRS = 1_000_000
+#: Bytes of a piece's beginning whose last tokens are remembered, by beginning.
+HEAD = 6
 #: Characters past its end that decide a match: a contraction has three letters.
 REACH = 3
 
@@ -58,11 +60,9 @@ class Encoder:
             pairs = [line.split() for line in file if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
-        self.places = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-            self.places.add_word(token.decode("latin-1"), (rank, len(token)))
-        self.places.make_automaton()
+        self._automaton()
         self.longest = max(map(len, self.ranks))
         self.decimal = [str(i) for i in range(len(self.tokens))]
         self.split = regex.compile(pattern).findall
@@ -71,6 +71,39 @@ class Encoder:
         self.known: dict[int, bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.heads: dict[bytes, tuple[int, tuple[int, ...]]] = {}
+
+    def _automaton(self) -> None:
+        """Trie of the tokens' bytes with links to the longest suffix; ``ends[node]`` are the (token, length) that end there, longest first."""
+        self.arcs: list[dict[int, int]] = [{}]
+        own: dict[int, tuple[int, int]] = {}
+        for token, rank in self.ranks.items():
+            node = 0
+            for byte in token:
+                to = self.arcs[node].get(byte)
+                if to is None:
+                    to = self.arcs[node][byte] = len(self.arcs)
+                    self.arcs.append({})
+                node = to
+            own[node] = (rank, len(token))
+        self.suffix = [0] * len(self.arcs)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.arcs)
+        queue = deque([0])
+        while queue:
+            node = queue.popleft()
+            for byte, to in list(self.arcs[node].items()):
+                if node:
+                    self.suffix[to] = self._arc(self.suffix[node], byte)
+                self.ends[to] = ((own[to],) if to in own else ()) + self.ends[self.suffix[to]]
+                queue.append(to)
+
+    def _arc(self, node: int, byte: int) -> int:
+        """Where a byte leads from a node, if need be from its suffixes."""
+        while True:
+            to = self.arcs[node].get(byte)
+            if to is not None or not node:
+                return to or 0
+            node = self.suffix[node]
 
     def parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; ``(token, token)`` for a byte, None if no merge ever makes it."""
@@ -91,6 +124,10 @@ class Encoder:
         self.made[token] = found
         return found
 
+    def fits(self, left: int, right: int) -> bool:
+        """``right`` can follow ``left`` (-1: begin a piece): some merge makes it, and both stay as they are when encoded together."""
+        return self.parts(right) is not None and (left < 0 or self.compatible(left, right))
+
     def compatible(self, left: int, right: int) -> bool:
         """Both tokens stay as they are when their bytes are encoded together.
 
@@ -98,15 +135,6 @@ class Encoder:
         each other at the border, a merge of theirs must come later than the
         merges that hide them; of equal ranks the one further left comes first.
         """
-        key = left << 20 | right
-        fits = self.known.get(key)
-        if fits is None:
-            if len(self.known) >= PAIRS:
-                self.known.clear()
-            fits = self.known[key] = self._compatible(left, right)
-        return fits
-
-    def _compatible(self, left: int, right: int) -> bool:
         never = len(self.tokens)
         hidden_left = hidden_right = never
         tokens, ranks = self.tokens, self.ranks
@@ -124,17 +152,31 @@ class Encoder:
 
     def extend(self, data: bytes, lasts: list[int]) -> None:
         """Last tokens of the prefixes of ``data`` that ``lasts`` does not have yet."""
-        done = len(lasts)
-        begin = max(0, done - self.longest + 1)
-        lasts.extend([-1] * (len(data) - done))
-        compatible = self.compatible
-        for at, (token, size) in self.places.iter(data[begin:].decode("latin-1")):
-            end = begin + at
-            if end < done or lasts[end] >= 0:
-                continue
-            before = end - size
-            if self.parts(token) is not None and (before < 0 or compatible(lasts[before], token)):
-                lasts[end] = token
+        node = 0
+        for byte in data[max(0, len(lasts) - self.longest) : len(lasts)]:
+            node = self._arc(node, byte)
+        self._walk(node, data[len(lasts) :], lasts)
+
+    def _walk(self, node: int, data: bytes, lasts: list[int]) -> int:
+        """Append the last token of each further prefix, from the automaton's node on; the node behind it."""
+        arcs, ends, known = self.arcs, self.ends, self.known
+        i = len(lasts)
+        for byte in data:
+            to = arcs[node].get(byte)
+            node = self._arc(node, byte) if to is None else to
+            for token, size in ends[node]:
+                left = lasts[i - size] if i >= size else -1  # the prefix before the token
+                key = left << 20 | token
+                fits = known.get(key)
+                if fits is None:
+                    if len(known) >= PAIRS:
+                        known.clear()
+                    fits = known[key] = self.fits(left, token)
+                if fits:
+                    break
+            lasts.append(token)
+            i += 1
+        return node
 
     def ids(self, lasts) -> list[int]:
         """Tokens of a piece, from its end back."""
@@ -148,7 +190,21 @@ class Encoder:
     def prefixes(self, data: bytes) -> list[int]:
         """``lasts`` of a whole piece. A piece that is a token is that token, also if no merge makes it."""
         lasts: list[int] = []
-        self.extend(data, lasts)
+        if len(data) > HEAD:
+            # pieces with the same beginning have the same last tokens so far
+            head = data[:HEAD]
+            known = self.heads.get(head)
+            if known is None:
+                if len(self.heads) >= CACHE_PIECES:
+                    self.heads.clear()
+                node = self._walk(0, head, lasts)
+                self.heads[head] = (node, tuple(lasts))
+            else:
+                node = known[0]
+                lasts.extend(known[1])
+            self._walk(node, data[HEAD:], lasts)
+        else:
+            self._walk(0, data, lasts)
         whole = self.ranks.get(data)
         if whole is not None:
             lasts[-1] = whole
