@@ -1,6 +1,6 @@
 """Alignment of two tokenizers over a corpus, in Arrow columns.
 
-The tokens of a text by A (byte-level BPE) and by B (pieces with byte fallback)
+The tokens of a text by A (byte-level BPE, with the pattern that splits its texts) and by B (pieces with byte fallback)
 cover the same bytes. Where a token of A and one of B end at the same byte, the
 text is cut: groups of tokens between two cuts belong together, and the two tokens
 that end there are linked. Everything works on whole batches of tokens, not on
@@ -16,8 +16,8 @@ tokens:
 Linked tokens end together, so one's bytes end with the other's: the pairs that
 can occur are given by the two vocabularies (``possible_pairs``, about 200,000 for
 the files used here), however large the corpus is. The counts are an array over
-them, which is why they may be collected and broadcast. Texts are encoded once;
-the ranks of a text's links among the possible pairs are stored, and read again
+them, which is why they may be collected and broadcast. Texts are encoded once, by the two libraries (A's
+pieces that were met before are remembered); the ranks of a text's links among the possible pairs are stored, and read again
 with the corpus-wide counts.
 
 Defined cases: null and empty texts, and texts of which a tokenizer does not give
@@ -34,17 +34,23 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bourseflow.session import cut_lineage
 
 #: Bytes of texts that are encoded together; a longer text is encoded on its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Links that are counted together; a text with more is counted on its own.
+CHUNK_LINKS = 500_000
+#: Pieces remembered by a process (in two tables of half as many), up to so many characters each.
+CACHE_PIECES, CACHED_LETTERS = 600_000, 40
 #: What stands behind an id in the text of the groups: inside a group, before B's side, before the next group, at the end.
 SIGNS = (",", "|", ";", "")
 
@@ -59,7 +65,7 @@ def _byte_letters() -> dict[str, int]:
 class Pair:
     """Both tokenizers, the bytes of their tokens, and the id pairs that can end together."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, pattern: str):
         # a task uses the core it has been given
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
@@ -69,16 +75,38 @@ class Pair:
         self.a.encode_special_tokens = True
         self.a.no_padding()
         self.a.no_truncation()
+        # the tokenizer splits a text into pieces and encodes each on its own
+        self.split = regex.compile(pattern).findall
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a, self.bytes_b = bytes_of_a(path_a), bytes_of_b(self.b)
         self.size_a = np.array([len(x) for x in self.bytes_a], dtype=np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
         self.pairs = possible_pairs(self.bytes_a, self.bytes_b)
-        self.signed = pa.array([f"{i}{sign}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for sign in SIGNS], pa.string())
+        self.signed = pa.array((f"{i}{sign}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for sign in SIGNS), pa.string())
         self.bytes_a, self.bytes_b = pa.array(self.bytes_a, pa.binary()), pa.array(self.bytes_b, pa.binary())
 
     def encode_a(self, texts: list[str]) -> pa.ListArray:
-        return pa.array([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], pa.list_(pa.int32()))
+        """Ids of A. Distinct pieces that are not remembered go to the tokenizer, which splits them again where it must."""
+        split = [self.split(t) for t in texts]
+        hits = [list(map(self.cache.get, pieces)) for pieces in split]
+        unknown = {p for pieces, hit in zip(split, hits) if None in hit for p, h in zip(pieces, hit) if h is None}
+        if unknown:
+            found = {p: self.older[p] for p in unknown if p in self.older}
+            fresh = [p for p in unknown if p not in found]
+            for begin in range(0, len(fresh), 10_000):
+                part = fresh[begin : begin + 10_000]
+                found.update((p, tuple(e.ids)) for p, e in zip(part, self.a.encode_batch_fast(part, add_special_tokens=False)))
+            for i, (pieces, hit) in enumerate(zip(split, hits)):
+                if None in hit:
+                    hits[i] = [found[p] if h is None else h for p, h in zip(pieces, hit)]
+            if len(self.cache) + len(found) > CACHE_PIECES // 2:
+                self.older, self.cache = self.cache, {}
+            self.cache.update((k, v) for k, v in found.items() if len(k) <= CACHED_LETTERS)
+        sizes = [sum(map(len, hit)) for hit in hits]
+        ids = np.fromiter(chain.from_iterable(chain.from_iterable(hits)), dtype=np.int32, count=sum(sizes))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(ids))
 
     def encode_b(self, texts: list[str]) -> pa.ListArray:
         return pa.array(self.b.encode(texts, num_threads=1), pa.list_(pa.int32()))
@@ -123,14 +151,14 @@ def possible_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.array(sorted(out), dtype=np.int64)
 
 
-_loaded: dict[tuple[str, str], Pair] = {}
+_loaded: dict[tuple[str, str, str], Pair] = {}
 
 
-def pair_of(path_a: str, path_b: str) -> Pair:
-    """One per process and pair of files."""
-    if (path_a, path_b) not in _loaded:
-        _loaded[path_a, path_b] = Pair(path_a, path_b)
-    return _loaded[path_a, path_b]
+def pair_of(path_a: str, path_b: str, pattern: str) -> Pair:
+    """One per process, pair of files and pattern."""
+    if (path_a, path_b, pattern) not in _loaded:
+        _loaded[path_a, path_b, pattern] = Pair(path_a, path_b, pattern)
+    return _loaded[path_a, path_b, pattern]
 
 
 def _side(lists: pa.ListArray, sizes: np.ndarray, name: str) -> pa.Table:
@@ -213,12 +241,12 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, digest: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, pattern: str, digest: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, groups, links`` of every text; with ``digest`` the SHA-256 of the groups instead of them."""
     name = "groups_sha256" if digest else "groups"
 
     def step(batches):
-        own = pair_of(path_a, path_b)
+        own = pair_of(path_a, path_b, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for begin, end in _chunks(texts):
@@ -237,7 +265,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, digest: bool = False, id_co
     return rows.mapInArrow(step, f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, {name} string, links array<int>")
 
 
-def pair_counts(alignment: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def pair_counts(alignment: DataFrame, path_a: str, path_b: str, pattern: str) -> DataFrame:
     """``a_id, b_id, n``: how many links of the corpus hold each pair. At most as many rows as there are possible pairs."""
 
     def step(batches):
@@ -253,7 +281,7 @@ def pair_counts(alignment: DataFrame, path_a: str, path_b: str) -> DataFrame:
     counted = alignment.select("links").mapInArrow(step, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
     def named(batches):
-        pairs = pair_of(path_a, path_b).pairs
+        pairs = pair_of(path_a, path_b, pattern).pairs
         for batch in batches:
             keys = pairs[batch.column(0).to_numpy()]
             yield pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), batch.column(1)], names=["a_id", "b_id", "n"])
@@ -265,7 +293,7 @@ def _added(tables: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(tables).group_by("pair", use_threads=False).aggregate([("n", "sum")]).rename_columns(["pair", "n"])
 
 
-def with_counts(alignment: DataFrame, counts: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def with_counts(alignment: DataFrame, counts: DataFrame, path_a: str, path_b: str, pattern: str) -> DataFrame:
     """``alignment`` with ``n_links, n_best, count_sum`` in place of ``links``.
 
     ``counts`` is collected: its size is bounded by the vocabularies, not by the corpus.
@@ -276,12 +304,17 @@ def with_counts(alignment: DataFrame, counts: DataFrame, path_a: str, path_b: st
     kept = [c for c in alignment.columns if c != "links"]
     place = alignment.columns.index("links")
 
+    def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = np.cumsum(pc.coalesce(pc.list_value_length(batch.column(place)), 0).to_numpy()) // CHUNK_LINKS
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1), len(batch)]
+        return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
     def step(batches):
         a, b, n, best = shared.value
-        pairs = pair_of(path_a, path_b).pairs
+        pairs = pair_of(path_a, path_b, pattern).pairs
         rank = np.searchsorted(pairs, a.astype(np.int64) << 32 | b.astype(np.int64))
         counted = pa.table({"pair": pa.array(rank.astype(np.int32)), "n": pa.array(n), "best": pa.array(best.astype(np.int64))})
-        for batch in batches:
+        for batch in chain.from_iterable(map(sliced, batches)):
             lists = batch.column(place)
             # rows of one batch may hold very many links: equal ones of a text meet first
             flat = pa.table({"row": pc.list_parent_indices(lists).cast(pa.int64()), "pair": pc.list_flatten(lists)})
@@ -301,16 +334,16 @@ def with_counts(alignment: DataFrame, counts: DataFrame, path_a: str, path_b: st
     return alignment.mapInArrow(step, f"{fields}, n_links bigint, n_best bigint, count_sum bigint")
 
 
-def report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def report(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> DataFrame:
     """The registered query."""
-    alignment = cut_lineage(align(docs, path_a, path_b, digest=True))
-    found = with_counts(alignment, pair_counts(alignment, path_a, path_b), path_a, path_b)
+    alignment = cut_lineage(align(docs, path_a, path_b, pattern, digest=True))
+    found = with_counts(alignment, pair_counts(alignment, path_a, path_b, pattern), path_a, path_b, pattern)
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def brute_force(rows: list[tuple], path_a: str, path_b: str) -> list[tuple]:
     """Rows of the report, token by token in plain Python, for tests."""
-    own = Pair(path_a, path_b)
+    own = Pair(path_a, path_b, "")
     a_bytes, b_bytes = bytes_of_a(path_a), bytes_of_b(own.b)
     found, counts = [], {}
     for doc, text in rows:

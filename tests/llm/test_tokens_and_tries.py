@@ -97,17 +97,24 @@ def test_byte_bpe_columns(spark, docs, rows, library):
 
 
 def test_alignment(docs, rows):
-    found = sorted(map(tuple, alignment.report(docs, A, B).collect()), key=KEY)
+    found = sorted(map(tuple, alignment.report(docs, A, B, PATTERN).collect()), key=KEY)
     assert found == sorted(alignment.brute_force(rows, A, B), key=KEY)
-    assert alignment.report(docs.limit(0), A, B).count() == 0
+    assert alignment.report(docs.limit(0), A, B, PATTERN).count() == 0
+
+
+def test_pieces_are_encoded_as_the_whole_text():
+    own, rng = alignment.pair_of(A, B, PATTERN), random.Random(8)
+    given = [" " + text(rng) for _ in range(3000)] + ["", " \x1c\x85 \u2028a\u00a0 b  ", "<|endoftext|> <|endoftext|>"]
+    whole = [e.ids for e in own.a.encode_batch(given, add_special_tokens=False)]
+    assert own.encode_a(given).to_pylist() == whole == own.encode_a(given).to_pylist()
 
 
 def test_alignment_groups_and_counts(docs, rows):
-    found = alignment.align(docs.where("doc_id between 20 and 60"), A, B)
+    found = alignment.align(docs.where("doc_id between 20 and 60"), A, B, PATTERN)
     for r in found.collect():
         groups = [g.split("|") for g in r["groups"].split(";")] if r["groups"] else []
         assert r["n_a"] == sum(len(g[0].split(",")) for g in groups) and r["n_b"] == sum(len(g[1].split(",")) for g in groups)
-    counts = alignment.pair_counts(found, A, B).collect()
+    counts = alignment.pair_counts(found, A, B, PATTERN).collect()
     assert sum(r["n"] for r in counts) == sum(len(r["links"]) for r in found.collect())
     assert len({(r["a_id"], r["b_id"]) for r in counts}) == len(counts)
 
