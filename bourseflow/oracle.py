@@ -413,7 +413,10 @@ scored AS (SELECT symbol, news_date, news_count,
 O["sentiment_scores"] = f"""WITH {SENTIMENT} SELECT symbol, CAST(news_date AS VARCHAR) AS news_date, factor + 0.0 AS factor,
   'word balance' AS explanation, CAST(news_count AS INTEGER) AS news_count FROM scored"""
 O["score_stream"] = f"""WITH {SENTIMENT} SELECT symbol, CAST(news_date AS VARCHAR) AS date, factor + 0.0 AS factor,
-  'word balance' AS explanation FROM scored"""
+  'word balance' AS explanation, CAST(news_count AS INTEGER) AS article_count FROM scored"""
+
+O["factor_replace"] = f"""WITH {FACTORS}
+SELECT symbol, CAST(ds AS VARCHAR) AS ds, arg_max(factor, seq) AS factor, max(seq) AS seq FROM factors GROUP BY 1, 2"""
 
 O["parse_response"] = r"""WITH base AS (SELECT l.doc_id, quality - toxic AS number,
     regexp_replace(d.text, '\n', ' ', 'g') AS head FROM labels l JOIN documents d ON d.doc_id = l.doc_id),

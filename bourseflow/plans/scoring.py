@@ -101,6 +101,21 @@ def percent_days(
     return percent_scores(asked)
 
 
+def sentiment_of(
+    days: DataFrame,
+    companies: Sequence[dict],
+    company_rules: dict,
+    rules: DataFrame | None,
+    client: Client,
+    timeout: float = 15.0,
+    limit: int = prompts.MAX_PROMPT_CHARS,
+) -> DataFrame:
+    """0-1 variant of digests; failed days give no row."""
+    days = without_rules(days) if rules is None else with_retrieved_rules(days, rules)
+    asked = ask(with_prompts(days, companies, company_rules, prompts.sentiment_prompt(), limit), client, timeout)
+    return sentiment_scores(asked)
+
+
 def sentiment_days(
     news: DataFrame,
     companies: Sequence[dict],
@@ -117,6 +132,4 @@ def sentiment_days(
     """0-1 variant over all calendar days of the range; failed days give no row."""
     wanted = news.where(F.col("news_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     days = not_yet(digests(wanted, companies, max_news), done)
-    days = without_rules(days) if rules is None else with_retrieved_rules(days, rules)
-    asked = ask(with_prompts(days, companies, company_rules, prompts.sentiment_prompt(), limit), client, timeout)
-    return sentiment_scores(asked)
+    return sentiment_of(days, companies, company_rules, rules, client, timeout, limit)

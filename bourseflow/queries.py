@@ -17,7 +17,8 @@ from bourseflow.plans import evaluation, tuning
 from bourseflow.plans import scoring as score_plans
 from bourseflow.session import cut_lineage, new_table_path
 from bourseflow.sources import bindings as b
-from bourseflow.sources.sinks import append_factors
+from bourseflow.sources.sinks import append_factors, read_factor_table
+from bourseflow.sources.versions import read_version, replace_rows
 from bourseflow.streaming import loads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -641,17 +642,40 @@ def index_stream(spark, sf):
 
 @query
 def score_stream(spark, sf):
-    """Documents streamed into the factor table (0-1 variant, nothing retrieved)."""
-    path, progress = new_table_path(spark, "stream-factors"), new_table_path(spark, "stream-progress")
-
-    def score(batch, done):
-        return score_plans.sentiment_days(
-            batch, b.companies(), b.company_rules(), None, _two_line_client(), *RANGE, done=done
-        )
-
-    loads.scoring_stream(_document_stream(spark, sf), score, path, progress)
-    stored = spark.read.schema("symbol string, date date, factor double, explanation string").parquet(path)
-    return _plain(stored)
+    """Documents streamed into the factor table (0-1 variant, nothing retrieved).
+
+    They arrive in three batches that cut through every company and day, so most
+    days are scored before all their articles are there, and again later.
+    """
+    arrivals, progress = new_table_path(spark, "arrivals"), new_table_path(spark, "stream-progress")
+    path, state = new_table_path(spark, "stream-factors"), new_table_path(spark, "stream-articles")
+    news_rows = b.news(spark, sf)
+    news_rows.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(3))).write.partitionBy("batch").parquet(arrivals)
+
+    def score(days):
+        return score_plans.sentiment_of(days, b.companies(), b.company_rules(), None, _two_line_client())
+
+    for batch in range(3):  # what has arrived so far
+        glob = "{" + ",".join(f"batch={i}" for i in range(batch + 1)) + "}"
+        source = spark.readStream.schema(news_rows.schema).parquet(f"{arrivals}/{glob}")
+        wanted = source.where(F.col("news_date").between(*(F.lit(d).cast("date") for d in RANGE)))
+        loads.scoring_stream(wanted, b.companies(), score, path, state, progress)
+    stored = read_factor_table(spark, path)
+    return _plain(stored.select("symbol", "date", "factor", "explanation", "article_count"))
+
+
+@query
+def factor_replace(spark, sf):
+    """Scores of company-days, replaced where a later row scores the day again; a write that fails leaves no trace."""
+    path = new_table_path(spark, "replaced-factors")
+    rows = b.factors(spark, sf).select("symbol", "ds", "factor", "seq")
+    later = rows.groupBy("symbol", "ds").agg(F.max(F.struct("seq", "factor")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    keys = ["symbol", "ds"]
+    replace_rows(scoring.keep_first(rows, "seq").select(*rows.columns), path, keys, "ds")
+    replace_rows(later.select("symbol", "ds", "x.factor", "x.seq"), path, keys, "ds")
+    # rows of a third write that ended before its manifest
+    rows.withColumn("factor", F.lit(99.0)).write.partitionBy("ds").parquet(f"{path}/data/held=3")
+    return _plain(read_version(spark, path, rows.schema, "ds"))
 
 
 @query

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bourseflow.sources.versions import read_version, replace_rows
+
 CHUNK_SCHEMA = "chunk_id string, publish_at date, content string"
 
 
@@ -18,13 +20,19 @@ def overwrite_table(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
 
 
-def append_factors(scored: DataFrame, path: str) -> None:
-    """Append scored days, stamped with the time of writing, one folder per symbol.
+FACTOR_TABLE = (
+    "symbol string, date date, factor double, explanation string, updated_time timestamp_ntz,"
+    " news_count int, article_count int, was_truncated boolean"
+)
+
+
+def factor_rows(scored: DataFrame) -> DataFrame:
+    """Scored days as rows of the factor table, stamped with the time of writing.
 
     ``news_count`` keeps the number of retrieved rules, as readers of the table
     know it; ``article_count`` is the number of articles.
     """
-    rows = scored.select(
+    return scored.select(
         "symbol",
         F.col("news_date").alias("date"),
         "factor",
@@ -32,8 +40,25 @@ def append_factors(scored: DataFrame, path: str) -> None:
         F.current_timestamp().cast("timestamp_ntz").alias("updated_time"),
         F.col("rule_count").alias("news_count"),
         F.col("news_count").alias("article_count"),
+        "was_truncated",
     )
-    rows.write.mode("append").partitionBy("symbol").parquet(path)
+
+
+def append_factors(scored: DataFrame, path: str) -> None:
+    """Append scored days, one folder per symbol; a day scored again is there twice."""
+    factor_rows(scored).write.mode("append").partitionBy("symbol").parquet(path)
+
+
+def replace_factors(scored: DataFrame, path: str, version: int | None = None, touched: DataFrame | None = None) -> int:
+    """Put scored days in place of what is stored for them. ``touched`` (symbol, news_date) names days scored without a result, too."""
+    if touched is not None:
+        touched = touched.select("symbol", F.col("news_date").alias("date"))
+    return replace_rows(factor_rows(scored), path, ["symbol", "date"], "date", version, touched)
+
+
+def read_factor_table(spark: SparkSession, path: str) -> DataFrame:
+    """One row per company and day of a table kept with ``replace_factors``."""
+    return read_version(spark, path, FACTOR_TABLE, "date")
 
 
 def write_best_params(lists: DataFrame, path: str) -> None:

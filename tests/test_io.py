@@ -9,6 +9,7 @@ from bourseflow.operators import prompts, scoring
 from bourseflow.plans import scoring as plans
 from bourseflow.session import new_table_path
 from bourseflow.sources import files, sinks
+from bourseflow.sources.versions import read_version, replace_rows
 from bourseflow.streaming import loads
 
 COMPANIES = [{"symbol": "2330", "stock_name": "台積電", "avg_change": 1.39, "keywords": ["科技"]}]
@@ -25,9 +26,9 @@ def write_csv(path, header, rows):
 NEWS_HEADER = ["title", "keywords", "content", "publish_at", "id", "summary", "related_stocks", "uuid"]
 
 
-def write_news(folder, day, contents):
+def write_news(folder, day, contents, first_id=100):
     rows = [
-        [f"t{i}", "['台積電', '超微']", c, f"{day} 08:00:{i:02d}", 100 - i, "", "['﻿2330', '2330']", f"u{day}{i}"]
+        [f"t{i}", "['台積電', '超微']", c, f"{day} 08:00:{i:02d}", first_id - i, "", "['﻿2330', '2330']", f"u{day}{i}"]
         for i, c in enumerate(contents)
     ]
     write_csv(folder / f"news_{day}.csv", NEWS_HEADER, rows)
@@ -168,21 +169,69 @@ def test_streams_pick_up_new_files_once(spark, tmp_path):
         open(f"{log}/{uuid.uuid4().hex}", "w").close()
         return "0.9\nup"
 
-    def score(batch, done):
-        return plans.sentiment_days(batch, COMPANIES, RULES, None, client, "2023-01-01", "2023-12-31", done=done)
+    def score(days):
+        return plans.sentiment_of(days, COMPANIES, RULES, None, client)
 
-    def stored():
-        return sorted(str(r["date"]) for r in spark.read.schema("date date, factor double").parquet(table).collect())
+    state = new_table_path(spark, "articles")
 
-    loads.scoring_stream(files.stream_news(spark, str(folder)), score, table, progress)
-    assert stored() == ["2023-01-01"]
+    def run(progress, **options):
+        loads.scoring_stream(files.stream_news(spark, str(folder)), COMPANIES, score, table, state, progress, **options)
+        return sorted((str(r["date"]), r["article_count"]) for r in sinks.read_factor_table(spark, table).collect())
+
+    assert run(progress) == [("2023-01-01", 1)]
     write_news(folder, "2023-01-02", ["2330 下跌"])
-    loads.scoring_stream(files.stream_news(spark, str(folder)), score, table, progress)
-    assert stored() == ["2023-01-01", "2023-01-02"]
+    assert run(progress) == [("2023-01-01", 1), ("2023-01-02", 1)]
     # a lost progress folder replays all files; nothing is asked or written twice
-    loads.scoring_stream(files.stream_news(spark, str(folder)), score, table, new_table_path(spark, "progress"))
-    assert stored() == ["2023-01-01", "2023-01-02"]
+    assert run(new_table_path(spark, "progress")) == [("2023-01-01", 1), ("2023-01-02", 1)]
     assert len(list(asked.iterdir())) == 2
+    # an article of the first day arrives late, in a file of its own: that day is scored again
+    late = folder / "late"
+    late.mkdir()
+    write_news(late, "2023-01-01", ["台積電 下跌"], first_id=500)
+    (late / "news_2023-01-01.csv").rename(folder / "news_2023-01-01.csv.late.csv")
+    late.rmdir()
+    assert run(progress) == [("2023-01-01", 2), ("2023-01-02", 1)]
+    assert len(list(asked.iterdir())) == 3
+    # with a watermark of one day the third day closes the first
+    write_news(folder, "2023-01-03", ["2330 上漲"])
+    run(progress, open_days=1)
+    kept = read_version(spark, state, loads.LATEST, "news_date")
+    assert {str(r["news_date"]) for r in kept.collect()} == {"2023-01-02", "2023-01-03"}
+    assert [d for d, _ in run(progress, open_days=1)] == ["2023-01-01", "2023-01-02", "2023-01-03"]
+
+
+def test_rows_are_replaced_by_key(spark, tmp_path):
+    schema = "symbol string, day date, value double"
+    path = str(tmp_path / "table")
+
+    def put(rows, **options):
+        frame = spark.createDataFrame([(s, d and date.fromisoformat(d), v) for s, d, v in rows], schema)
+        return replace_rows(frame, path, ["symbol", "day"], "day", **options)
+
+    def seen(version=None):
+        found = read_version(spark, path, schema, "day", version).collect()
+        return sorted(((r["symbol"], r["day"] and str(r["day"]), r["value"]) for r in found), key=repr)
+
+    assert seen() == []
+    assert put([("a", "2024-01-01", 1.0), ("b", "2024-01-01", 2.0), ("a", "2024-01-02", 3.0), ("a", None, 4.0)]) == 1
+    assert put([("b", "2024-01-01", 5.0), ("a", None, 6.0)]) == 2
+    second = [("a", "2024-01-01", 1.0), ("a", "2024-01-02", 3.0), ("a", None, 6.0), ("b", "2024-01-01", 5.0)]
+    assert seen() == second and len(seen(1)) == 4
+    # a write that ended before its manifest is not seen, and the next one takes its place
+    spark.createDataFrame([("x", 9.0)], "symbol string, value double").write.parquet(f"{path}/data/held=3/day=2024-01-09")
+    assert seen() == second
+    assert put([("c", "2024-01-02", 7.0)]) == 3
+    assert seen() == sorted([*second, ("c", "2024-01-02", 7.0)], key=repr)
+    # a version that is there is left alone
+    assert put([("c", "2024-01-02", 8.0)], version=3) == 3 and ("c", "2024-01-02", 7.0) in seen()
+    # a key without a new row goes, and so does a partition that is not kept
+    gone = spark.createDataFrame([("c", date(2024, 1, 2)), ("a", date(2024, 1, 2))], "symbol string, day date")
+    put([("c", "2024-01-02", 8.0)], touched=gone)
+    assert ("c", "2024-01-02", 8.0) in seen() and ("a", "2024-01-02", 3.0) not in seen()
+    put([], keep=F.col("part") >= "2024-01-02")
+    assert seen() == [("c", "2024-01-02", 8.0)]
+    with pytest.raises(ValueError):
+        replace_rows(spark.createDataFrame([], schema), path, ["symbol"], "day")
 
 
 def test_document_stream_fills_the_chunk_table(spark, tmp_path):
