@@ -54,6 +54,8 @@ from bourseflow.session import cut_lineage
 
 #: Shingles (over all members) of a region that one task joins; levels of splitting; copies of a member that a split may make.
 CELL_VALUES, LEVELS, COPIES = 2_000_000, 3, 4
+#: Bits that tell which texts are read again; 8 MB.
+ID_BITS = 1 << 26
 #: Entries of a matrix that a task holds.
 _ENTRIES = 4_000_000
 
@@ -112,18 +114,20 @@ def _sampled(n: int, percent: int):
 
 
 def _sets(n: int):
-    """Class and set of each text, again from the text; of the class asked for only, where one is named."""
+    """Class and set of each text, again from the text; of the class asked for only, where one is named. Further columns are passed on."""
 
     def step(batches):
         for batch in batches:
             wanted = batch.column(1).to_pylist()
-            nodes, sets = [], []
+            nodes, sets, places = [], [], []
             for i, s in enumerate(shingle_sets(W.as_bytes(batch.column(0)), n)):
                 node = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if len(s) and wanted[i] in (None, node):
                     nodes.append(node)
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+                    places.append(i)
+            rest = [c.take(pa.array(places, pa.int64())) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary()), *rest], names=["node", "shingles", *batch.schema.names[2:]])
 
     return step
 
@@ -140,22 +144,30 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _peeled(rows: DataFrame, needs: DataFrame) -> DataFrame:
-    """``cell, node, need, values``: the shared ones of ``rows(cell, node, value)`` as (count, value), for classes that keep as many as they need."""
+    """``cell, who, need, values``: the shared ones of ``rows(cell, who, value)`` as (count, value), for classes that keep as many as they need."""
     counts = rows.groupBy("cell", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    lists = rows.join(counts, ["cell", "value"]).groupBy("cell", "node").agg(F.collect_list(F.struct("n", "value")).alias("values"))
-    return lists.join(needs, ["cell", "node"]).where(F.size("values") >= F.col("need"))
+    lists = rows.join(counts, ["cell", "value"]).groupBy("cell", "who").agg(F.collect_list(F.struct("n", "value")).alias("values"))
+    return lists.join(needs, ["cell", "who"]).where(F.size("values") >= F.col("need"))
 
 
 def regions(items: DataFrame) -> DataFrame:
-    """``cell, pivot, node`` of ``items(cell, node, need, values)``, in which linked classes of a cell share at least as many values as either needs."""
-    needs = items.select("cell", "node", "need")
-    left = cut_lineage(_peeled(items.select("cell", "node", F.explode("values").alias("value")), needs))
+    """``cell, pivot, node`` of ``items(cell, node, need, values)``, in which linked classes of a cell share at least as many values as either needs.
+
+    Rows of values go by 64 bits of their class; two classes that share them would
+    only keep more values than they need to.
+    """
+    items = items.withColumn("who", F.xxhash64("node"))
+    needs = items.groupBy("cell", "who").agg(F.min("need").alias("need"))
+    left = cut_lineage(_peeled(items.select("cell", "who", F.explode("values").alias("value")), needs))
     # without the classes that left, more values are alone
-    left = cut_lineage(_peeled(left.select("cell", "node", F.explode("values.value").alias("value")), needs))
-    probes = left.select("cell", "node", F.explode(F.slice(F.sort_array("values"), F.lit(1), F.size("values") - F.col("need") + 1)).alias("probe"))
-    probes = probes.select("cell", "node", F.col("probe.value").alias("probe"))
-    met = probes.groupBy("cell", "probe").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").drop("last")
-    return probes.join(met, ["cell", "probe"]).where("node != pivot").select("cell", "pivot", "node").distinct()
+    left = cut_lineage(_peeled(left.select("cell", "who", F.explode("values.value").alias("value")), needs))
+    probes = left.select("cell", "who", F.explode(F.slice(F.sort_array("values"), F.lit(1), F.size("values") - F.col("need") + 1)).alias("probe"))
+    probes = cut_lineage(probes.select("cell", "who", F.col("probe.value").alias("probe")))
+    met = probes.groupBy("cell", "probe").agg(F.min("who").alias("first"), F.max("who").alias("last")).where("first < last").drop("last")
+    found = probes.join(met, ["cell", "probe"]).where("who != first").select("cell", "first", "who").distinct()
+    names = items.select("cell", "who", "node")
+    found = found.join(names, ["cell", "who"]).drop("who")
+    return found.join(names.select("cell", F.col("who").alias("first"), F.col("node").alias("pivot")), ["cell", "first"]).select("cell", "pivot", "node")
 
 
 def _measure(batches):
@@ -169,14 +181,11 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "union"])
 
 
-def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` among the ``pairs(pivot, node)``."""
-    sizes = sets.select("node", "size")
-    fits = pairs.join(sizes, "node").join(sizes.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size")), "pivot")
-    fits = fits.where(100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")).select("pivot", "node")
-    left = fits.join(sets.select("node", "shingles"), "node")
-    right = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
-    joined = left.join(right, "pivot").select("node", "pivot", "shingles", "pivot_shingles")
+def _close(paired: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` among the pairs of ``paired(pivot, node, size, shingles)``; sizes decide before sets meet."""
+    right = pivots.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size"), F.col("shingles").alias("pivot_shingles"))
+    fits = 100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")
+    joined = paired.join(right, "pivot").where(fits).select("node", "pivot", "shingles", "pivot_shingles")
     measured = joined.mapInArrow(_measure, "a binary, b binary, common bigint, union bigint")
     return cut_lineage(measured.where(100 * F.col("common") >= percent * F.col("union")).select("a", "b"))
 
@@ -201,9 +210,9 @@ def _differences(percent: int):
     return step
 
 
-def _split(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _split(cells: DataFrame, sets: DataFrame, pivots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Items for the regions of the next level, and links with the nearest class, of ``cells(cell, pivot, node)``."""
-    right = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
+    right = pivots.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
     joined = cells.join(sets.select("node", "shingles"), "node").join(right, "pivot").select("cell", "node", "shingles", "pivot_shingles")
     seen = cut_lineage(joined.mapInArrow(_differences(percent), "cell binary, node binary, values array<bigint>, weight bigint"))
     nearest = seen.groupBy("cell").agg(F.min(F.struct("weight", "node")).alias("nearest")).select("cell", "nearest.*").withColumnsRenamed({"weight": "least", "node": "nearest"})
@@ -284,6 +293,42 @@ def _in_blocks(cells: DataFrame, cell_values: int) -> DataFrame:
     return dealt.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "outer", side.alias("side"))
 
 
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A table of ``ID_BITS`` bits with one set for every id: of fixed size, however many there are."""
+    place = F.pmod(F.col("doc_id"), F.lit(ID_BITS))
+    words = ids.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(ID_BITS // 64, dtype=np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _read_sets(docs: DataFrame, wanted: DataFrame, prints: DataFrame, n: int) -> DataFrame:
+    """``wanted(node, doc, ...)`` with ``shingles, size`` of each class, read again from the row of its smallest id, or from the rows without one.
+
+    A fixed table of bits keeps most other texts from being shuffled.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(wanted.where("doc is not null").select(F.col("doc").alias("doc_id"))))
+
+    def likely(batches):
+        for batch in batches:
+            place = batch.column(0).to_numpy() % ID_BITS
+            yield batch.filter(pa.array((bits.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1))
+
+    schema = "node binary, shingles binary, chosen binary, is_pivot boolean"
+    few = docs.where("doc_id is not null").mapInArrow(likely, docs.schema)
+    named = wanted.withColumnRenamed("doc", "doc_id")
+    columns = ["text", "node", "chosen", "is_pivot"]
+    # rows that share their id may be alike
+    many = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    alone = few.join(named.join(many, "doc_id", "left_anti"), "doc_id").select(*columns).mapInArrow(_sets(n), schema)
+    shared = few.join(named.join(many, "doc_id", "left_semi"), "doc_id").select(*columns).mapInArrow(_sets(n), schema).dropDuplicates(["node"])
+    nameless = docs.where("doc_id is null").select("text", F.lit(None).cast("binary").alias("node")).mapInArrow(_sets(n), "node binary, shingles binary")
+    nameless = nameless.dropDuplicates(["node"]).join(wanted.where("doc is null").drop("doc"), "node")
+    found = alone.unionByName(shared).unionByName(nameless)
+    return found.withColumn("size", (F.octet_length("shingles") / 8).cast("bigint"))
+
+
 def similar_components(
     docs: DataFrame, n: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text", cell_values: int = CELL_VALUES, levels: int = LEVELS, copies: int = COPIES
 ) -> DataFrame:
@@ -302,13 +347,13 @@ def similar_components(
     classes = items.select("node", "doc")
     members = cut_lineage(regions(items).select(F.col("pivot").alias("cell"), "pivot", "node"))
 
-    wanted = members.select("node").union(members.select("pivot")).distinct().join(classes, "node")
-    named = docs.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "node")
-    nameless = docs.where("doc_id is null").select("text", F.lit(None).cast("binary").alias("node"))
-    schema = "node binary, shingles binary"
-    others = nameless.mapInArrow(_sets(n), schema).join(wanted.where("doc is null").select("node"), "node", "left_semi")
-    sets = named.mapInArrow(_sets(n), schema).unionByName(others).dropDuplicates(["node"])
-    sets = cut_lineage(sets.withColumn("size", (F.octet_length("shingles") / 8).cast("bigint")))
+    # a class is first compared with its smallest pivot, whose name goes with its set
+    chosen = members.groupBy("node").agg(F.min("pivot").alias("chosen"))
+    pivots = members.select(F.col("pivot").alias("node")).distinct().withColumn("is_pivot", F.lit(True))
+    wanted = chosen.join(pivots, "node", "full_outer").withColumn("is_pivot", F.coalesce("is_pivot", F.lit(False))).join(classes, "node")
+    wanted = cut_lineage(wanted)
+    sets = cut_lineage(_read_sets(docs, wanted, prints, n))
+    chosen, pivots = wanted.select("node", "chosen"), sets.where("is_pivot")
 
     labels, join = None, _join_cell(percent)
 
@@ -320,11 +365,10 @@ def similar_components(
         # one pivot per class connects most of a family; a set is sent again only for pairs still apart
         pairs = members.select("pivot", "node").distinct()
         if labels is None:
-            chosen = pairs.groupBy("node").agg(F.min("pivot").alias("pivot"))
-            labels = connect(_close(chosen.select("pivot", "node"), sets, percent))
-            pairs = pairs.join(chosen, ["node", "pivot"], "left_anti")
+            labels = connect(_close(sets.where("chosen is not null").select(F.col("chosen").alias("pivot"), "node", "size", "shingles"), pivots, percent))
+            pairs = pairs.join(chosen, (pairs["node"] == chosen["node"]) & (pairs["pivot"] == chosen["chosen"]), "left_anti")
         apart = _labelled(pairs, labels).where("label != pivot_label").select("pivot", "node")
-        labels = connect(_close(apart, sets, percent))
+        labels = connect(_close(apart.join(sets.select("node", "size", "shingles"), "node"), pivots, percent))
         cells = cut_lineage(_open_cells(members, labels, sets))
         small = cells.where(F.col("total") <= cell_values).select("cell", "node", "label", "outer", F.lit(-1).alias("side"))
         found = [small.join(sets.select("node", "shingles"), "node").groupBy("cell").applyInArrow(join, "a binary, b binary")]
@@ -334,13 +378,14 @@ def similar_components(
         if rest and level < levels:
             # the pivot is a member like others, at distance 0 from itself
             whole = large.select("cell", "pivot", "node").unionByName(large.select("cell", "pivot", F.col("pivot").alias("node")).distinct())
-            items, near = _split(whole, sets, percent)
+            items, near = _split(whole, sets, pivots, percent)
             found.append(near)
             inner = cut_lineage(regions(items))
             much = inner.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(large.groupBy("cell").agg(F.count(F.lit(1)).alias("had")), "cell")
             much = much.where(F.col("n") > copies * F.col("had")).select("cell")
             blocks = large.join(much, "cell", "left_semi")
-            members = inner.join(much, "cell", "left_anti").select(F.concat("cell", "pivot").alias("cell"), "pivot", "node")
+            members = cut_lineage(inner.join(much, "cell", "left_anti").select(F.concat("cell", "pivot").alias("cell"), "pivot", "node"))
+            pivots = sets.join(members.select(F.col("pivot").alias("node")).distinct(), "node", "left_semi")
         if rest:
             met = _in_blocks(blocks, cell_values).join(sets.select("node", "shingles"), "node")
             found.append(met.groupBy("cell", "low", "high").applyInArrow(join, "a binary, b binary"))

@@ -27,7 +27,7 @@ LOWER_ALNUM = bytes(
 )
 
 #: Distinct words whose digests a process remembers.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
