@@ -31,6 +31,7 @@ from array import array
 from collections import deque
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -254,8 +255,12 @@ def with_ids(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame
     def step(batches):
         own = encoder(path)
         for batch in batches:
-            ids = [memoryview(own.encode(t or "")).tolist() for t in batch.column(names.index(text_column)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, "_ids"])
+            ids, ends = array("I"), [0]  # of the whole batch, four bytes each
+            for text in batch.column(names.index(text_column)):
+                ids.extend(own.encode(text.as_py() or ""))
+                ends.append(len(ids))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, "_ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(step, f"{fields}, _ids array<int>")
