@@ -352,6 +352,72 @@ SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) A
 O["knn_topk"] = _knn("true", 15)
 O["knn_filtered"] = _knn("label = 3", 3)
 
+# text vectors: hashed token counts, weighted by the rules, of unit length and single precision
+
+
+def _weights(corpus: str, dimensions: int) -> str:
+    """``weights(place, weight)`` from a table with a column content."""
+    place = f"CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {dimensions}"
+    return f"""corpus AS (SELECT row_number() OVER () AS id, {_token_list("content")} AS a FROM ({corpus})),
+weights AS (SELECT place, ln(((SELECT count(*) FROM corpus) + 1) / (count(DISTINCT id) + 1)) AS weight
+  FROM (SELECT id, {place} AS place FROM (SELECT id, unnest(a) AS w FROM corpus)) GROUP BY 1
+  UNION ALL SELECT i, ln((SELECT count(*) FROM corpus) + 1) FROM range({dimensions}) r(i)
+  WHERE i NOT IN (SELECT {place} FROM (SELECT unnest(a) AS w FROM corpus)))"""
+
+
+def _embedded(name: str, source: str, dimensions: int) -> str:
+    """``<name>(id, place, v)`` from a table with columns id and content."""
+    place = f"CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {dimensions}"
+    return f"""{name}_raw AS (SELECT id, place, n * weight AS v FROM (SELECT id, {place} AS place, count(*) AS n
+    FROM (SELECT id, unnest({_token_list("content")}) AS w FROM ({source})) GROUP BY 1, 2) JOIN weights USING (place)),
+{name} AS (SELECT id, place, CAST(CAST(v / norm AS FLOAT) AS DOUBLE) AS v
+  FROM {name}_raw JOIN (SELECT id, sqrt(sum(v * v)) AS norm FROM {name}_raw GROUP BY 1) USING (id) WHERE norm > 0)"""
+
+
+def _nearest(queries: str, stored: str, query_ids: str, stored_ids: str, k: int) -> str:
+    """``found(query_id, vec_id, distance, rank)`` of sparse vectors; the ids also name texts without any token."""
+    return f"""dots AS (SELECT q.id AS query_id, s.id AS vec_id, sum(q.v * s.v) AS dot FROM {queries} q JOIN {stored} s USING (place) GROUP BY 1, 2),
+sizes_q AS (SELECT id, sum(v * v) AS n FROM {queries} GROUP BY 1), sizes_s AS (SELECT id, sum(v * v) AS n FROM {stored} GROUP BY 1),
+distances AS (SELECT qi.id AS query_id, si.id AS vec_id,
+    round(coalesce(a.n, 0) + coalesce(c.n, 0) - 2 * coalesce(d.dot, 0), 9) AS distance
+  FROM ({query_ids}) qi CROSS JOIN ({stored_ids}) si LEFT JOIN sizes_q a ON a.id = qi.id LEFT JOIN sizes_s c ON c.id = si.id
+  LEFT JOIN dots d ON d.query_id = qi.id AND d.vec_id = si.id),
+found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM distances QUALIFY rank <= {k})"""
+
+
+_RULES = "SELECT text AS content FROM benchmark"
+O["embed_text"] = f"""WITH {_weights(_RULES, 256)}, {_embedded("vectors", "SELECT doc_id AS id, text AS content FROM documents", 256)},
+used AS (SELECT id, count(*) FILTER (v <> 0) AS n, round(sqrt(sum(v * v)), 4) AS norm FROM vectors GROUP BY 1)
+SELECT d.doc_id AS id, CAST(coalesce(u.n, 0) AS INTEGER) AS n_used, coalesce(u.norm, 0.0) AS norm
+FROM documents d LEFT JOIN used u ON u.id = d.doc_id"""
+
+_QUERY = """'News about ' || stock_name || '; how may it move the share price of the next day?' || chr(10) || chr(10) || context || chr(10)"""
+_UNIQUE = f"SELECT {_uuid5('text')} AS id, min(text) AS content FROM benchmark GROUP BY 1"
+O["rule_retrieval"] = f"""WITH {DIGEST}, {_weights(f"SELECT content FROM ({_UNIQUE})", 256)},
+days AS (SELECT symbol || '|' || CAST(news_date AS VARCHAR) AS id, symbol, news_date, {_QUERY} AS content FROM digest),
+unique_rules AS ({_UNIQUE}), {_embedded("asked", "SELECT id, content FROM days", 256)},
+{_embedded("stored", "SELECT id, content FROM unique_rules", 256)},
+{_nearest("asked", "stored", "SELECT id FROM days", "SELECT id FROM unique_rules", 15)},
+texts AS (SELECT f.query_id, string_agg(r.content, chr(10) ORDER BY f.rank) AS rules_text, count(*) AS n
+  FROM found f JOIN unique_rules r ON r.id = f.vec_id GROUP BY 1)
+SELECT symbol, CAST(news_date AS VARCHAR) AS news_date, CAST(n AS INTEGER) AS rule_count, rules_text
+FROM days JOIN texts ON query_id = id"""
+O["indexed_rules"] = O["rule_retrieval"]
+
+O["index_then_retrieve"] = f"""WITH {CHUNKS}, {_weights(_RULES, 256)},
+pieces AS (SELECT uuid || ':' || chunk_no AS id, publish_at, content FROM chunked
+  WHERE publish_at BETWEEN '1995-02-01' AND '1995-12-31'),
+{_embedded("asked", "SELECT item_id AS id, text AS content FROM benchmark", 256)},
+{_embedded("stored", "SELECT id, content FROM pieces", 256)},
+{_nearest("asked", "stored", "SELECT item_id AS id FROM benchmark", "SELECT id FROM pieces", 5)}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id AS chunk_id, publish_at, round(distance, 6) AS distance
+FROM found JOIN pieces ON pieces.id = vec_id"""
+
+O["knn_join"] = f"""WITH {_weights(_RULES, 64)}, {_embedded("asked", "SELECT doc_id AS id, text AS content FROM documents", 64)},
+stored AS (SELECT vec_id AS id, unnest(range(0, len(embedding))) AS place, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+{_nearest("asked", "stored", "SELECT doc_id AS id FROM documents", "SELECT vec_id AS id FROM embeddings", 5)}
+SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM found"""
+
 # prompts and scores
 
 _rule_rows = ", ".join(

@@ -13,6 +13,7 @@ from bourseflow.operators.nearest import nearest
 from bourseflow.operators.news import daily_digest, match_companies
 from bourseflow.operators.prices import in_range, with_day_moves
 from bourseflow.operators.scoring import Client, ask, percent_scores, sentiment_scores
+from bourseflow.plans.indexing import retrieve
 from bourseflow.session import cut_lineage
 from bourseflow.sources.files import company_table
 
@@ -36,21 +37,26 @@ def with_prices(digest: DataFrame, daily: DataFrame, start: str, end: str) -> Da
 
 
 def with_retrieved_rules(
-    digest: DataFrame, rules: DataFrame, k: int = prompts.RULES_PER_PROMPT, dimensions: int = 256
+    digest: DataFrame, rules: DataFrame, k: int = prompts.RULES_PER_PROMPT, dimensions: int = 256, model=None
 ) -> DataFrame:
     """Add the k rules nearest to the day's news, as lines in order of distance.
 
     ``digest`` is used twice, so it is written once; it holds at most a few
-    articles per company and day.
+    articles per company and day. Without a ``model`` one is fitted on the rules.
+    Filter ``rules`` by their day for a metadata filter.
     """
     digest = cut_lineage(digest)
     # a rule listed twice takes one place and is joined once
     rules = rules.groupBy("uuid").agg(F.min("content").alias("content"))
-    model = embedding_model(rules, dimensions)
+    model = embedding_model(rules, dimensions) if model is None else model
     day_key = F.concat_ws("|", "symbol", F.col("news_date").cast("string"))
     queries = embed(digest.select(day_key.alias("query_id"), prompts.query_text().alias("content")), model)
     store = embed(rules.select(F.col("uuid").alias("vec_id"), "content"), model)
     found = nearest(queries, store, k).join(rules.select(F.col("uuid").alias("vec_id"), "content"), "vec_id")
+    return _with_lines(digest, day_key, found)
+
+
+def _with_lines(digest: DataFrame, day_key: Column, found: DataFrame) -> DataFrame:
     lines = F.array_sort(F.collect_list(F.struct("rank", "content")))  # at most k rows
     texts = found.groupBy("query_id").agg(
         F.array_join(F.transform(lines, lambda r: r["content"]), "\n").alias("rules_text"),
@@ -64,6 +70,17 @@ def with_retrieved_rules(
     )
 
 
+def with_indexed_rules(
+    digest: DataFrame, path: str, model, k: int = prompts.RULES_PER_PROMPT, first_day: str | None = None, last_day: str | None = None
+) -> DataFrame:
+    """The same from a stored index of rules (``plans.indexing.index_documents``): only the news of the days are embedded."""
+    digest = cut_lineage(digest)
+    day_key = F.concat_ws("|", "symbol", F.col("news_date").cast("string"))
+    queries = digest.select(day_key.alias("query_id"), prompts.query_text().alias("content"))
+    found = retrieve(queries, path, model, k, first_day, last_day)
+    return _with_lines(digest, day_key, found)
+
+
 def without_rules(digest: DataFrame) -> DataFrame:
     """The variant that retrieves nothing."""
     return digest.withColumns({"rules_text": F.lit(""), "rule_count": F.lit(0)})

@@ -12,8 +12,8 @@ from bourseflow.functions.dates import date_array, month_label
 from bourseflow.functions.vectors import embed, embedding_model
 from bourseflow.operators import chunks, grid, linear, news, prices, prompts, scoring, stats, words
 from bourseflow.operators.compress import reconstruct
-from bourseflow.operators.nearest import nearest
-from bourseflow.plans import evaluation, tuning
+from bourseflow.operators.nearest import nearest, nearest_few
+from bourseflow.plans import evaluation, indexing, tuning
 from bourseflow.plans import scoring as score_plans
 from bourseflow.session import cut_lineage, new_table_path
 from bourseflow.sources import bindings as b
@@ -363,13 +363,21 @@ def _centroids(spark, sf):
 @query
 def knn_topk(spark, sf):
     queries = _centroids(spark, sf).withColumnRenamed("label", "query_id")
-    return _plain(nearest(queries, _vectors(spark, sf), 15), 6)
+    return _plain(nearest_few(queries, _vectors(spark, sf), 15), 6)
 
 
 @query
 def knn_filtered(spark, sf):
     queries = _centroids(spark, sf).withColumnRenamed("label", "query_id")
-    return _plain(nearest(queries, _vectors(spark, sf).where(F.col("label") == 3), 3), 6)
+    return _plain(nearest_few(queries, _vectors(spark, sf).where(F.col("label") == 3), 3), 6)
+
+
+@query
+def knn_join(spark, sf):
+    """Stored vectors nearest to each document: the vector of a document is that of its text, hashed to the store's size."""
+    model = embedding_model(b.rules(spark, sf), 64)
+    queries = embed(b.news(spark, sf).select(F.col("id").alias("query_id"), "content"), model).select("query_id", "embedding")
+    return _plain(nearest(queries, _vectors(spark, sf), 5), 6)
 
 
 @query
@@ -389,6 +397,31 @@ def rule_retrieval(spark, sf):
     return _plain(days.select("symbol", "news_date", "rule_count", "rules_text"))
 
 
+INDEXED_DAYS = ("1995-02-01", "1995-12-31")
+
+
+@query
+def index_then_retrieve(spark, sf):
+    """Documents indexed in two loads, the first ones offered again; then the articles of a range of days nearest to each rule."""
+    path, model = new_table_path(spark, "vectors"), embedding_model(b.rules(spark, sf))
+    documents = _documents(spark, sf).select("uuid", "publish_at", "content", "id")
+    indexing.index_documents(documents.where("id % 2 = 0").drop("id"), path, model)
+    indexing.index_documents(documents.drop("id"), path, model)
+    rules = b.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
+    found = indexing.retrieve(rules, path, model, 5, *INDEXED_DAYS)
+    return _plain(found.select("query_id", "rank", "chunk_id", "publish_at", "distance"), 6)
+
+
+@query
+def indexed_rules(spark, sf):
+    """As ``rule_retrieval``, from a stored index of the rules."""
+    path, rules = new_table_path(spark, "rule-vectors"), b.rules(spark, sf).dropDuplicates(["uuid"])
+    model = embedding_model(rules)
+    indexing.index_documents(rules, path, model)
+    days = score_plans.with_indexed_rules(score_plans.digests(b.news(spark, sf), b.companies()), path, model)
+    return _plain(days.select("symbol", "news_date", "rule_count", "rules_text"))
+
+
 # prompts and scores
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from bourseflow.sources.versions import read_version, replace_rows
 
 CHUNK_SCHEMA = "chunk_id string, publish_at date, content string"
+#: Chunks with vectors; the last two are folders.
+VECTOR_SCHEMA = "chunk_id string, content string, embedding array<float>, model string, publish_at date"
 
 
 def overwrite_csv(df: DataFrame, path: str) -> None:
@@ -82,3 +84,8 @@ def open_chunks(spark: SparkSession, path: str, schema: str = CHUNK_SCHEMA) -> D
 
 def append_chunks(new_chunks: DataFrame, path: str) -> None:
     new_chunks.write.mode("append").parquet(path)
+
+
+def append_vectors(new_chunks: DataFrame, path: str) -> None:
+    """Chunks with vectors, by the version of the model and the publishing day."""
+    new_chunks.write.mode("append").partitionBy("model", "publish_at").parquet(path)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from bourseflow.functions.vectors import embed, embedding_model
 from bourseflow.operators import chunks, nearest as nn
-from bourseflow.plans.indexing import load_documents
+from bourseflow.plans.indexing import index_documents, load_documents, retrieve, stored_vectors
 from bourseflow.session import new_table_path
 
 
@@ -81,35 +81,49 @@ def result(df):
     return out
 
 
-@pytest.mark.parametrize("way", ["queries", "store", "blocks"])
-def test_three_ways_find_the_same_neighbours(spark, monkeypatch, way):
+@pytest.mark.parametrize("options", [{}, {"pivots": 5, "group_rows": 7}, {"pivots": 1}])
+def test_every_partition_finds_the_same_neighbours(spark, options):
     q, queries = vectors(spark, 12, 6, 1, "query_id")
     s, store = vectors(spark, 90, 6, 2, "vec_id", ties=True)
-    store = store.repartition(5)
-    if way == "queries":
-        got = nn.nearest(queries, store, 7)
-    elif way == "store":
-        small = nn._small(store)
-        got = nn._by_store(queries.repartition(3), small, 7, nn._result_schema(queries, store))
-    else:
-        got = nn.nearest(queries, store, 7, block_rows=5)
-    assert result(got) == brute(q, s, 7)
-
-
-def test_sizes_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+    assert result(nn.nearest(queries, store.repartition(5), 7, **options)) == brute(q, s, 7)
+
+
+def test_few_queries_and_their_bound(spark, monkeypatch):
     q, queries = vectors(spark, 12, 6, 1, "query_id")
-    s, store = vectors(spark, 30, 6, 2, "vec_id")
-    monkeypatch.setattr(nn, "BROADCAST_ROWS", 10)
-    monkeypatch.setattr(nn, "BLOCK_ROWS", 7)
-    assert nn._small(queries) is None
-    assert result(nn.nearest(queries, store, 4)) == brute(q, s, 4)
+    s, store = vectors(spark, 90, 6, 2, "vec_id", ties=True)
+    assert result(nn.nearest_few(queries, store.repartition(5), 7)) == brute(q, s, 7)
+    monkeypatch.setattr(nn, "FEW_VALUES", 12 * 6 - 1)
+    with pytest.raises(ValueError, match="too many queries"):
+        nn.nearest_few(queries, store)
+
+
+def test_a_hot_vector_and_missing_vectors(spark):
+    """A third of the store is one vector; it is dealt in several groups, and ties still go to the smaller id."""
+    data = np.random.default_rng(4).normal(size=(300, 4)).round(3)
+    data[::3] = data[0]
+    store = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)] + [(999, None)], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(0, data[0].tolist()), (1, data[1].tolist()), (2, None)], "query_id long, embedding array<double>")
+    got = result(nn.nearest(queries, store, 8, pivots=6, group_rows=20))
+    assert got == brute(data[:2], data, 8)
+    assert nn.nearest(queries, store.limit(0)).count() == nn.nearest(queries.limit(0), store).count() == 0
+
+
+def test_nothing_runs_before_the_result_is_asked_for(spark):
+    _, queries = vectors(spark, 3, 2, 1, "query_id")
+    _, store = vectors(spark, 9, 2, 2, "vec_id")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    nn.nearest(queries, store, 2)
+    assert not tracker.getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_fewer_vectors_than_k_and_text_ids(spark):
     store = spark.createDataFrame([("x", [0.0, 0.0]), ("y", [1.0, 0.0])], "vec_id string, embedding array<double>")
     queries = spark.createDataFrame([("q", [0.9, 0.0])], "query_id string, embedding array<double>")
-    assert result(nn.nearest(queries, store, 15)) == {"q": ["y", "x"]}
-    assert result(nn.nearest(queries, store.where("vec_id = 'x'"), 3)) == {"q": ["x"]}
+    for find in (nn.nearest, nn.nearest_few):
+        assert result(find(queries, store, 15)) == {"q": ["y", "x"]}
+        assert result(find(queries, store.where("vec_id = 'x'"), 3)) == {"q": ["x"]}
 
 
 def test_embedding_is_stable_and_finds_the_same_text(spark):
@@ -121,3 +135,45 @@ def test_embedding_is_stable_and_finds_the_same_text(spark):
     assert store.first()["embedding"] == queries.first()["embedding"]
     found = nn.nearest(queries, store, 1).where(F.col("rank") == 1).collect()
     assert all(r["query_id"] == r["vec_id"] for r in found)
+
+
+class Counting:
+    """Another embedder: the length of the text, and a note of every text that it is asked for."""
+
+    version = "lengths"
+
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def embed(self, df, text="content"):
+        folder = self.folder
+
+        @F.udf("array<float>")
+        def one(t):
+            import uuid
+
+            open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+            return [float(len(t))]
+
+        return df.withColumn("embedding", one.asNondeterministic()(F.col(text)))
+
+
+def test_index_then_retrieve(spark, tmp_path, capsys):
+    path, asked = new_table_path(spark, "index"), tmp_path / "asked"
+    asked.mkdir()
+    model = Counting(asked)
+    first = documents(spark, [("a", "2025-01-01", "x" * 5), ("b", "2025-01-02", "x" * 9), ("a", "2025-01-01", "x" * 5)])
+    index_documents(first, path, model)
+    index_documents(first.unionByName(documents(spark, [("c", "2025-01-03", "x" * 10)])), path, model)
+    assert len(list(asked.iterdir())) == 3  # nothing is embedded twice
+    queries = spark.createDataFrame([(1, "x" * 8)], "query_id long, content string")
+    found = retrieve(queries, path, model, 2).orderBy("rank").collect()
+    assert [(r["chunk_id"], r["distance"]) for r in found] == [("b:0", 1.0), ("c:0", 4.0)]
+    found = retrieve(queries, path, model, 2, last_day="2025-01-02").orderBy("rank").collect()
+    assert [(r["chunk_id"], str(r["publish_at"]), r["content"]) for r in found] == [("b:0", "2025-01-02", "x" * 9), ("a:0", "2025-01-01", "x" * 5)]
+    stored_vectors(spark, path, model, "2025-01-02").explain("formatted")
+    assert "PartitionFilters: [isnotnull(model" in capsys.readouterr().out
+    # another version is filled beside the first
+    other = embedding_model(first, 16)
+    index_documents(first, path, other)
+    assert retrieve(queries, path, other, 9).count() == 2 and retrieve(queries, path, model, 9).count() == 3
