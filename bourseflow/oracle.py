@@ -575,6 +575,7 @@ O["top_lags"] = f"""WITH {STAGES}, ranked AS (SELECT *, row_number() OVER (PARTI
   FROM errors WHERE stage = 'add_ar')
 SELECT symbol, CAST(rank AS INTEGER) AS rank, grid_idx, round(mape, 3) AS mape FROM ranked WHERE rank <= 10"""
 O["stage_summary"] = f"WITH {SUMMARY} SELECT *, with_future < lag_share AS is_lower FROM summary"
+O["report_tree_summary"] = O["stage_summary"]
 O["melt_summary"] = f"""WITH {SUMMARY} {" UNION ALL ".join(
     f"SELECT symbol, '{n}' AS category, {n} AS value FROM summary" for n in _names)}"""
 O["improved_symbols"] = f"""WITH {SUMMARY} SELECT symbol, round(add_ar / lag_vol_price, 4) AS add_ar, lag_vol_price

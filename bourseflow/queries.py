@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from bourseflow.plans import evaluation, indexing, tuning
 from bourseflow.plans import scoring as score_plans
 from bourseflow.session import cut_lineage, new_table_path
 from bourseflow.sources import bindings as b
+from bourseflow.sources.files import read_reports
 from bourseflow.sources.sinks import append_factors, read_factor_table
 from bourseflow.sources.versions import read_version, replace_rows
 from bourseflow.streaming import loads
@@ -532,6 +534,22 @@ def stage_summary(spark, sf):
     return evaluation.stage_summary(_one_regressor_results(spark, sf), SUMMARY_STAGES)
 
 
+@query
+def report_tree_summary(spark, sf):
+    """The same matrix from a tree of report files, whose columns differ and stand in another order by stage."""
+    root = new_table_path(spark, "reports")
+    results = cut_lineage(_one_regressor_results(spark, sf).withColumnsRenamed({"rmse": "RMSE", "mape": "MAPE"}))
+    stages = []
+    for i, stage in enumerate(SUMMARY_STAGES):
+        columns = [F.col("grid_idx").alias("_c0"), F.lit("x").alias(f"{stage}_lag"), "RMSE", "MAPE"]
+        columns = columns if i % 2 else [columns[0], "MAPE", "RMSE"]
+        rows = results.where(F.col("stage") == stage).select("symbol", *columns)
+        rows.write.partitionBy("symbol").option("header", True).csv(f"{root}/{stage}")
+        read = read_reports(spark, f"{root}/{stage}", "part-*.csv", {"_c0": "int", "RMSE": "double", "MAPE": "double"})
+        stages.append(read.select("symbol", F.lit(stage).alias("stage"), F.col("_c0").alias("grid_idx"), F.col("MAPE").alias("mape")))
+    return evaluation.stage_summary(reduce(DataFrame.unionByName, stages), SUMMARY_STAGES)
+
+
 @query
 def melt_summary(spark, sf):
     matrix = evaluation.stage_summary(_one_regressor_results(spark, sf), SUMMARY_STAGES)

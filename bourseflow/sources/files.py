@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,17 +49,84 @@ FACTOR_SCHEMA = T.StructType(
 )
 
 
-def _number(column: str):
-    """Double with NaN as null; a column the files lack is null."""
-    value = F.col(column).cast("double")
-    return F.when(~F.isnan(value), value).alias(column)
+#: Name of the column that holds the text of a row that does not fit its file's header.
+BROKEN = "_broken"
 
 
-def read_prices(spark: SparkSession, path: str, columns: Sequence[str] = tuple(PRICE_COLUMNS)) -> DataFrame:
-    """All ``<symbol>_*.csv`` files of a folder as one frame; columns are found by header name."""
-    raw = spark.read.option("header", True).csv(path)
-    symbol = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)_", 1).alias("symbol")
-    return raw.select(symbol, F.to_date("ds").alias("ds"), *[_number(c) for c in columns if c in raw.columns])
+def _headers(lines: DataFrame) -> dict[str, list[str]]:
+    """Files by their first line. The driver lists these files anyway; there are few different headers."""
+    first = lines.select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("place"))
+    found: dict[str, list[str]] = {}
+    for file, header in first.groupBy("file").agg(F.min_by("value", "place")).collect():
+        found.setdefault(header.lstrip("\ufeff"), []).append(file)
+    return found
+
+
+def _names(header: str, unnamed: str) -> list[str]:
+    names: list[str] = []
+    for i, name in enumerate(next(csv.reader([header]), [])):
+        name = name.strip() or (unnamed if i == 0 else f"_c{i}")
+        names.append(name if name not in names else f"{name}_{i}")
+    return names
+
+
+def read_by_header(
+    spark: SparkSession,
+    path: str,
+    types: dict[str, str],
+    options: dict[str, str] | None = None,
+    unnamed: str = "row",
+    observation: Observation | None = None,
+) -> DataFrame:
+    """CSV files whose headers differ, as one frame: columns are found by name in every file.
+
+    Files of one header are one scan, with the ``types`` of the columns they name
+    (others are text); columns a file lacks are null, and an unnamed first column
+    is called ``unnamed``. A row that does not fit its header or its types is kept
+    apart: it is left out here and counted by ``observation`` (``rows``, ``broken``),
+    and ``broken_rows`` gives it. Adds ``_file``, the path.
+    """
+    scanned = _scan_by_header(spark, path, types, options or {}, unnamed)
+    if observation is not None:
+        scanned = scanned.observe(observation, F.count(F.lit(1)).alias("rows"), F.count(BROKEN).alias("broken"))
+    return scanned.where(F.col(BROKEN).isNull()).drop(BROKEN)
+
+
+def broken_rows(spark: SparkSession, path: str, types: dict[str, str], options: dict[str, str] | None = None) -> DataFrame:
+    """``_file, _broken`` of the rows that ``read_by_header`` leaves out."""
+    scanned = _scan_by_header(spark, path, types, options or {}, "row")
+    return scanned.where(F.col(BROKEN).isNotNull()).select("_file", BROKEN)
+
+
+def _scan_by_header(spark: SparkSession, path: str, types: dict[str, str], options: dict[str, str], unnamed: str) -> DataFrame:
+    reader = spark.read.options(**options)
+    frames = []
+    for header, paths in sorted(_headers(reader.text(path)).items()):
+        names = _names(header, unnamed)
+        fields = ", ".join(f"`{n}` {types.get(n, 'string')}" for n in names)
+        scan = spark.read.schema(f"{fields}, {BROKEN} string").option("header", True).option("escape", '"')
+        found = scan.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).csv(sorted(paths))
+        # a row is broken if any column is, so all are parsed whatever a query asks for (nothing of them is added)
+        judged = [F.col(f"`{n}`").cast("string") for n in names]
+        nothing = F.substring(F.concat_ws("", *judged), 1, 0)
+        frames.append(found.withColumns({BROKEN: F.concat(BROKEN, nothing), "_file": F.col("_metadata.file_path")}))
+    if not frames:
+        return spark.createDataFrame([], f"{BROKEN} string, _file string")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def read_prices(
+    spark: SparkSession, path: str, columns: Sequence[str] = tuple(PRICE_COLUMNS), observation: Observation | None = None
+) -> DataFrame:
+    """All ``<symbol>_*.csv`` files of a folder as one frame; columns are found by the header of each file.
+
+    Columns that no file has are left out; NaN is null; broken rows are counted by ``observation``.
+    """
+    types = {"ds": "date"} | {c: "double" for c in columns}
+    raw = read_by_header(spark, path, types, observation=observation)
+    symbol = F.regexp_extract("_file", r"/(\d+)_[^/]*$", 1).alias("symbol")
+    numbers = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns if c in raw.columns]
+    return raw.select(symbol, "ds", *numbers)
 
 
 def _news_columns(raw: DataFrame) -> DataFrame:
@@ -116,26 +185,31 @@ def read_factors(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(symbol.alias("symbol"), F.col("date").alias("ds"), "factor", "explanation", "updated_time", "news_count")
 
 
-def read_reports(spark: SparkSession, root: str, file_name: str) -> DataFrame:
-    """Every file of that name below ``root``, tagged with its folder's name.
+#: Columns of a tuning report that are numbers; parameters are text.
+REPORT_TYPES = {"grid_idx": "int", "RMSE": "double", "MAPE": "double"}
+
+
+def _folder(path) -> Column:
+    """Name of a file's folder; of a folder ``name=value``, the value."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -2), "^[^=]*=", "")
 
-    A tuning report starts with an unnamed column, the position before sorting.
-    Rows that do not fit are skipped.
+
+def read_reports(
+    spark: SparkSession, root: str, file_name: str, types: dict[str, str] | None = None, observation: Observation | None = None
+) -> DataFrame:
+    """Every file of that name (or glob) below ``root``, tagged with its folder's name as ``symbol``.
+
+    A tuning report starts with an unnamed column, the position before sorting
+    (``grid_idx``). Files may name their columns in any order; broken rows are
+    counted by ``observation``.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", file_name)
-        .option("mode", "DROPMALFORMED")
-        .csv(root)
-    )
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    names = {c: ("grid_idx" if c.startswith("_c") else c) for c in raw.columns}
-    return raw.select(folder.alias("symbol"), *[F.col(c).alias(names[c]) for c in raw.columns])
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": file_name}
+    raw = read_by_header(spark, root, REPORT_TYPES if types is None else types, options, "grid_idx", observation)
+    return raw.select(_folder("_file").alias("symbol"), *[f"`{c}`" for c in raw.columns if c != "_file"])
 
 
-def read_best_params(spark: SparkSession, root: str, file_name: str) -> DataFrame:
-    """Best-parameter files (an object of lists) as ``symbol, params map<string, array<string>>``."""
+def read_best_params(spark: SparkSession, root: str, file_name: str = "*") -> DataFrame:
+    """Best-parameter files (an object of lists) as ``symbol, params map<string, array<string>>``; also what ``write_best_params`` wrote."""
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -143,10 +217,8 @@ def read_best_params(spark: SparkSession, root: str, file_name: str) -> DataFram
         .load(root)
     )
     text = F.decode("content", "UTF-8")
-    return raw.select(
-        F.element_at(F.split("path", "/"), -2).alias("symbol"),
-        F.from_json(text, "map<string,array<string>>").alias("params"),
-    )
+    params = F.from_json(text, "map<string,array<string>>")
+    return raw.where(params.isNotNull()).select(_folder("path").alias("symbol"), params.alias("params"))
 
 
 def read_big5(spark: SparkSession, path: str) -> DataFrame:

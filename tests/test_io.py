@@ -3,6 +3,7 @@ import json
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from bourseflow.operators import prompts, scoring
@@ -68,7 +69,7 @@ def test_reports_and_best_parameters(spark, tmp_path):
     (tmp_path / "2330" / "other.csv").write_text("a\n1\n")
     got = files.read_reports(spark, str(tmp_path), "add_ar.csv")
     assert sorted((r["symbol"], r["grid_idx"], r["MAPE"]) for r in got.collect()) == [
-        ("2301", "1", "2.5"), ("2301", "3", "1.5"), ("2330", "1", "2.5"), ("2330", "3", "1.9"),
+        ("2301", 1, 2.5), ("2301", 3, 1.5), ("2330", 1, 2.5), ("2330", 3, 1.9),
     ]
     best = files.read_best_params(spark, str(tmp_path), "add_ar.json")
     assert {r["symbol"]: r["params"] for r in best.collect()}["2330"] == {"n_lags": ["4", "2"], "flag": ["true"]}
@@ -76,6 +77,29 @@ def test_reports_and_best_parameters(spark, tmp_path):
     sinks.write_best_params(best, path)
     stored = spark.read.text(path).collect()
     assert {str(r["symbol"]): json.loads(r["value"]) for r in stored}["2301"] == {"n_lags": ["4", "2"], "flag": ["true"]}
+    again = files.read_best_params(spark, path)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, best.collect()))
+
+
+def test_price_files_of_differing_headers(spark, tmp_path):
+    """Columns in another order, one missing, one more, and rows that do not fit."""
+    write_csv(tmp_path / "1_a.csv", ["", "ds", "y", "volume"], [[0, "2024-01-02", "1.5", "10"], [1, "2024-01-03", "x", "11"]])
+    write_csv(tmp_path / "2_a.csv", ["volume", "extra", "y", "ds"], [["20", "?", "2.5", "2024-01-02"], ["21", "?", "3.5"]])
+    write_csv(tmp_path / "3_a.csv", ["ds", "y"], [["2024-01-02", "4.5"], ["2024-01-03", ""], ["2024-01-04", "NaN"]])
+    (tmp_path / "4_a.csv").write_text("")
+    (tmp_path / "5_a.csv").write_text("\ufeffds,y\n2024-01-02,6.5\n", encoding="utf-8")
+    seen = Observation()
+    frame = files.read_prices(spark, str(tmp_path), observation=seen)
+    assert dict(frame.dtypes) == {"symbol": "string", "ds": "date", "y": "double", "volume": "double"}
+    got = sorted((r["symbol"], str(r["ds"]), r["y"], r["volume"]) for r in frame.collect())
+    assert got == [
+        ("1", "2024-01-02", 1.5, 10.0), ("2", "2024-01-02", 2.5, 20.0),
+        ("3", "2024-01-02", 4.5, None), ("3", "2024-01-03", None, None), ("3", "2024-01-04", None, None), ("5", "2024-01-02", 6.5, None),
+    ]
+    assert seen.get == {"rows": 8, "broken": 2}
+    types = {"ds": "date", "y": "double", "volume": "double"}
+    assert sorted(r["_broken"] for r in files.broken_rows(spark, str(tmp_path), types).collect()) == ["1,2024-01-03,x,11", "21,?,3.5"]
+    assert frame.select("symbol").count() == 6  # also when no other column is asked for
 
 
 def test_big5_rules_factors_settings(spark, tmp_path):
