@@ -36,9 +36,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 CACHED_LETTERS = 40
-PAIRS = 1_000_000
+PAIRS = 400_000
 #: Bytes of a word's beginning whose prefixes are remembered.
 HEAD = 6
 

@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 
 CACHE_PIECES = 300_000
 CACHED_LETTERS = 40
-PAIRS = 1_000_000
+PAIRS = 600_000
 #: Bytes of a piece's beginning whose last tokens are remembered, by beginning.
 HEAD = 6
 #: Characters past its end that decide a match: a contraction has three letters.

@@ -57,7 +57,9 @@ CELL_VALUES, LEVELS, COPIES = 2_000_000, 3, 4
 #: Bits that tell which texts are read again; 8 MB.
 ID_BITS = 1 << 26
 #: Entries of a matrix that a task holds.
-_ENTRIES = 4_000_000
+_ENTRIES = 2_000_000
+#: Rows whose sets a task holds.
+_ROWS = 1_000
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -95,9 +97,15 @@ def sample_size(size: int, percent: int) -> tuple[int, int]:
     return spare + m, spare_and_m(size - spare)[1]
 
 
+def _slices(batches):
+    """Batches of no more than ``_ROWS`` rows."""
+    for batch in batches:
+        yield from (batch.slice(i, _ROWS) for i in range(0, len(batch), _ROWS))
+
+
 def _sampled(n: int, percent: int):
     def step(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, nodes, samples, shared = [], [], [], []
             for s in shingle_sets(W.as_bytes(batch.column(1)), n):
                 sizes.append(len(s))
@@ -117,7 +125,7 @@ def _sets(n: int):
     """Class and set of each text, again from the text; of the class asked for only, where one is named. Further columns are passed on."""
 
     def step(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             wanted = batch.column(1).to_pylist()
             nodes, sets, places = [], [], []
             for i, s in enumerate(shingle_sets(W.as_bytes(batch.column(0)), n)):
