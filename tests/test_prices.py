@@ -94,6 +94,46 @@ def test_correlations_match_pandas(spark):
         assert value == pytest.approx(expected.loc[i, j])
 
 
+def test_correlations_of_groups_far_from_zero(spark, capsys):
+    """Large means, a missing half, a group of one row, and no row opened into pairs of columns."""
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame(rng.normal(size=(200, 3)) + 1e8, columns=["a", "b", "c"])
+    frame["c"] = frame["a"] * 2 + rng.normal(size=200)
+    frame.loc[100:, "b"] = np.nan
+    frame["g"] = ["x" if i % 3 else "y" for i in range(200)]
+    rows = [(r.g, r.a, None if pd.isna(r.b) else r.b, r.c) for r in frame.itertuples()] + [("one", 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, c double").repartition(7)
+    cells = stats.correlation_matrix(df, ["a", "b", "c"], ["g"])
+    got = {(r["g"], r["left"], r["right"]): r["corr"] for r in cells.collect()}
+    assert len(got) == 18 and not any(g == "one" for g, _, _ in got)
+    for (g, i, j), value in got.items():
+        assert value == pytest.approx(frame[frame.g == g][["a", "b", "c"]].corr().loc[i, j], abs=1e-6)
+    cells.explain("formatted")
+    assert "Generate" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("max_lag", [3, 10, 60])
+def test_a_long_series_in_many_ranges(spark, capsys, max_lag):
+    rng = np.random.default_rng(4)
+    series = {"long": rng.normal(size=500).cumsum() + 1e6, "short": rng.normal(size=5), "flat": np.full(40, 0.1), "one": np.ones(1)}
+    rows = [(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)] + [("long", 1000, None)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(6)
+    found = stats.autocorrelation(df, "v", "i", ["k"], max_lag)
+    got = {(r["k"], r["lag"]): (r["n"], r["acf"], r["band"]) for r in found.collect()}
+    wanted = {}
+    for k in ("long", "short"):
+        d = series[k] - series[k].mean()
+        acf = [float((d[: len(d) - j] * d[j:]).sum() / (d * d).sum()) for j in range(min(max_lag + 1, len(d)))]
+        for j, a in enumerate(acf):
+            wanted[k, j] = (len(d), a, 1.96 * np.sqrt((1 + 2 * sum(x * x for x in acf[1:j])) / len(d)) if j else 0.0)
+    assert got.keys() == wanted.keys()
+    for key, value in wanted.items():
+        assert got[key] == pytest.approx(value, abs=1e-7)
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Window" not in plan and "Generate" not in plan
+
+
 def test_autocorrelation_and_band(spark):
     x = np.random.default_rng(2).normal(size=80).cumsum()
     df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "k string, i int, v double")
