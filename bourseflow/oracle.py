@@ -278,6 +278,11 @@ def _token_list(expr: str) -> str:
     return f"regexp_extract_all({without_digits}, '[A-Za-z0-9]+')"
 
 
+O["keyword_match_many"] = f"""WITH listed AS (SELECT DISTINCT w FROM (SELECT unnest({_token_list("text")}) AS w FROM benchmark)
+  WHERE length(w) > 3 ORDER BY w LIMIT 5000)
+SELECT doc_id AS id, count(*) AS n_named, min(w) AS first_named, max(w) AS last_named
+FROM documents JOIN listed ON contains(text, lower(w)) GROUP BY 1"""
+
 LABELLED = f"""{DAILY}, {LABELS}, {NEWS}, articles AS (
   SELECT l.symbol, n.id, n.publish_at, l.increase, {_token_list("n.content")} AS a
   FROM news n JOIN day_labels l ON l.ds = n.news_date WHERE l.increase IS NOT NULL)"""

@@ -233,6 +233,18 @@ def keyword_match(spark, sf):
     return matched.select("id", "symbol", "stock_name")
 
 
+KEYWORDS = 5_000
+
+
+@query
+def keyword_match_many(spark, sf):
+    """Articles and how many of 5,000 keywords they name: the first words of the rules, in alphabetical order, as companies."""
+    found = b.rules(spark, sf).select(F.explode(text.article_words(F.col("content"))).alias("word")).where(F.char_length("word") > 3)
+    listed = [r["word"] for r in found.distinct().orderBy("word").limit(KEYWORDS).collect()]
+    matched = news.match_many(b.news(spark, sf).select("id", "content"), [{"symbol": w, "stock_name": w} for w in listed])
+    return matched.groupBy("id").agg(F.count(F.lit(1)).alias("n_named"), F.min("symbol").alias("first_named"), F.max("symbol").alias("last_named"))
+
+
 @query
 def last_n_news(spark, sf):
     matched = news.match_companies(b.news(spark, sf), b.companies())

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from datetime import datetime
 
@@ -67,6 +68,18 @@ def test_prompt_is_cut_at_the_limit(spark):
     assert [(len(r["prompt"]), r["was_truncated"]) for r in got] == [(7500, True), (1, False)]
 
 
+def test_one_automaton_finds_what_expressions_find(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcB台") for _ in range(n))
+    companies = [{"symbol": word(rng.randint(1, 4)), "stock_name": word(rng.randint(0, 5))} for _ in range(40)]
+    rows = [(i, None if i == 3 else "" if i == 4 else word(rng.randint(1, 30))) for i in range(60)] + [(7, "abc")]
+    df = spark.createDataFrame(rows, "id long, content string").repartition(4)
+    for fold in (False, True):
+        wanted, found = (f(df, companies, fold).select("id", "symbol", "stock_name").collect() for f in (news.match_companies, news.match_many))
+        assert sorted(map(tuple, found)) == sorted(map(tuple, wanted)) and wanted
+    assert news.match_many(df, []).count() == news.match_many(df.limit(0), companies).count() == 0
+
+
 LABELLED = [
     (True, "2024-01-01 08:00:00", 5, "aa bb aa"),
     (True, "2024-01-01 08:00:00", 9, "cc"),
