@@ -54,7 +54,7 @@ from bourseflow.session import cut_lineage
 
 #: Shingles (over all members) of a region that one task joins; levels of splitting; copies of a member that a split may make.
 CELL_VALUES, LEVELS, COPIES = 2_000_000, 3, 4
-#: Bits that tell which texts are read again; 8 MB.
+#: Bits that tell which texts are read again: a million rows of 64 at most.
 ID_BITS = 1 << 26
 #: Entries of a matrix that a task holds.
 _ENTRIES = 2_000_000
@@ -301,40 +301,38 @@ def _in_blocks(cells: DataFrame, cell_values: int) -> DataFrame:
     return dealt.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "outer", side.alias("side"))
 
 
-def _bits(ids: DataFrame) -> np.ndarray:
-    """A table of ``ID_BITS`` bits with one set for every id: of fixed size, however many there are."""
-    place = F.pmod(F.col("doc_id"), F.lit(ID_BITS))
-    words = ids.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int")).alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(ID_BITS // 64, dtype=np.int64)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return out.view(np.uint64)
+def _thinned(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose id is not among ``ids``: those whose place in a table of bits is empty.
 
+    The table has ``ID_BITS`` bits, 64 to a row, however many ids there are, so it
+    can be broadcast; beyond that many ids it merely thins out less.
+    """
 
-def _read_sets(docs: DataFrame, wanted: DataFrame, prints: DataFrame, n: int) -> DataFrame:
-    """``wanted(node, doc, ...)`` with ``shingles, size`` of each class, read again from the row of its smallest id, or from the rows without one.
+    def place(column: str):
+        return F.pmod(F.col(column), F.lit(ID_BITS))
 
-    A fixed table of bits keeps most other texts from being shuffled.
-    """
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(wanted.where("doc is not null").select(F.col("doc").alias("doc_id"))))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place("doc_id"), F.lit(64)).cast("int"))
+    table = ids.select(F.shiftright(place("doc_id"), 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = docs.withColumn("word", F.shiftright(place("doc_id"), 6)).join(F.broadcast(table), "word")
+    return found.where(F.col("bits").bitwiseAND(bit) != 0).select(*docs.columns)
 
-    def likely(batches):
-        for batch in batches:
-            place = batch.column(0).to_numpy() % ID_BITS
-            yield batch.filter(pa.array((bits.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1))
 
+def _read_sets(docs: DataFrame, wanted: DataFrame, prints: DataFrame, n: int) -> DataFrame:
+    """``wanted(node, doc, ...)`` with ``shingles, size`` of each class, read again from the row of its smallest id, or from the rows without one."""
     schema = "node binary, shingles binary, chosen binary, is_pivot boolean"
-    few = docs.where("doc_id is not null").mapInArrow(likely, docs.schema)
-    named = wanted.withColumnRenamed("doc", "doc_id")
-    columns = ["text", "node", "chosen", "is_pivot"]
+    named = wanted.withColumnRenamed("doc", "doc_id").where("doc_id is not null")
     # rows that share their id may be alike
-    many = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
-    alone = few.join(named.join(many, "doc_id", "left_anti"), "doc_id").select(*columns).mapInArrow(_sets(n), schema)
-    shared = few.join(named.join(many, "doc_id", "left_semi"), "doc_id").select(*columns).mapInArrow(_sets(n), schema).dropDuplicates(["node"])
+    many = cut_lineage(prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"))
+    found = []
+    for how in ("left_anti", "left_semi"):
+        asked = cut_lineage(named.join(many, "doc_id", how))
+        met = _thinned(docs, asked).join(asked, "doc_id").select("text", "node", "chosen", "is_pivot")
+        found.append(met.mapInArrow(_sets(n), schema))
     nameless = docs.where("doc_id is null").select("text", F.lit(None).cast("binary").alias("node")).mapInArrow(_sets(n), "node binary, shingles binary")
     nameless = nameless.dropDuplicates(["node"]).join(wanted.where("doc is null").drop("doc"), "node")
-    found = alone.unionByName(shared).unionByName(nameless)
-    return found.withColumn("size", (F.octet_length("shingles") / 8).cast("bigint"))
+    alone, shared = found
+    every = alone.unionByName(shared.dropDuplicates(["node"])).unionByName(nameless)
+    return every.withColumn("size", (F.octet_length("shingles") / 8).cast("bigint"))
 
 
 def similar_components(
