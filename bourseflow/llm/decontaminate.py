@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bourseflow.llm import words as W
+from bourseflow.llm.names import keeping_columns
 
 SHARD_BYTES = 1 << 20
 BLOCK_WORDS = 2_000_000
@@ -307,8 +308,9 @@ def contaminated(share_of: int = 20) -> Column:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, share_of: int = 20, **options) -> DataFrame:
-    """Documents that are not contaminated, with their own columns."""
-    return find_matches(docs, items, **options).where(~contaminated(share_of)).select(*[f"`{c}`" for c in docs.columns])
+    """Documents that are not contaminated, with their own columns, whatever their names."""
+    text = options.get("text_column", "text")
+    return keeping_columns(docs, ["doc_id", text], lambda d: find_matches(d, items, **options).where(~contaminated(share_of)).select(*d.columns))
 
 
 def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -3,12 +3,16 @@
 A page becomes a tree of elements. Every node has its characters, tags, link
 characters and link tags; its density is characters per tag, adjusted for links
 (the more of its text is linked, the lower). A node's sum is that of its
-children's densities. Parts that are never the article (navigation, footers,
-notices, advertisements, forms, comments, ...) are cut off first. The subtree
-with the largest sum is the core; the smallest density on the path from it up
-to the body is the threshold, and what is as dense as that, beside the core,
-belongs to the text too. A core inside an ``article`` or ``main`` element
-stands for that element.
+children's densities. Elements that are never the article (navigation, footers,
+forms, ...) are cut off first, and so are parts whose class, id or role marks them
+as such (notices, advertisements, comments, ...), unless they hold most of the
+page: more than half of the unlinked characters of its ``article`` and ``main``
+elements, or of all where it has none. Such a mark is a wrapper's ("has-sidebar"), and densities decide
+inside it. The subtree with the largest sum is the core; the smallest density on
+the path from it up to the body is the threshold, and what is as dense as that,
+beside the core, belongs to the text too. A core inside an ``article`` or ``main``
+element stands for that element, so there the page's own marking decides, not the
+sums.
 
 Defined cases: null and empty pages, and pages without text, give the empty
 text; unclosed and stray tags are mended as browsers do for blocks (a new
@@ -19,6 +23,7 @@ equal rows each get a row; pages are read whole; further columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from math import e, log
 
@@ -44,10 +49,11 @@ _TOKEN = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
 class Node:
-    __slots__ = ("name", "noise", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "keep")
+    __slots__ = ("name", "noise", "marked", "plain", "subject", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "keep")
 
-    def __init__(self, name: str, noise: bool, parent: Node | None):
-        self.name, self.noise, self.parent = name, noise, parent
+    def __init__(self, name: str, noise: bool, marked: bool, parent: Node | None):
+        self.name, self.noise, self.marked, self.parent = name, noise, marked, parent
+        self.plain = self.subject = 0
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -57,14 +63,33 @@ class Node:
 def _is_noise(name: str, attrs: list[tuple[str, str | None]], inside_subject: bool) -> bool:
     if name in NEVER or (name == "header" and not inside_subject):
         return True
+    return name not in ("body", "html", *SUBJECT) and any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
+
+
+def _is_marked(name: str, attrs: list[tuple[str, str | None]]) -> bool:
     if name in ("body", "html", *SUBJECT):
         return False
-    for key, value in attrs:
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        if key in ("class", "id", "role") and value and any(t.lower() in NOISE for t in _TOKEN.findall(value)):
-            return True
-    return False
+    values = [v for k, v in attrs if k in ("class", "id", "role") and v]
+    return any(t.lower() in NOISE for v in values for t in _TOKEN.findall(v))
+
+
+def _judge_marks(root: Node) -> None:
+    """Marked nodes are noise, unless they hold most of the page's text."""
+    order, stack = [], [(root, False, False)]
+    while stack:
+        node, linked, inside = stack.pop()
+        order.append(node)
+        linked, inside = linked or node.name == "a", inside or node.name in SUBJECT
+        own = 0 if linked else sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        node.plain, node.subject = own, own if inside else 0
+        stack += [(c, linked, inside) for c in node.children if not isinstance(c, str) and not c.noise]
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.plain += node.plain
+            node.parent.subject += node.subject
+    for node in order:
+        held, total = (node.subject, root.subject) if root.subject else (node.plain, root.plain)
+        node.noise |= node.marked and 2 * held <= total
 
 
 class Builder(HTMLParser):
@@ -72,8 +97,9 @@ class Builder(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", False, None)
+        self.root = self.at = Node("html", False, False, None)
         self.subjects = 0
+        self.open: Counter[str] = Counter()  # elements around the current place, by name
 
     def handle_starttag(self, name: str, attrs) -> None:
         if name in BLOCK and name != "br":
@@ -82,10 +108,11 @@ class Builder(HTMLParser):
             same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
             for n in same:
                 self._close(n, barrier=("ul", "ol", "table", "dl", "tr", "select") if name not in ("tr",) else ("table",))
-        node = Node(name, _is_noise(name, attrs, self.subjects > 0), self.at)
+        node = Node(name, _is_noise(name, attrs, self.subjects > 0), _is_marked(name, attrs), self.at)
         self.at.children.append(node)
         if name not in VOID:
             self.at = node
+            self.open[name] += 1
             self.subjects += name in SUBJECT
 
     def handle_startendtag(self, name: str, attrs) -> None:
@@ -94,6 +121,8 @@ class Builder(HTMLParser):
             self.handle_endtag(name)
 
     def _close(self, name: str, barrier: tuple[str, ...]) -> None:
+        if not self.open[name]:
+            return
         node = self.at
         while node is not self.root and node.name != name and node.name not in barrier:
             node = node.parent
@@ -101,13 +130,16 @@ class Builder(HTMLParser):
             self._leave(node)
 
     def _leave(self, node: Node) -> None:
-        while self.at is not node:
+        done = False
+        while not done:
+            done = self.at is node
             self.subjects -= self.at.name in SUBJECT
+            self.open[self.at.name] -= 1
             self.at = self.at.parent
-        self.subjects -= node.name in SUBJECT
-        self.at = node.parent
 
     def handle_endtag(self, name: str) -> None:
+        if not self.open[name]:
+            return
         node = self.at
         # an inline end tag does not close blocks around it
         while node is not self.root and node.name != name:
@@ -154,6 +186,7 @@ def main_text(html: str | None) -> str:
     builder = Builder()
     builder.feed(html or "")
     builder.close()
+    _judge_marks(builder.root)
     order = _measure(builder.root)
     body = next((n for n in order if n.name == "body"), builder.root)
     inside = [n for n in order if n.chars]

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bourseflow.llm.names import keeping_columns
 from bourseflow.session import cut_lineage
 
 SAMPLE_VALUES = 1_000
@@ -267,7 +268,14 @@ def scan(docs: DataFrame, formats: Formats, text_column: str = "text") -> DataFr
 
 
 def redact(docs: DataFrame, formats: Formats, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced by ``mark`` (overlapping spans by one); ``n_chars`` follows where there is one."""
+    """``docs`` with every span replaced by ``mark`` (overlapping spans by one); ``n_chars`` follows where there is one.
+
+    Other columns may have any names.
+    """
+    return keeping_columns(docs, ["text", "n_chars"], lambda d: _redacted(d, formats, mark))
+
+
+def _redacted(docs: DataFrame, formats: Formats, mark: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(formats)
     names = docs.columns
 

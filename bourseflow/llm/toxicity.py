@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bourseflow.llm.names import keeping_columns
+
 SAMPLE_ROWS = 20_000
 LEXICON_WORDS = 2_000
 BUCKETS = 16
@@ -301,7 +303,8 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
 
 
 def remove_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    return score(docs, model).where(F.col("_score") < threshold).drop("_score", "_clauses")
+    """Documents scored below the threshold, with their own columns, whatever their names."""
+    return keeping_columns(docs, ["doc_id", "text"], lambda d: score(d, model).where(F.col("_score") < threshold).drop("_score", "_clauses"))
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

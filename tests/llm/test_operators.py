@@ -291,6 +291,43 @@ def test_html():
     assert html.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='layout has-sidebar'>{}<div class='sidebar'>x y</div></div>", "<div id='page' class='no-sidebar'>{}</div>", "<section id='related-work'>{}</section>"])
+@pytest.mark.parametrize("element", ["article", "main", "div"])
+def test_html_in_marked_wrappers(wrapper, element):
+    text = " ".join(f"word{i}" for i in range(120))
+    page = "<body><div class='cookie-notice'>We use cookies</div>{}<div id='comments'><article><p>I like it</p></article></div></body>"
+    inner = f"<{element}><p>{text}</p><div class='promo'>buy now</div></{element}>"
+    found = html.main_text(page.format(wrapper.format(inner)))
+    if element == "div":  # the only article element is a comment's, so its reader's words decide what is most of the page
+        found = html.main_text(page.replace("article>", "p>").format(wrapper.format(inner)))
+    assert found == text
+
+
+def test_html_of_very_long_and_broken_pages():
+    import time
+
+    begin = time.perf_counter()
+    assert html.main_text("<div>" * 20_000 + "deep" + "</p>" * 20_000) == "deep"
+    assert len(html.main_text("<body><article>" + "<p>some text" * 50_000)) == 50_000 * 10 - 1
+    assert time.perf_counter() - begin < 30
+
+
+def test_filters_keep_columns_of_any_name(spark, rows):
+    names = ["doc_id", "text", "_score", "_clauses", "_n_words", "_spans", "TEXT_", "kept_0"]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4, "x", None) for i, t in rows[:12]], "doc_id bigint, text string, a int, b int, c int, d int, e string, f string").toDF(*names)
+    items = spark.createDataFrame([(1, "no id here no id here no id here no id here no id")], "item_id bigint, text string")
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(12)], "doc_id bigint, quality int, toxic int")
+    plain = docs.select("doc_id", "text")
+    for apply in (
+        lambda d: toxicity.remove_toxic(d, toxicity.learn(plain, labels)),
+        lambda d: decontaminate.remove_contaminated(d, items),
+        lambda d: secrets.redact(d, secrets.learn(plain)),
+    ):
+        kept = apply(docs)
+        assert kept.columns == names
+        assert sorted(map(repr, kept.select("doc_id", "text").collect())) == sorted(map(repr, apply(plain).collect()))
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>ä b</p>"), (1, "u", None)], "page_id bigint, url string, html string")
     assert sorted((r["text"], r["n_chars"]) for r in html.report(pages).collect()) == [("", 0), ("", 0), ("ä b", 3)]
