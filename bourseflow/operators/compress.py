@@ -11,14 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def reconstruct(df: DataFrame, columns: Sequence[str], k: int = 3, test_share: float = 0.2, seed: int = 0) -> DataFrame:
+def reconstruct(
+    df: DataFrame, columns: Sequence[str], k: int = 3, test_share: float = 0.2, seed: int = 0, keys: Sequence[str] | None = None
+) -> DataFrame:
     """Test rows with their code and squared reconstruction error.
 
+    A row's side of the split depends on its ``keys`` (all columns, if not named) and
+    the seed only, not on the partitions it is read in.
     Scaler and components are fitted on the training rows; both are sums over
     the rows, so their size depends on the number of columns only.
     """
     rows = df.na.drop("any", subset=list(columns))
-    train, test = rows.randomSplit([1 - test_share, test_share], seed)
+    place = F.pmod(F.xxhash64(F.lit(seed), *(keys or df.columns)), F.lit(10_000))
+    train, test = rows.where(place >= round(test_share * 10_000)), rows.where(place < round(test_share * 10_000))
     steps = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(columns), outputCol="_raw"),

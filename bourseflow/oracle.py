@@ -380,14 +380,17 @@ def _embedded(name: str, source: str, dimensions: int) -> str:
 
 
 def _nearest(queries: str, stored: str, query_ids: str, stored_ids: str, k: int) -> str:
-    """``found(query_id, vec_id, distance, rank)`` of sparse vectors; the ids also name texts without any token."""
+    """``found(query_id, vec_id, distance, rank)`` of sparse vectors; the ids also name texts without any token.
+
+    Sums of products come in any order, so equal distances are recognised after rounding.
+    """
     return f"""dots AS (SELECT q.id AS query_id, s.id AS vec_id, sum(q.v * s.v) AS dot FROM {queries} q JOIN {stored} s USING (place) GROUP BY 1, 2),
 sizes_q AS (SELECT id, sum(v * v) AS n FROM {queries} GROUP BY 1), sizes_s AS (SELECT id, sum(v * v) AS n FROM {stored} GROUP BY 1),
 distances AS (SELECT qi.id AS query_id, si.id AS vec_id,
-    round(coalesce(a.n, 0) + coalesce(c.n, 0) - 2 * coalesce(d.dot, 0), 9) AS distance
+    coalesce(a.n, 0) + coalesce(c.n, 0) - 2 * coalesce(d.dot, 0) AS distance
   FROM ({query_ids}) qi CROSS JOIN ({stored_ids}) si LEFT JOIN sizes_q a ON a.id = qi.id LEFT JOIN sizes_s c ON c.id = si.id
   LEFT JOIN dots d ON d.query_id = qi.id AND d.vec_id = si.id),
-found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM distances QUALIFY rank <= {k})"""
+found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id) AS rank FROM distances QUALIFY rank <= {k})"""
 
 
 _RULES = "SELECT text AS content FROM benchmark"

@@ -680,7 +680,7 @@ def staged_tuning(spark, sf):
 
 @query
 def pca_reconstruct(spark, sf):
-    out = reconstruct(b.stock_daily(spark, sf), tuning.SHARE)
+    out = reconstruct(b.stock_daily(spark, sf), tuning.SHARE, keys=["symbol", "ds"])
     return _plain(out.select("symbol", "ds", "squared_error"), 6)
 
 

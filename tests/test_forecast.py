@@ -236,6 +236,13 @@ def test_pairs_go_by_key(spark, prices):
     assert [(r["symbol"], round(r["rmse"], 6)) for r in errors] == [("1", 1.0)]
 
 
+def test_the_split_does_not_depend_on_the_partitions(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(400, 3)))], "i int, a double, b double, c double")
+    sides = [{r["i"] for r in reconstruct(df.repartition(n), list("abc"), k=2, keys=["i"]).select("i").collect()} for n in (1, 7)]
+    assert sides[0] == sides[1] and 50 < len(sides[0]) < 110
+
+
 def test_compression_keeps_low_rank_data(spark):
     base = np.random.default_rng(3).normal(size=(300, 2))
     data = base @ np.random.default_rng(4).normal(size=(2, 5))
