@@ -3,6 +3,13 @@
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is written
 as Parquet and read again as the next stage's documents. All but the last keep
 the columns of ``documents``.
+
+Defined cases: a null text is an empty one; texts without words are never toxic,
+near copies or contaminated, so they stay, and get no ids of tokens; of repeated
+rows (equal texts, whatever their ids) one stays; different texts under one id
+are different documents; rows without an id are kept like others and come back
+without one; further columns pass through all stages but the last, which returns
+``doc_id, lang, source, n_tokens, ids``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
