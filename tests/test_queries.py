@@ -49,3 +49,13 @@ def test_entry(spark):
     rows = entry_points.entry(spark).collect()
     suppliers = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey").distinct().collect()
     assert [r["symbol"] for r in rows] == sorted({str(2300 + r["l_suppkey"] % 20) for r in suppliers})
+
+
+def test_documents_stream_from_a_file_or_a_folder(spark, tmp_path):
+    rows = [(i, f"text number {i}", "en", "a", 10) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(2).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    (tmp_path / "file").mkdir()
+    df.toPandas().to_parquet(tmp_path / "file" / "documents.parquet")
+    for kind in ("folder", "file"):
+        assert entry_points.queries()["index_stream"](spark, str(tmp_path / kind)).count() == 4
