@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from array import array
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
@@ -53,44 +54,45 @@ def match_many(news: DataFrame, companies: Sequence[dict], fold_content: bool =
     """The rows of ``match_companies`` for a list of thousands.
 
     All keywords are one automaton, which reads an article once, whatever their
-    number. The list is a setting and goes to every task; the columns of an article
-    travel in Arrow batches, its matches beside it. An empty keyword is in every
-    article, and in none that is null.
+    number. The list is a setting and goes to every task. A task gives the places
+    in the list that an article names; rows are made of them by Spark, so an article
+    is not copied for every company it names unless its text is asked for. An empty
+    keyword is in every article, and in none that is null.
     """
-    names = news.columns
-    place = names.index("content")
-    listed = [(c["symbol"], c["stock_name"], [k.lower() for k in match_keywords(c)]) for c in companies]
-    shared = news.sparkSession.sparkContext.broadcast(listed)
-    added = [T.StructField("symbol", T.StringType()), T.StructField("stock_name", T.StringType())]
-
-    def step(batches):
-        automaton, everywhere = ahocorasick.Automaton(), []
-        of: dict[str, list[int]] = {}
-        for number, (_, _, keywords) in enumerate(shared.value):
-            for keyword in keywords:
-                of.setdefault(keyword, []).append(number)
-        everywhere = of.pop("", [])
+    spark = news.sparkSession
+    listed = [(number, c["symbol"], c["stock_name"]) for number, c in enumerate(companies)]
+    of: dict[str, list[int]] = {}
+    for number, company in enumerate(companies):
+        for keyword in match_keywords(company):
+            of.setdefault(keyword.lower(), []).append(number)
+    everywhere = of.pop("", [])
+    shared = spark.sparkContext.broadcast((of, everywhere))
+
+    def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of, everywhere = shared.value
+        automaton = ahocorasick.Automaton()
         for keyword, numbers in of.items():
             automaton.add_word(keyword, numbers)
         if of:
             automaton.make_automaton()
-        symbols, titles = (pa.array([c[i] for c in shared.value], pa.string()) for i in (0, 1))
         for batch in batches:
-            rows, found = [], []
-            for i, content in enumerate(batch.column(place).to_pylist()):
-                if content is None:
-                    continue
-                text = content.lower() if fold_content else content
-                named = set(everywhere)
-                if of:
-                    for _, numbers in automaton.iter(text):
-                        named.update(numbers)
-                rows += [i] * len(named)
-                found += sorted(named)
-            kept, found = batch.take(pa.array(rows, pa.int64())), pa.array(found, pa.int64())
-            yield pa.RecordBatch.from_arrays([*kept.columns, symbols.take(found), titles.take(found)], names=[*names, "symbol", "stock_name"])
-
-    return news.mapInArrow(step, T.StructType([*news.schema.fields, *added]))
+            ends, found = [0], array("i")
+            for content in batch:
+                text = content.as_py()
+                if text is not None:
+                    named = set(everywhere)
+                    if of:
+                        for _, numbers in automaton.iter(text.lower() if fold_content else text):
+                            named.update(numbers)
+                    found.extend(sorted(named))
+                ends.append(len(found))
+            numbers = pa.Array.from_buffers(pa.int32(), len(found), [None, pa.py_buffer(found)])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), numbers)
+
+    found = F.arrow_udf(places, T.ArrayType(T.IntegerType()))(F.col("content"))
+    numbered = news.select("*", found.alias("_places")).select(*news.columns, F.explode_outer("_places").alias("_place"))
+    table = spark.createDataFrame(listed, "_place int, symbol string, stock_name string")
+    return numbered.join(F.broadcast(table), "_place").drop("_place")
 
 
 def _latest_first() -> WindowSpec:

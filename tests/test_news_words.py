@@ -186,3 +186,11 @@ def test_articles_sorted_by_time(spark):
     df = articles(spark, [(1, "台積電 b", "2024-01-30 09:00:00"), (2, "台積電 a", "2024-01-30 08:00:00")])
     kept = news.last_articles(news.match_companies(df, COMPANIES)).orderBy("pos").collect()
     assert [r["publish_at"] for r in kept] == [datetime(2024, 1, 30, 8), datetime(2024, 1, 30, 9)]
+
+
+def test_a_long_article_is_not_copied_for_every_company_it_names(spark):
+    companies = [{"symbol": f"x{i}y", "stock_name": f"x{i}y"} for i in range(3000)]
+    text = " ".join(c["symbol"] for c in companies)
+    rows = spark.createDataFrame([(1,)], "id long").select("id", F.concat(F.lit(text), F.repeat(F.lit(" long"), 250_000)).alias("content"))
+    named = news.match_many(rows, companies)  # 3.7 GB of copies
+    assert named.select("id", "symbol").distinct().count() == 3000
