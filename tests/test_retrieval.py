@@ -177,3 +177,27 @@ def test_index_then_retrieve(spark, tmp_path, capsys):
     other = embedding_model(first, 16)
     index_documents(first, path, other)
     assert retrieve(queries, path, other, 9).count() == 2 and retrieve(queries, path, model, 9).count() == 3
+
+
+def test_few_distances_of_a_group_are_computed_one_by_one(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from bourseflow.operators import nearest as module
+
+    rng = np.random.default_rng(4)
+    stored, asked = (1e3 + rng.integers(0, 3, (n, 8)) / 7 for n in (3000, 40))
+    ids, far = rng.permutation(3000), np.linalg.norm(stored - 1e3, axis=1)
+    to_pivot = np.linalg.norm(asked - 1e3, axis=1)
+    limits = [None if i % 2 else 0.5 for i in range(40)]
+    vectors = lambda x: pa.array(list(x), pa.list_(pa.float64()))
+    one = pa.table({"query_id": range(40), "embedding": vectors(asked), "to_pivot": to_pivot, "limit": pa.array(limits, pa.float64())})
+    two = pa.table({"vec_id": ids, "embedding": vectors(stored), "far": far})
+    seen, plain = [], module._squares
+    monkeypatch.setattr(module, "_squares", lambda v, q: (seen.append(len(v)), plain(v, q))[1])
+    found = module._search(5)(one, two).to_pylist()
+    for i in range(40):
+        near = sorted(zip(plain(stored, asked[i]).tolist(), ids.tolist()))[:5]
+        got = [(r["distance"], r["vec_id"]) for r in found if r["query_id"] == i]
+        assert got[: len(near)] == near if limits[i] is None else [x for x in got if x[0] <= 0.25] == [x for x in near if x[0] <= 0.25]
+    assert sum(seen) < 40 * 3000 / 10
