@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bourseflow.functions.text import clean_text
+from bourseflow.session import cut_lineage
 
 ARTICLE_SEPARATOR = "\n\n---\n\n"  # fixed value
 
@@ -114,13 +115,30 @@ def last_articles(matched: DataFrame, n: int = 5) -> DataFrame:
     return _last(matched, n).withColumn("pos", F.max("_rank").over(group) - F.col("_rank")).drop("_rank")
 
 
+def _not_before_the_last(matched: DataFrame, n: int) -> DataFrame:
+    """Rows that can be among the last n of their company and day.
+
+    The n-th last row of each is found without the texts and stored, one row per
+    company and day; what comes before it goes, so texts that are not kept are not sorted.
+    """
+    keys = ["symbol", "news_date"]
+    narrow = _last(matched.select(*keys, "publish_at", "id"), n).where(F.col("_rank") == n)
+    nth = cut_lineage(narrow.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "publish_at", "id")], F.lit(True).alias("_full")))
+    earlier = F.col("publish_at").isNull() & F.col("_publish_at").isNotNull() | (F.col("publish_at") < F.col("_publish_at"))
+    behind = F.col("_id").isNull() & F.col("id").isNotNull() | (F.col("id") > F.col("_id"))
+    before = F.when(F.col("publish_at").eqNullSafe(F.col("_publish_at")), behind).otherwise(earlier)
+    same = F.col("symbol").eqNullSafe(F.col("_symbol")) & F.col("news_date").eqNullSafe(F.col("_news_date"))
+    met = matched.join(nth, same, "left")
+    return met.where(F.col("_full").isNull() | ~F.coalesce(before, F.lit(False))).select(*matched.columns)
+
+
 def daily_digest(matched: DataFrame, n: int = 5) -> DataFrame:
     """Per company and day: the last n articles, cleaned, in ascending order, and joined.
 
     The latest article looks at the ones before it inside the window that chose
-    them, so the texts are neither sorted nor shuffled a second time.
+    them, so only texts that are kept are sorted and shuffled, and once.
     """
-    kept = _last(matched, n).withColumn("content", clean_text(F.col("content")))
+    kept = _last(_not_before_the_last(matched, n), n).withColumn("content", clean_text(F.col("content")))
     earlier = [F.lead("content", k).over(_latest_first()) for k in range(n - 1, 0, -1)]
     articles = F.array_compact(F.array(*earlier, F.col("content")))
     latest = kept.withColumn("articles", articles).where(F.col("_rank") == 1)

@@ -194,3 +194,16 @@ def test_a_long_article_is_not_copied_for_every_company_it_names(spark):
     rows = spark.createDataFrame([(1,)], "id long").select("id", F.concat(F.lit(text), F.repeat(F.lit(" long"), 250_000)).alias("content"))
     named = news.match_many(rows, companies)  # 3.7 GB of copies
     assert named.select("id", "symbol").distinct().count() == 3000
+
+
+def test_only_the_last_articles_are_sorted_with_their_texts(spark, capsys):
+    rng = random.Random(8)
+    rows = [(i, f"台積電 {i}", f"2024-01-{rng.randint(28, 30)} 0{rng.randint(1, 4)}:00:00") for i in range(80)]
+    matched = news.match_companies(articles(spark, rows), COMPANIES)
+    digest = news.daily_digest(matched, 3)
+    for r in digest.collect():
+        order = sorted((m, -i, t) for i, t, m in rows if m[:10] == str(r["news_date"]))[-3:]
+        assert r["articles"] == [t for *_, t in order] and r["news_count"] == 3
+    digest.explain()
+    plan = capsys.readouterr().out
+    assert plan.index("Window") < plan.index("Join")  # rows are left out before the window over the texts
