@@ -196,6 +196,39 @@ def test_a_long_article_is_not_copied_for_every_company_it_names(spark):
     assert named.select("id", "symbol").distinct().count() == 3000
 
 
+def test_counts_of_many_symbols_are_dealt_by_word_once(spark, capsys):
+    rng = random.Random(5)
+    days = [f"2024-01-{d:02d}" for d in range(1, 13)]
+    rows = [(rng.choice(days), " ".join(rng.choice(["ab", "abc", "b", "zz", "zy", "longer-word"]) for _ in range(rng.randint(0, 9)))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "day string, content string").withColumn("news_date", F.to_date("day"))
+    marks = [(f"s{s}" if s else None, day, rng.choice([True, False, None])) for s in range(45) for day in days for _ in range(1 + (s == 7))]
+    labels = spark.createDataFrame(marks, "symbol string, day string, increase boolean").withColumn("ds", F.to_date("day"))
+    expected = Counter()
+    for symbol, day, up in marks:
+        for other, text in rows:
+            if up is not None and other == day:
+                expected.update((symbol, up, w) for w in text.replace("-", " ").split())
+    counted = words.day_words(df)
+    counts = words.labelled_counts(counted, labels)
+    assert Counter({(r["symbol"], r["increase"], r["word"]): r["n"] for r in counts.collect()}) == expected
+    counts.explain()
+    assert "hashpartitioning(symbol" not in capsys.readouterr().out
+    pairs = {(r["symbol"], r["word"]): (r["n_rising"], r["n_falling"]) for r in words.labelled_counts(counted, labels, paired=True).collect()}
+    assert pairs == {(s, w): (expected[s, True, w], expected[s, False, w]) for s, _, w in expected}
+    differences = [{(r["symbol"], r["word"]): r["diff"] for r in words.share_difference(words.labelled_counts(counted, labels, paired)).collect()} for paired in (False, True)]
+    assert differences[0] == differences[1] and None not in {s for s, _ in differences[0]}
+    for rising in (True, False):
+        top = words.top_words(words.share_difference(counts), 2, rising).collect()
+        for symbol in {s for s, _ in differences[0]}:
+            order = sorted((-d if rising else d, w) for (s, w), d in differences[0].items() if s == symbol)
+            assert sorted((-r["diff"], r["word"]) for r in top if r["symbol"] == symbol) == order[:2]
+    for heads in (False, True):
+        profile = words.share_profile(words.shares(words.labelled_counts(counted, labels, heads=heads)))
+        found = {(r["symbol"], r["increase"], r["n"]): (r["n_words"], r["first_word"], r["last_word"]) for r in profile.collect()}
+        groups = {(s, up, n): sorted(w for (t, v, w), m in expected.items() if (t, v, m) == (s, up, n)) for (s, up, _), n in expected.items() if s}
+        assert found == {k: (len(g), g[0], g[-1]) for k, g in groups.items()}
+
+
 def test_only_the_last_articles_are_sorted_with_their_texts(spark, capsys):
     rng = random.Random(8)
     rows = [(i, f"台積電 {i}", f"2024-01-{rng.randint(28, 30)} 0{rng.randint(1, 4)}:00:00") for i in range(80)]
