@@ -86,12 +86,13 @@ def sample_size(size: int, percent: int) -> tuple[int, int]:
     A linked set has at least ``least`` of the values in common. If both sides take
     their ``size - least + m`` smallest, the first m common values are among them,
     for the smaller m of both; m grows with the size, and the smallest linked set
-    has ``least`` values.
+    has ``least`` values. The more they must share, the fewer meet by chance, whose
+    number grows faster than that of the texts: m is a tenth of the size at least.
     """
 
     def spare_and_m(k: int) -> tuple[int, int]:
         spare = k - (percent * k + 99) // 100
-        return spare, min(spare // 2 + 1, k - spare)
+        return spare, min(max(spare // 2, k // 10) + 1, k - spare)
 
     spare, m = spare_and_m(size)
     return spare + m, spare_and_m(size - spare)[1]
@@ -189,11 +190,21 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "union"])
 
 
+def _fits(percent: int):
+    return 100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")
+
+
+def _fitting(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(pivot, node)`` whose sizes allow a link, found without their sets."""
+    sizes = sets.select("node", "size")
+    met = pairs.join(sizes, "node").join(sizes.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size")), "pivot")
+    return met.where(_fits(percent)).select("pivot", "node")
+
+
 def _close(paired: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` among the pairs of ``paired(pivot, node, size, shingles)``; sizes decide before sets meet."""
+    """Links ``a, b`` among the pairs of ``paired(pivot, node, size, shingles)``; sizes decide before sets are compared."""
     right = pivots.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size"), F.col("shingles").alias("pivot_shingles"))
-    fits = 100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")
-    joined = paired.join(right, "pivot").where(fits).select("node", "pivot", "shingles", "pivot_shingles")
+    joined = paired.join(right, "pivot").where(_fits(percent)).select("node", "pivot", "shingles", "pivot_shingles")
     measured = joined.mapInArrow(_measure, "a binary, b binary, common bigint, union bigint")
     return cut_lineage(measured.where(100 * F.col("common") >= percent * F.col("union")).select("a", "b"))
 
@@ -301,20 +312,33 @@ def _in_blocks(cells: DataFrame, cell_values: int) -> DataFrame:
     return dealt.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "outer", side.alias("side"))
 
 
-def _thinned(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without most rows whose id is not among ``ids``: those whose place in a table of bits is empty.
+def _place(column: str = "doc_id"):
+    return F.pmod(F.col(column), F.lit(ID_BITS))
+
 
-    The table has ``ID_BITS`` bits, 64 to a row, however many ids there are, so it
-    can be broadcast; beyond that many ids it merely thins out less.
+def _bit(column: str = "doc_id"):
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(_place(column), F.lit(64)).cast("int"))
+
+
+def _bits(ids: DataFrame) -> DataFrame:
+    """``word, bits``: a table of ``ID_BITS`` bits in which the place of every id is set.
+
+    It has 64 bits to a row, however many ids there are, so it can be broadcast;
+    beyond that many ids it merely tells less.
     """
+    return ids.select(F.shiftright(_place(), 6).alias("word"), _bit().alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def _thinned(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``docs`` without most rows whose id is not among ``ids``: those whose place in the table of bits is empty."""
+    found = docs.withColumn("word", F.shiftright(_place(column), 6)).join(F.broadcast(_bits(ids)), "word")
+    return found.where(F.col("bits").bitwiseAND(_bit(column)) != 0).select(*docs.columns)
 
-    def place(column: str):
-        return F.pmod(F.col(column), F.lit(ID_BITS))
 
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place("doc_id"), F.lit(64)).cast("int"))
-    table = ids.select(F.shiftright(place("doc_id"), 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    found = docs.withColumn("word", F.shiftright(place("doc_id"), 6)).join(F.broadcast(table), "word")
-    return found.where(F.col("bits").bitwiseAND(bit) != 0).select(*docs.columns)
+def _untouched(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows with an id that ``_thinned`` leaves out; none of ``ids`` is among them."""
+    found = docs.where(F.col(column).isNotNull()).withColumn("word", F.shiftright(_place(column), 6)).join(F.broadcast(_bits(ids)), "word", "left")
+    return found.where(F.coalesce("bits", F.lit(0).cast("bigint")).bitwiseAND(_bit(column)) == 0).select(*docs.columns)
 
 
 def _read_sets(docs: DataFrame, wanted: DataFrame, prints: DataFrame, n: int) -> DataFrame:
@@ -373,7 +397,7 @@ def similar_components(
         if labels is None:
             labels = connect(_close(sets.where("chosen is not null").select(F.col("chosen").alias("pivot"), "node", "size", "shingles"), pivots, percent))
             pairs = pairs.join(chosen, (pairs["node"] == chosen["node"]) & (pairs["pivot"] == chosen["chosen"]), "left_anti")
-        apart = _labelled(pairs, labels).where("label != pivot_label").select("pivot", "node")
+        apart = _fitting(_labelled(pairs, labels).where("label != pivot_label").select("pivot", "node"), sets, percent)
         labels = connect(_close(apart.join(sets.select("node", "size", "shingles"), "node"), pivots, percent))
         cells = cut_lineage(_open_cells(members, labels, sets))
         small = cells.where(F.col("total") <= cell_values).select("cell", "node", "label", "outer", F.lit(-1).alias("side"))
@@ -434,10 +458,14 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> Dat
     found = cut_lineage(similar_components(rows, n, percent, f"c{id_place}", f"c{text_place}", **options).select("doc_id", "node", "label"))
     heads = found.where("node is not null").groupBy("label").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "node")).alias("x")).select("x.doc_id", "x.node")
     # an id names its row, unless several rows have it: those are told apart by their class
-    many = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select("doc_id")
-    kept = heads.select("doc_id").union(found.where("node is null").select("doc_id")).join(many, "doc_id", "left_anti").where("doc_id is not null")
-    single = rows.join(kept, id_column == F.col("doc_id"), "left_semi")
-    several = rows.join(many, id_column.eqNullSafe(F.col("doc_id")), "left_semi")
+    many = cut_lineage(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
+    # texts move only where their row may go: most ids are neither dropped nor given twice
+    dropped = found.where("node is not null").select("doc_id").join(heads, "doc_id", "left_anti").where("doc_id is not null")
+    asked = cut_lineage(dropped.union(many).distinct())
+    keyed = rows.withColumn("key", id_column)
+    doubtful = _thinned(keyed, asked, "key").join(asked, F.col("key") == asked["doc_id"], "left_anti")
+    single = _untouched(keyed, asked, "key").unionByName(doubtful).drop("key")
+    several = _thinned(keyed, many, "key").join(many, F.col("key") == many["doc_id"], "left_semi").unionByName(keyed.where("key is null")).drop("key")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     several = cut_lineage(several.mapInArrow(_nodes(n, text_place), f"{fields}, node binary"))
     first = several.join(heads.withColumnRenamed("node", "head"), id_column.eqNullSafe(F.col("doc_id")) & (F.col("node") == F.col("head")), "left_semi")

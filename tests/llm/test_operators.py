@@ -111,6 +111,35 @@ def test_words_that_collide_by_construction(spark):
     assert sorted(map(tuple, substrings.report(frame(spark, rows)).collect())) == sorted(substrings.brute_force(rows))
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90, 97])
+def test_samples_share_enough(percent):
+    """Linked sets share as many of their samples as either needs; enough of them that few others do."""
+    rng = random.Random(percent)
+    for size in (1, 2, 5, 19, 60, 333, 1000):
+        for _ in range(20):
+            k = size * percent // 100 + rng.randint(0, size // 9)
+            common = max(1, min(size, k))
+            both = rng.sample(range(10**6), 2 * size)
+            a, b = sorted(both[:size]), sorted(both[size - common : size] + both[size : size + rng.randint(0, size - common)])
+            shared = len(set(a) & set(b))
+            if 100 * shared >= percent * (len(a) + len(b) - shared):
+                samples = [(set(x[:n]), need) for x in (a, b) for n, need in [jaccard.sample_size(len(x), percent)]]
+                assert len(samples[0][0] & samples[1][0]) >= max(samples[0][1], samples[1][1])
+    assert jaccard.sample_size(1000, percent)[1] >= 1000 * percent // 100 // 10
+
+
+def test_jaccard_moves_no_texts_that_stay(spark):
+    """Rows that are surely kept are told by a table of bits; sizes rule out pairs before sets move."""
+    rows = frame(spark, [(i, f"t{i}") for i in range(300)] + [(None, "x"), (-5, "y"), (-5, "z")])
+    ids = spark.createDataFrame([(7,), (-5,), (7 + jaccard.ID_BITS,), (64,)], "doc_id bigint")
+    away = {r["doc_id"] for r in jaccard._untouched(rows, ids, "doc_id").collect()}
+    assert away == set(range(300)) - {7, 64}
+    assert sorted(r["text"] for r in jaccard._thinned(rows, ids).collect()) == ["t64", "t7", "y", "z"]
+    sets = spark.createDataFrame([(b"a", 100), (b"b", 90), (b"c", 89)], "node binary, size bigint")
+    pairs = spark.createDataFrame([(b"a", b"b"), (b"a", b"c"), (b"c", b"b")], "pivot binary, node binary")
+    assert sorted((r["pivot"], r["node"]) for r in jaccard._fitting(pairs, sets, 90).collect()) == [(b"a", b"b"), (b"c", b"b")]
+
+
 def test_jaccard_keeps_one_of_each(docs, rows):
     kept = [r["doc_id"] for r in jaccard.keep_first(docs).collect()]
     firsts = {c for _, n, c in jaccard.brute_force(rows, 5, 80) if n and c is not None}
