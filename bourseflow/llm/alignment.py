@@ -90,23 +90,23 @@ class Pair:
     def encode_a(self, texts: list[str]) -> pa.ListArray:
         """Ids of A. Distinct pieces that are not remembered go to the tokenizer, which splits them again where it must."""
         split = [self.split(t) for t in texts]
-        hits = [list(map(self.cache.get, pieces)) for pieces in split]
-        unknown = {p for pieces, hit in zip(split, hits) if None in hit for p, h in zip(pieces, hit) if h is None}
-        if unknown:
+        known = self.cache
+        if unknown := set(chain.from_iterable(split)).difference(known):
             found = {p: self.older[p] for p in unknown if p in self.older}
             fresh = [p for p in unknown if p not in found]
             for begin in range(0, len(fresh), 10_000):
                 part = fresh[begin : begin + 10_000]
                 found.update((p, tuple(e.ids)) for p, e in zip(part, self.a.encode_batch_fast(part, add_special_tokens=False)))
-            for i, (pieces, hit) in enumerate(zip(split, hits)):
-                if None in hit:
-                    hits[i] = [found[p] if h is None else h for p, h in zip(pieces, hit)]
-            if len(self.cache) + len(found) > CACHE_PIECES // 2:
-                self.older, self.cache = self.cache, {}
-            self.cache.update((k, v) for k, v in found.items() if len(k) <= CACHED_LETTERS)
-        sizes = [sum(map(len, hit)) for hit in hits]
-        ids = np.fromiter(chain.from_iterable(chain.from_iterable(hits)), dtype=np.int32, count=sum(sizes))
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(ids))
+            known.update(found)
+        hits = list(map(known.__getitem__, chain.from_iterable(split)))
+        if unknown:
+            for p in [p for p in unknown if len(p) > CACHED_LETTERS]:
+                del known[p]
+            if len(known) + len(unknown) > CACHE_PIECES // 2:
+                self.older, self.cache = known, {}
+        total = np.cumsum([0, *map(len, hits)])
+        ids = np.fromiter(chain.from_iterable(hits), dtype=np.int32, count=int(total[-1]))
+        return pa.ListArray.from_arrays(pa.array(total[np.cumsum([0, *map(len, split)])].astype(np.int32)), pa.array(ids))
 
     def encode_b(self, texts: list[str]) -> pa.ListArray:
         return pa.array(self.b.encode(texts, num_threads=1), pa.list_(pa.int32()))
@@ -170,6 +170,18 @@ def _side(lists: pa.ListArray, sizes: np.ndarray, name: str) -> pa.Table:
     return pa.table({"text": parents, "end": pa.array(ends), name: flat.cast(pa.int64()), f"{name}_row": pa.array(np.arange(len(flat), dtype=np.int64))})
 
 
+def _links(a: pa.Table, b: pa.Table, room: np.ndarray) -> pa.Table:
+    """``place, a_row, b_row`` of the tokens that end together, in order; a text has ``room`` for more ends than it has bytes."""
+    base = np.concatenate(([0], np.cumsum(room)))
+    sides = []
+    for side, name in ((a, "a"), (b, "b")):
+        place = pa.array(base[side.column("text").to_numpy()] + side.column("end").to_numpy())
+        sides.append(pa.table({"place": place, f"{name}_row": side.column(f"{name}_row")}))
+    links = sides[0].join(sides[1], keys="place", join_type="inner", use_threads=False)
+    order = np.lexsort((links.column("b_row").to_numpy(), links.column("a_row").to_numpy()))
+    return links.take(pa.array(order))
+
+
 def _joined(lists: pa.ListArray, of: pa.Array) -> pa.Array:
     """Bytes of each list of tokens, put together."""
     taken = pa.ListArray.from_arrays(lists.offsets, of.take(lists.flatten()))
@@ -211,13 +223,15 @@ def aligned(texts: list[str | None], own: Pair) -> pa.Table:
     whole = given & same[0] & same[1]
     a, b = _without(a, whole), _without(b, whole)
     side_a, side_b = _side(a, own.size_a, "a"), _side(b, own.size_b, "b")
-    links = side_a.join(side_b, keys=["text", "end"], join_type="inner", use_threads=False).sort_by([("a_row", "ascending"), ("b_row", "ascending")])
-    keys = links.column("a").to_numpy() << 32 | links.column("b").to_numpy()
-    ranks = np.searchsorted(own.pairs, keys).astype(np.int32)
+    links = _links(side_a, side_b, np.array([len(x) + 1 for x in wanted.to_pylist()], dtype=np.int64))
+    ids_a, ids_b = (side.column(name).to_numpy()[links.column(f"{name}_row").to_numpy()] for side, name in ((side_a, "a"), (side_b, "b")))
+    ranks = np.searchsorted(own.pairs, ids_a << 32 | ids_b).astype(np.int32)
     groups = _group_texts(side_a, side_b, links, len(texts), own.signed)
-    offsets = np.searchsorted(links.column("text").to_numpy(), np.arange(len(texts) + 1)).astype(np.int32)
-    cuts = links.select(["text", "end"]).group_by(["text", "end"], use_threads=False).aggregate([])
-    n_groups = np.bincount(cuts.column("text").to_numpy(), minlength=len(texts)).astype(np.int64)
+    text = side_a.column("text").to_numpy()[links.column("a_row").to_numpy()]
+    offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
+    # links of one cut follow each other
+    place = links.column("place").to_numpy()
+    n_groups = np.bincount(text[np.flatnonzero(np.diff(place, prepend=-1))], minlength=len(texts)).astype(np.int64)
     return pa.table(
         {
             "n_a": pc.list_value_length(a).cast(pa.int64()),

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -109,6 +110,25 @@ def test_pieces_are_encoded_as_the_whole_text():
     assert own.encode_a(given).to_pylist() == whole == own.encode_a(given).to_pylist()
 
 
+def test_pieces_are_forgotten_in_turn(monkeypatch):
+    """Few pieces are remembered and long ones are not; the ids stay those of the whole texts."""
+    monkeypatch.setattr(alignment, "CACHE_PIECES", 200)
+    own, rng = alignment.Pair(A, B, PATTERN), random.Random(12)
+    for _ in range(30):
+        given = [" " + text(rng) for _ in range(20)] + [" " + "verylongword" * 9, ""]
+        assert own.encode_a(given).to_pylist() == [e.ids for e in own.a.encode_batch(given, add_special_tokens=False)]
+        assert max(map(len, own.cache), default=0) <= alignment.CACHED_LETTERS and len(own.cache) + len(own.older) < 1_000
+
+
+def test_links_of_tokens_that_end_together():
+    """Tokens without bytes end where the one before does, also at a text's start; links are in order, within their text."""
+    a = pa.table({"text": [0, 0, 0, 1, 1], "end": [0, 2, 2, 0, 3], "a_row": range(5)})
+    b = pa.table({"text": [0, 0, 1, 1], "end": [1, 2, 0, 3], "b_row": range(4)})
+    links = alignment._links(a, b, np.array([3, 4]))
+    assert list(zip(links["a_row"].to_pylist(), links["b_row"].to_pylist())) == [(1, 1), (2, 1), (3, 2), (4, 3)]
+    assert links["place"].to_pylist() == [2, 2, 3, 6]
+
+
 def test_alignment_groups_and_counts(docs, rows):
     found = alignment.align(docs.where("doc_id between 20 and 60"), A, B, PATTERN)
     for r in found.collect():
