@@ -145,6 +145,15 @@ def _as_set(x: bytes) -> np.ndarray:
     return np.frombuffer(x, dtype=np.uint64)
 
 
+def _side_by_side(sets: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all sets, one set behind the other, where Arrow holds them, and each set's size."""
+    if not len(sets):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    _, offsets, data = sets.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int32)[sets.offset : sets.offset + len(sets) + 1].astype(np.int64)
+    return np.frombuffer(data, dtype=np.uint64, count=(bounds[-1] - bounds[0]) // 8, offset=bounds[0]), np.diff(bounds) // 8
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -249,18 +258,22 @@ def _join_cell(percent: int):
         nodes = table.column("node").to_pylist()
         root = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
         side, outer = table.column("side").to_numpy(), table.column("outer").to_numpy(zero_copy_only=False)
-        sets = [_as_set(x) for x in table.column("shingles").to_pylist()]
-        size = np.array([len(x) for x in sets], dtype=np.int64)
-        n = len(sets)
-        value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        values, size = _side_by_side(table.column("shingles").combine_chunks().cast(pa.binary()))
+        n = len(size)
+        # in the order of values; few arrays of all of them live at a time, and numbers have 32 bits
+        order = np.argsort(values, kind="stable")
+        owner = np.repeat(np.arange(n, dtype=np.int32), size)[order]
+        ordered = values[order]
+        del values, order
+        new = np.ones(len(ordered), dtype=bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        del ordered
+        column = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        count = np.bincount(column) if len(column) else np.zeros(0, dtype=np.int64)
         everywhere = int((count == n).sum())
-        owner = np.repeat(np.arange(n), size)
         telling = (count > 1) & (count < n)
-        number = np.cumsum(telling) - 1
         inside = telling[column]
-        owner, column = owner[inside], number[column[inside]]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
+        owner, column = owner[inside], (np.cumsum(telling, dtype=np.int32) - np.int32(1))[column[inside]]
         width, height = max(1, _ENTRIES // n), max(1, _ENTRIES // n)
         cuts = np.arange(0, int(telling.sum()) + width, width)
         places = np.searchsorted(column, cuts)
@@ -274,12 +287,13 @@ def _join_cell(percent: int):
                     has = np.zeros((n, min(width, int(column[b - 1]) - begin + 1)), dtype=np.float32)
                     has[owner[a:b], column[a:b] - begin] = 1
                     shared += has[strip] @ has.T
-            k = shared.astype(np.int64)
-            close = 100 * k >= percent * (size[strip, None] + size[None, :] - k)
-            # blocks meet as sides 0 and 1; -1 is a cell on its own
-            close &= (side[strip, None] < 0) | (side[strip, None] != side[None, :])
-            for i, hits in zip(strip, close):
-                for j in np.flatnonzero(hits):
+            for i, common in zip(strip, shared):
+                k = common.astype(np.int64)
+                close = 100 * k >= percent * (size[i] + size - k)
+                # blocks meet as sides 0 and 1; -1 is a cell on its own
+                if side[i] >= 0:
+                    close &= side != side[i]
+                for j in np.flatnonzero(close):
                     if root[i] != root[j]:
                         root[root == root[j]] = root[i]
                         out_a.append(nodes[i])

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -128,6 +130,46 @@ def test_samples_share_enough(percent):
     assert jaccard.sample_size(1000, percent)[1] >= 1000 * percent // 100 // 10
 
 
+def cell(sets, side):
+    nodes = [i.to_bytes(16, "big") for i in range(len(sets))]
+    shingles = pa.array([s.tobytes() for s in sets], pa.binary())
+    return pa.table({"cell": nodes[:1] * len(sets), "node": nodes, "label": nodes, "outer": [True] * len(sets), "side": pa.array(side, pa.int32()), "shingles": shingles})
+
+
+def test_jaccard_cell_connects_what_is_linked():
+    """Against all pairs; also in blocks, and where the table is a slice of a larger one."""
+    rng = np.random.default_rng(5)
+    for sides in ([-1], [0, 1]):
+        base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+        sets = [np.unique(np.where(rng.random(40) < rng.choice([0.02, 0.2, 0.9]), rng.integers(0, 2**63, 40, dtype=np.uint64), base)) for _ in range(60)]
+        side = [sides[i % len(sides)] for i in range(60)]
+        common = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+        wanted = list(range(60))
+        for a in range(10, 60):
+            for b in range(a):
+                if b >= 10 and (side[a] < 0 or side[a] != side[b]) and 100 * (k := common(a, b)) >= 80 * (len(sets[a]) + len(sets[b]) - k):
+                    wanted = [wanted[b] if x == wanted[a] else x for x in wanted]
+        found = list(range(60))
+        for r in jaccard._join_cell(80)(cell(sets, side).slice(10)).to_pylist():
+            a, b = (int.from_bytes(r[c], "big") for c in "ab")
+            found = [found[b] if x == found[a] else x for x in found]
+        assert [wanted.index(x) for x in wanted] == [found.index(x) for x in found] and len(set(found)) < 60
+
+
+def test_jaccard_cell_holds_few_copies_of_its_sets():
+    """A cell of 16 MB of shingles, as large as one gets."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+    table = cell([np.unique(np.concatenate((base[i % 100 :], rng.integers(0, 2**63, i % 100, dtype=np.uint64)))) for i in range(2000)], [-1] * 2000)
+    # most are connected with the pivot already
+    table = table.set_column(table.schema.get_field_index("outer"), "outer", pa.array([i % 100 == 99 for i in range(2000)]))
+    tracemalloc.start()
+    jaccard._join_cell(80)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * table.column("shingles").nbytes
+
+
 def test_jaccard_moves_no_texts_that_stay(spark):
     """Rows that are surely kept are told by a table of bits; sizes rule out pairs before sets move."""
     rows = frame(spark, [(i, f"t{i}") for i in range(300)] + [(None, "x"), (-5, "y"), (-5, "z")])
