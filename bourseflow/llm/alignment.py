@@ -33,7 +33,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -51,6 +51,7 @@ CHUNK_BYTES = 1 << 19
 CHUNK_LINKS = 500_000
 #: Pieces remembered by a process (in two tables of half as many), up to so many characters each.
 CACHE_PIECES, CACHED_LETTERS = 600_000, 40
+_IDS = pa.list_(pa.int32())
 #: What stands behind an id in the text of the groups: inside a group, before B's side, before the next group, at the end.
 SIGNS = (",", "|", ";", "")
 
@@ -77,8 +78,7 @@ class Pair:
         self.a.no_truncation()
         # the tokenizer splits a text into pieces and encodes each on its own
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.pieces = _Remembered(self._pieces)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a, self.bytes_b = bytes_of_a(path_a), bytes_of_b(self.b)
         self.size_a = np.array([len(x) for x in self.bytes_a], dtype=np.int64)
@@ -87,29 +87,76 @@ class Pair:
         self.signed = pa.array((f"{i}{sign}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for sign in SIGNS), pa.string())
         self.bytes_a, self.bytes_b = pa.array(self.bytes_a, pa.binary()), pa.array(self.bytes_b, pa.binary())
 
+    @property
+    def cache(self) -> dict[str, int]:
+        """Pieces of A met last."""
+        return self.pieces.numbers
+
+    @property
+    def older(self) -> dict[str, int]:
+        """Pieces of A met before those."""
+        return self.pieces.older
+
     def encode_a(self, texts: list[str]) -> pa.ListArray:
         """Ids of A. Distinct pieces that are not remembered go to the tokenizer, which splits them again where it must."""
-        split = [self.split(t) for t in texts]
-        known = self.cache
-        if unknown := set(chain.from_iterable(split)).difference(known):
-            found = {p: self.older[p] for p in unknown if p in self.older}
-            fresh = [p for p in unknown if p not in found]
-            for begin in range(0, len(fresh), 10_000):
-                part = fresh[begin : begin + 10_000]
-                found.update((p, tuple(e.ids)) for p, e in zip(part, self.a.encode_batch_fast(part, add_special_tokens=False)))
-            known.update(found)
-        hits = list(map(known.__getitem__, chain.from_iterable(split)))
-        if unknown:
-            for p in [p for p in unknown if len(p) > CACHED_LETTERS]:
-                del known[p]
-            if len(known) + len(unknown) > CACHE_PIECES // 2:
-                self.older, self.cache = known, {}
-        total = np.cumsum([0, *map(len, hits)])
-        ids = np.fromiter(chain.from_iterable(hits), dtype=np.int32, count=int(total[-1]))
-        return pa.ListArray.from_arrays(pa.array(total[np.cumsum([0, *map(len, split)])].astype(np.int32)), pa.array(ids))
+        return self.pieces.ids([self.split(t) for t in texts])
+
+    def _pieces(self, pieces: list[str]) -> pa.ListArray:
+        return pa.array([e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)], _IDS)
 
     def encode_b(self, texts: list[str]) -> pa.ListArray:
-        return pa.array(self.b.encode(texts, num_threads=1), pa.list_(pa.int32()))
+        return pa.array(self.b.encode(texts, num_threads=1), _IDS)
+
+
+class _Numbers(dict):
+    """A number by piece. One that is not known gets the next and is among the ``fresh``."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = self.first + len(self.fresh)
+        self.fresh.append(piece)
+        return number
+
+    def of(self, pieces: Iterable[str], first: int) -> np.ndarray:
+        self.first, self.fresh = first, []
+        return np.fromiter(map(self.__getitem__, pieces), dtype=np.int64)
+
+
+class _Remembered:
+    """Ids of the pieces that a process has met: a number by piece, and the list of ids by number."""
+
+    def __init__(self, encode: Callable[[list[str]], pa.ListArray]):
+        self.encode = encode
+        self.numbers, self.older = _Numbers(), _Numbers()
+        self.lists = self.older_lists = pa.array([], _IDS)
+
+    def ids(self, split: list[list[str]]) -> pa.ListArray:
+        """Ids of each list of pieces, put together."""
+        if len(self.lists) > CACHE_PIECES // 2:
+            self.older, self.older_lists = self.numbers, self.lists
+            self.numbers, self.lists = _Numbers(), self.lists[:0]
+        numbers = self.numbers.of(chain.from_iterable(split), len(self.lists))
+        lists = self.lists
+        if fresh := self.numbers.fresh:
+            added = self._fresh(fresh)
+            lists = self.lists = pa.concat_arrays([lists, added])
+            if long := [p for p in fresh if len(p) > CACHED_LETTERS]:
+                short = pa.array([len(p) <= CACHED_LETTERS for p in fresh])
+                self.lists = pa.concat_arrays([lists[: -len(fresh)], pc.if_else(short, added, pa.scalar(None, _IDS))])
+                for p in long:
+                    del self.numbers[p]
+        taken = lists.take(pa.array(numbers))
+        bounds = np.cumsum([0, *map(len, split)])
+        return pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[bounds]), taken.values)
+
+    def _fresh(self, pieces: list[str]) -> pa.ListArray:
+        older = list(map(self.older.get, pieces))
+        asked = [p for p, k in zip(pieces, older) if k is None]
+        found = pa.concat_arrays([self.older_lists, *(self.encode(asked[i : i + 10_000]) for i in range(0, len(asked), 10_000))])
+        place = iter(range(len(self.older_lists), len(found)))
+        return found.take(pa.array([next(place) if k is None else k for k in older], pa.int64()))
 
 
 def bytes_of_a(path: str) -> list[bytes]:
@@ -225,7 +272,8 @@ def aligned(texts: list[str | None], own: Pair) -> pa.Table:
     side_a, side_b = _side(a, own.size_a, "a"), _side(b, own.size_b, "b")
     links = _links(side_a, side_b, np.array([len(x) + 1 for x in wanted.to_pylist()], dtype=np.int64))
     ids_a, ids_b = (side.column(name).to_numpy()[links.column(f"{name}_row").to_numpy()] for side, name in ((side_a, "a"), (side_b, "b")))
-    ranks = np.searchsorted(own.pairs, ids_a << 32 | ids_b).astype(np.int32)
+    met = pa.array(ids_a << 32 | ids_b).dictionary_encode()
+    ranks = np.searchsorted(own.pairs, met.dictionary.to_numpy()).astype(np.int32)[met.indices.to_numpy()]
     groups = _group_texts(side_a, side_b, links, len(texts), own.signed)
     text = side_a.column("text").to_numpy()[links.column("a_row").to_numpy()]
     offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)

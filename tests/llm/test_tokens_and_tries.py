@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -110,6 +111,17 @@ def test_pieces_are_encoded_as_the_whole_text():
     assert own.encode_a(given).to_pylist() == whole == own.encode_a(given).to_pylist()
 
 
+def test_remembered_pieces_take_little_room():
+    """Ids are numbers in Arrow, not a tuple of Python's numbers per piece."""
+    own, rng = alignment.Pair(A, B, PATTERN), random.Random(20)
+    given = [" ".join("".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(2_000)) for _ in range(10)]
+    tracemalloc.start()
+    own.encode_a(given)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 230 * len(own.cache)
+
+
 def test_pieces_are_forgotten_in_turn(monkeypatch):
     """Few pieces are remembered and long ones are not; the ids stay those of the whole texts."""
     monkeypatch.setattr(alignment, "CACHE_PIECES", 200)
