@@ -16,9 +16,9 @@ tokens:
 Linked tokens end together, so one's bytes end with the other's: the pairs that
 can occur are given by the two vocabularies (``possible_pairs``, about 200,000 for
 the files used here), however large the corpus is. The counts are an array over
-them, which is why they may be collected and broadcast. Texts are encoded once, by the two libraries (A's
-pieces that were met before are remembered); the ranks of a text's links among the possible pairs are stored, and read again
-with the corpus-wide counts.
+them, which is why they may be collected and broadcast. Texts are encoded once, by libraries: A by tiktoken, if the
+file's merges can be read as ranks (``ranked``), else by tokenizers with pieces that were met before remembered. The ranks of a text's
+links among the possible pairs are stored, and read again with the corpus-wide counts.
 
 Defined cases: null and empty texts, and texts of which a tokenizer does not give
 back all bytes (white space or characters normalized away, or U+2581, which B
@@ -33,13 +33,16 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import sys
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,11 @@ CHUNK_LINKS = 500_000
 #: Pieces remembered by a process (in two tables of half as many), up to so many characters each.
 CACHE_PIECES, CACHED_LETTERS = 600_000, 40
 _IDS = pa.list_(pa.int32())
+#: Name of the module that holds what a process has loaded.
+KEPT = "_bourseflow_alignment_kept"
+#: Fixed values of the file format: the pattern of a byte-level vocabulary, and the settings of its merges that ranks have no place for.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SETTINGS = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
 #: What stands behind an id in the text of the groups: inside a group, before B's side, before the next group, at the end.
 SIGNS = (",", "|", ";", "")
 
@@ -79,6 +87,7 @@ class Pair:
         # the tokenizer splits a text into pieces and encodes each on its own
         self.split = regex.compile(pattern).findall
         self.pieces = _Remembered(self._pieces)
+        self.ranked = ranked(path_a, self.a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a, self.bytes_b = bytes_of_a(path_a), bytes_of_b(self.b)
         self.size_a = np.array([len(x) for x in self.bytes_a], dtype=np.int64)
@@ -97,6 +106,20 @@ class Pair:
         """Pieces of A met before those."""
         return self.pieces.older
 
+    def ids_a(self, texts: list[str]) -> pa.ListArray:
+        """Ids of A, those of ``encode_a``."""
+        if self.ranked is None:
+            return self.encode_a(texts)
+        found = [np.empty(0, dtype=np.int32), *map(self._ids_by_rank, texts)]
+        offsets = np.cumsum([len(x) for x in found])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found, dtype=np.int32, casting="unsafe")))
+
+    def _ids_by_rank(self, text: str) -> np.ndarray:
+        try:
+            return self.ranked.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # white space of hundreds of thousands of characters is too much for its pattern
+            return self.encode_a([text]).values.to_numpy()
+
     def encode_a(self, texts: list[str]) -> pa.ListArray:
         """Ids of A. Distinct pieces that are not remembered go to the tokenizer, which splits them again where it must."""
         return self.pieces.ids([self.split(t) for t in texts])
@@ -172,6 +195,36 @@ def bytes_of_a(path: str) -> list[bytes]:
     return out
 
 
+def ranked(path: str, tokenizer) -> tiktoken.Encoding | None:
+    """The vocabulary of a byte-level BPE file as ranks, or None if they would not give the tokenizer's ids.
+
+    Ranks merge two neighbours whenever their bytes are a token's, the one of the lowest id first. That is what the file says if
+    its merges make tokens in the order of their ids, and if every token's bytes are merged to that token: neighbours that make
+    up a token in another way than by its merge would keep it from being reached.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, split, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    if model.get("type") != "BPE" or any(model.get(x) for x in SETTINGS) or spec.get("normalizer"):
+        return None
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True):
+        return None
+    special = {t["content"]: t["id"] for t in added}
+    # others than special ones are looked for in texts; without any, tiktoken would look for the empty string
+    if not special or not all(t["special"] for t in added):
+        return None
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in special}
+    merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    made = np.array([vocabulary.get(a + b, -1) for a, b in merges])
+    letters = _byte_letters()
+    if not letters.keys() <= vocabulary.keys() or (np.diff(made, prepend=-1) <= 0).any():
+        return None
+    if any([x.id for x in tokenizer.model.tokenize(t)] != [i] for t, i in vocabulary.items()):
+        return None
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
+    return tiktoken.Encoding(path, pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
+
+
 def bytes_of_b(model) -> list[bytes]:
     out = []
     for i in range(model.get_piece_size()):
@@ -198,14 +251,16 @@ def possible_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.array(sorted(out), dtype=np.int64)
 
 
-_loaded: dict[tuple[str, str, str], Pair] = {}
-
-
 def pair_of(path_a: str, path_b: str, pattern: str) -> Pair:
-    """One per process, pair of files and pattern."""
-    if (path_a, path_b, pattern) not in _loaded:
-        _loaded[path_a, path_b, pattern] = Pair(path_a, path_b, pattern)
-    return _loaded[path_a, path_b, pattern]
+    """One per process, pair of files and pattern.
+
+    The package's functions bring their code and its variables along with every task (``bourseflow/__init__.py``), so a variable
+    of this module would begin anew in each. What a worker has loaded is kept in a module that no task brings.
+    """
+    loaded = vars(sys.modules.setdefault(KEPT, ModuleType(KEPT))).setdefault("pairs", {})
+    if (path_a, path_b, pattern) not in loaded:
+        loaded[path_a, path_b, pattern] = Pair(path_a, path_b, pattern)
+    return loaded[path_a, path_b, pattern]
 
 
 def _side(lists: pa.ListArray, sizes: np.ndarray, name: str) -> pa.Table:
@@ -264,7 +319,7 @@ def aligned(texts: list[str | None], own: Pair) -> pa.Table:
     """One row per text: ``n_a, n_b, n_groups, groups``, and ``links``, the link's ranks among the possible pairs."""
     given = np.array([bool(t) for t in texts], dtype=bool)
     led = [f" {t}" if t else "" for t in texts]
-    a, b = own.encode_a(led), own.encode_b([t or "" for t in texts])
+    a, b = own.ids_a(led), own.encode_b([t or "" for t in texts])
     wanted = pa.array([t.encode() for t in led], pa.binary())
     same = [pc.equal(_joined(x, of), wanted).to_numpy(zero_copy_only=False) for x, of in ((a, own.bytes_a), (b, own.bytes_b))]
     whole = given & same[0] & same[1]

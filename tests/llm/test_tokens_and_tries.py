@@ -2,8 +2,11 @@
 
 import base64
 import hashlib
+import json
+import os
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -111,6 +114,60 @@ def test_pieces_are_encoded_as_the_whole_text():
     assert own.encode_a(given).to_pylist() == whole == own.encode_a(given).to_pylist()
 
 
+def test_ranks_give_the_ids_of_the_tokenizer(monkeypatch):
+    """A text is encoded in one pass over it, without being taken apart in Python; white space too long for the ranks' pattern is not."""
+    own, rng = alignment.Pair(A, B, PATTERN), random.Random(21)
+    given = ["", " ", " <|endoftext|> <|endoftext|>", " \x1c\x85 \u2028a\u00a0 b  ", " " + "ab" * 40_000, "x" * 9_000]
+    given += [" " + text(rng) for _ in range(2000)]
+    given += ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}.  {chr(c)}" for c in range(at, at + 500)) for at in [*range(0, 0xD800, 500), *range(0xE000, 0x32000, 500)] if at + 500 <= 0xD800 or at >= 0xE000]
+    want = [e.ids for e in own.a.encode_batch(given, add_special_tokens=False)]
+    with monkeypatch.context() as m:
+        m.setattr(own, "encode_a", None)
+        assert own.ids_a(given).to_pylist() == want
+        assert own.ids_a([]).to_pylist() == []
+    long = " a" + " " * 1_000_000 + "b"
+    assert own.ids_a(["c", long, "c d"]).to_pylist() == [e.ids for e in own.a.encode_batch(["c", long, "c d"], add_special_tokens=False)]
+
+
+def test_files_that_are_no_ranks(tmp_path):
+    """Merges out of the order of ids, a token that its merges do not reach, other settings: the tokenizer encodes."""
+    with open(A, encoding="utf-8") as file:
+        spec = json.load(file)
+    letters = [t for t in spec["model"]["vocab"] if len(t) == 1]
+    base = {t: i for i, t in enumerate(sorted(letters))}
+    n, given = len(base), ["abc abcd", " bcab cabd  abc <|x|>", "aabcc"]
+
+    def own(merges, ids=None, **model):
+        made = dict(zip([a + b for a, b in merges], ids or range(n, n + len(merges))))
+        added = [spec["added_tokens"][0] | {"content": "<|x|>", "id": n + len(merges)}]
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps(spec | {"added_tokens": added, "model": spec["model"] | {"vocab": base | made, "merges": [list(m) for m in merges]} | model}))
+        found = alignment.Pair(str(path), B, PATTERN)
+        assert found.ids_a(given).to_pylist() == [e.ids for e in found.a.encode_batch(given, add_special_tokens=False)]
+        return found.ranked
+
+    assert own([("b", "c"), ("a", "b"), ("a", "bc")]) is not None
+    assert own([("b", "c"), ("a", "b"), ("a", "bc")], [n + 1, n, n + 2]) is None
+    assert own([("b", "c"), ("a", "b"), ("ab", "c")]) is None
+    assert own([("b", "c"), ("a", "b"), ("a", "bc")], ignore_merges=True) is None
+
+
+def test_a_worker_loads_the_vocabularies_once(spark):
+    """Not once per task: most of the time of a small task would go into it."""
+    pair_of, n = alignment.pair_of, 64
+
+    def step(batches):
+        for batch in batches:
+            own = pair_of(A, B, PATTERN)
+            own.tasks = getattr(own, "tasks", 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([own.tasks])], names=["worker", "tasks"])
+
+    found = spark.range(n, numPartitions=n).mapInArrow(step, "worker bigint, tasks bigint").collect()
+    counted = Counter(r["worker"] for r in found)
+    assert sum(counted.values()) == n > len(counted)
+    assert all(max(r["tasks"] for r in found if r["worker"] == w) == k for w, k in counted.items())
+
+
 def test_remembered_pieces_take_little_room():
     """Ids are numbers in Arrow, not a tuple of Python's numbers per piece."""
     own, rng = alignment.Pair(A, B, PATTERN), random.Random(20)
