@@ -240,3 +240,93 @@ def test_only_the_last_articles_are_sorted_with_their_texts(spark, capsys):
     digest.explain()
     plan = capsys.readouterr().out
     assert plan.index("Window") < plan.index("Join")  # rows are left out before the window over the texts
+
+
+def many_labelled(spark, repeated=False):
+    """Random articles, and labels of 23 symbols (one without name); some words of a pair meet in other pairs too."""
+    rng = random.Random(11)
+    days = [f"2024-01-{d:02d}" for d in range(1, 13)]
+    texts = [(rng.choice([*days, None]), rng.choice(range(40)), " ".join(rng.choice(["ab", "abc", "c", "b", "zz", "台積"]) for _ in range(rng.randint(0, 9)))) for _ in range(60)]
+    texts += [("2024-01-05", 59, None), ("2024-01-05", 58, "one")]
+    moments = [(d, f"{d} 08:{i:02d}:00" if d else None, 1000 - i, t) for d, i, t in texts]
+    moments = [(d, m, i * 100 + n, t) for n, (d, m, i, t) in enumerate(moments)]
+    df = spark.createDataFrame(moments, "day string, moment string, id long, content string").repartition(3)
+    df = df.withColumns({"news_date": F.to_date("day"), "publish_at": F.to_timestamp_ntz("moment")})
+    marks = [(f"s{s}" if s else None, day, rng.choice([True, False, None])) for s in range(23) for day in days for _ in range(1 + (repeated and s == 7))]
+    labels = spark.createDataFrame(marks, "symbol string, day string, increase boolean").withColumn("ds", F.to_date("day"))
+    return moments, marks, df, labels
+
+
+def tokens_of(text):
+    out = []
+    for run in (text or "").split():
+        out += ["台", "台積", "積"] if run == "台積" else [run]
+    return out
+
+
+def profiles(counts):
+    groups = {}
+    for (symbol, up, word), n in counts.items():
+        if symbol:
+            groups.setdefault((symbol, up, n), []).append(word)
+    return {k: (len(g), min(g), max(g)) for k, g in groups.items()}
+
+
+def found_profile(counts):
+    return {(r["symbol"], r["increase"], r["n"]): (r["n_words"], r["first_word"], r["last_word"]) for r in words.share_profile(words.shares(counts)).collect()}
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_flat_pairs_of_many_symbols_without_a_row_per_symbol_and_article(spark, repeated, monkeypatch):
+    articles_, marks, df, labels = many_labelled(spark, repeated)
+    expected = Counter()
+    for symbol, up in {(s, up) for s, _, up in marks if up is not None}:
+        times = Counter(day for s, day, u in marks if s == symbol and u is up)
+        flat = [t for d, m, i, text in sorted(articles_, key=lambda a: (a[1] or "", -a[2])) for _ in range(times[d]) for t in tokens_of(text)]
+        expected.update((symbol, up, x + y) for x, y in zip(flat, flat[1:]))
+    order = [F.col("publish_at").asc(), F.col("id").desc()]
+    listed, plain = [], words.with_successor
+    monkeypatch.setattr(words, "with_successor", lambda rows, *a: (listed.append(rows.count()), plain(rows, *a))[1])
+    found = words.flat_bigrams(df, labels, order)
+    assert Counter({(r["symbol"], r["increase"], r["word"]): r["n"] for r in found.collect()}) == expected
+    # every article with tokens once, and per symbol only the first and the last of a day
+    assert listed[0] <= len(articles_) and listed[1] <= 2 * 12 * 23
+    assert found_profile(words.flat_bigrams(df, labels, order, heads=True)) == profiles(expected)
+
+
+def test_blocks_of_a_task_that_holds_few_terms(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from bourseflow.operators import termblocks
+
+    rng = random.Random(2)
+    texts = [[rng.choice(["a", "ab", "b", "bc", "c", "", None]) for _ in range(rng.randint(0, 30))] for _ in range(50)]
+    expected = Counter()
+    for i, tokens in enumerate(texts):
+        expected.update((x + y, 3 * (i % 4)) for x, y in zip(tokens, tokens[1:]) if x is not None and y is not None)
+    for name, value in (("OPENED", 10), ("SUMS", 6), ("TALLIED", 2)):
+        monkeypatch.setattr(termblocks, name, value)
+    tables = []
+    for begin in range(0, 50, 7):
+        some = [t for text in texts[begin : begin + 7] for t in text]
+        row = np.repeat(np.arange(begin, min(50, begin + 7)), [len(t) for t in texts[begin : begin + 7]])
+        inside = np.flatnonzero(row[1:] == row[:-1])
+        tables.append(pa.Table.from_batches([termblocks._blocks(pa.array(some, pa.string()), inside, 3 * (row[inside] % 4), 3)]))
+    blocks = pa.concat_tables(tables)
+    weights = termblocks.Weights.of(np.array([0, 3, 6]), np.array([[1, 0], [2, 1], [0, 1]]), 0)
+    wanted = Counter()
+    for (word, code), n in expected.items():
+        for slot in (0, 1):
+            wanted[slot, word] += n * ([1, 2, 0, 0], [0, 1, 1, 0])[slot][code // 3]
+    rows, tallied, parts = {}, Counter(), 0
+    for bucket in range(3):
+        mine = blocks.filter(pa.compute.equal(blocks.column("bucket"), bucket))
+        for opened in termblocks._opened(mine, weights):
+            parts += 1
+            for table in termblocks._rows(opened, weights):
+                rows |= {(r["slot"], r["word"]): r["n"] for r in table.to_pylist()}
+            for r in termblocks._tally(opened, weights).to_pylist():
+                tallied[r["slot"], r["n"]] += r["n_words"]
+    assert parts > 3 and rows == {k: n for k, n in wanted.items() if n}
+    assert tallied == Counter((slot, n) for (slot, _), n in wanted.items() if n)
