@@ -294,6 +294,28 @@ def test_flat_pairs_of_many_symbols_without_a_row_per_symbol_and_article(spark,
     assert found_profile(words.flat_bigrams(df, labels, order, heads=True)) == profiles(expected)
 
 
+def pair_counts(articles_, marks):
+    expected = Counter()
+    for symbol, day, up in marks:
+        for d, _, _, text in articles_:
+            if up is not None and d == day:
+                tokens = tokens_of(text)
+                expected.update((symbol, up, x + y) for x, y in zip(tokens, tokens[1:]))
+    return expected
+
+
+def test_profile_of_pairs_out_of_blocks(spark):
+    articles_, marks, df, labels = many_labelled(spark, True)
+    expected = pair_counts(articles_, marks)
+    packed = words.day_bigrams(df, packed=True)
+    assert {(r["symbol"], r["increase"], r["word"]): r["n"] for r in words.labelled_counts(packed, labels).collect()} == dict(expected)
+    shares = words.shares(words.labelled_counts(packed, labels, heads=True))
+    assert "word" not in shares.columns and shares.count() < len(expected)  # a row per count, not per word
+    assert found_profile(words.labelled_counts(packed, labels, heads=True)) == profiles(expected)
+    nothing = words.labelled_counts(packed, labels.limit(0), heads=True)
+    assert words.share_profile(words.shares(nothing)).count() == 0
+
+
 def test_blocks_of_a_task_that_holds_few_terms(monkeypatch):
     import numpy as np
     import pyarrow as pa
