@@ -316,6 +316,17 @@ def test_profile_of_pairs_out_of_blocks(spark):
     assert words.share_profile(words.shares(nothing)).count() == 0
 
 
+def test_top_pairs_out_of_blocks(spark):
+    articles_, marks, df, labels = many_labelled(spark, True)
+    counted = words.labelled_counts(words.day_bigrams(df), labels, paired=True)
+    blocks = words.labelled_counts(words.day_bigrams(df, packed=True), labels, paired=True)
+    assert {r["bucket"] for r in blocks.blocks.select("bucket").collect()} > {None}  # the counts went into blocks
+    for rising in (True, False):
+        for chars in (2, 4):
+            wanted, found = (words.top_words(words.share_difference(c, chars), 3, rising).collect() for c in (counted, blocks))
+            assert sorted(map(tuple, found)) == sorted(map(tuple, wanted)) and len(found) == 3 * 22
+
+
 def test_blocks_of_a_task_that_holds_few_terms(monkeypatch):
     import numpy as np
     import pyarrow as pa
